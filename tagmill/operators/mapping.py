@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tagmill.constants import NOISE_LABEL
 from tagmill.functions.text import text_key
 from tagmill.operators.sampling import draw_key, take_lowest
-from tagmill.storage import lookup_join, pair_with, settle, split_join
+from tagmill.storage import lookup_join, pair_with, repeat_rows, settle, split_join
 
 
 def fixed_mapping(labels: DataFrame, subset_size: int) -> DataFrame:
@@ -115,10 +115,8 @@ def oversample_noise(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     copies = F.floor(F.col("target") / F.col("_m")) + F.when(
         F.col("place") <= F.pmod(F.col("target"), F.col("_m")), 1
     ).otherwise(0)
-    spread = joined.withColumn("_copies", copies).where("_copies > 0").repartition("subset_id", "row_id")
-    return spread.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop(
-        "_copies", "_m", "target", "place"
-    )
+    counted = joined.withColumn("_copies", copies).drop("_m", "target", "place")
+    return repeat_rows(counted, "_copies", ["subset_id", "row_id"], "copy")
 
 
 def training_with_noise(

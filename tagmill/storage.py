@@ -4,12 +4,13 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A lookup up to this many rows is broadcast; a larger one is joined by salted shuffle.
 LOOKUP_ROWS = 100_000
 SALTS = 32
+CHUNK = 10_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -96,10 +97,24 @@ def pair_with(rows: DataFrame, items: DataFrame, order: str) -> DataFrame:
     lookup = as_lookup(items, "items")
     if lookup.rows > LOOKUP_ROWS:
         raise ValueError(f"a grid over {lookup.rows} items is too large")
-    from pyspark.sql import Window
-
     numbered = lookup.table.withColumn("_pos", F.row_number().over(Window.orderBy(order)))
     if lookup.rows == 0:
         return lookup_join(rows.withColumn("_pos", F.lit(1)), Lookup(numbered, 0), "_pos").drop("_pos")
     spread = rows.withColumn("_pos", F.explode(F.sequence(F.lit(1), F.lit(lookup.rows))))
     return lookup_join(spread, Lookup(numbered, lookup.rows), "_pos").drop("_pos")
+
+
+def repeat_rows(rows: DataFrame, copies: str, ids, name: str) -> DataFrame:
+    """Repeat each row ``copies`` times, numbered from 1.
+
+    A row is first cut into chunks of copies, which spread over tasks before the
+    copies are made.
+    """
+    chunks = rows.where(F.col(copies) > 0).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / CHUNK)))
+    )
+    first = F.col("_chunk") * CHUNK + 1
+    last = F.least(F.col(copies).cast("long"), first + (CHUNK - 1))
+    return (
+        chunks.repartition(*ids, "_chunk").withColumn(name, F.explode(F.sequence(first, last))).drop("_chunk", copies)
+    )
