@@ -1,4 +1,4 @@
-"""Text files in and out. Readers always use an explicit schema."""
+"""Text files in and out. Readers never infer types."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
