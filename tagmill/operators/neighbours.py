@@ -61,23 +61,25 @@ def knn_candidates(queries, corpus, k: int, on=(), skip_same=False, block_rows=B
     if not on:
         queries, corpus = queries.withColumn("_all", F.lit(0)), corpus.withColumn("_all", F.lit(0))
     key = on or ["_all"]
-    queries, corpus = queries.select(*key, "query_id", "vector"), corpus.select(*key, "item_id", "vector")
+    # fresh aliases: both sides may come from one table
+    queries = queries.select(*[F.col(c).alias(c) for c in (*key, "query_id", "vector")])
+    corpus = corpus.select(*[F.col(c).alias(c) for c in (*key, "item_id", "vector")])
 
     def blocks(side, name):
-        size = F.ceil(F.count(F.lit(1)) / block_rows).cast("int")
+        size = F.ceil(F.count(F.lit(1)) / block_rows)
         return side.groupBy(*key).agg(size.alias(name))
 
     sizes = as_lookup(blocks(queries, "_nq").join(blocks(corpus, "_nc"), key), "blocks")
     left = (
         lookup_join(queries, sizes, key)
         .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_nq")))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).cast("long"))
+        .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nc") - 1)))
         .select(*key, "_q", "_c", "query_id", "vector")
     )
     right = (
         lookup_join(corpus, sizes, key)
         .withColumn("_c", F.pmod(F.xxhash64("item_id"), F.col("_nc")))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)).cast("long"))
+        .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq") - 1)))
         .select(*key, "_q", "_c", "item_id", "vector")
     )
     fields = [*queries.select(*key, "query_id").schema, *corpus.select("item_id").schema]

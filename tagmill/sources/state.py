@@ -4,7 +4,6 @@ Everything is append-only; an iteration counts once its manifest is written, whi
 happens last.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,13 @@ from tagmill.operators.models import coefficient_table
 MANIFEST = "iteration int, name string, rows long"
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """True when some path matches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def _folder(run_dir: str, iteration: int) -> str:
     return f"{run_dir}/state/iter={iteration}"
 
@@ -36,10 +42,10 @@ def save_state(run_dir: str, iteration: int, **tables: DataFrame) -> DataFrame:
 
 def latest_iteration(spark: SparkSession, run_dir: str):
     """Highest complete iteration, or None."""
-    try:
-        found = spark.read.schema(MANIFEST).parquet(f"{run_dir}/manifest/iter=*/table")
-    except AnalysisException:
+    pattern = f"{run_dir}/manifest/iter=*/table"
+    if not exists(spark, f"{pattern}/_SUCCESS"):
         return None
+    found = spark.read.schema(MANIFEST).parquet(pattern)
     return found.agg(F.max("iteration")).first()[0]
 
 
@@ -61,12 +67,10 @@ def append_rows(rows: DataFrame, run_dir: str, name: str, iteration: int) -> Non
 
 def read_appended(spark: SparkSession, run_dir: str, name: str, schema, upto: int | None = None) -> DataFrame:
     """All rows of a growing table with their iteration; empty before the first write."""
-    try:
+    if exists(spark, f"{run_dir}/{name}/iteration=*"):
         table = spark.read.schema(schema).option("basePath", f"{run_dir}/{name}").parquet(f"{run_dir}/{name}/iteration=*")
-        table = table.withColumn("iteration", F.col("iteration").cast("int")) if "iteration" in table.columns else table
-    except AnalysisException:
-        table = spark.createDataFrame([], schema)
-        table = table if "iteration" in table.columns else table.withColumn("iteration", F.lit(0))
+    else:
+        table = spark.createDataFrame([], schema).withColumn("iteration", F.lit(0))
     return table if upto is None else table.where(F.col("iteration") <= upto)
 
 
@@ -107,12 +111,9 @@ def save_cache(cache: DataFrame, path: str) -> None:
 
 def load_cache(spark: SparkSession, path: str, keys, schema=None) -> DataFrame:
     """Cache rows, one per key; empty when nothing was saved."""
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        if schema is None:
-            raise
-        table = spark.createDataFrame([], schema)
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    table = spark.read.parquet(path)
     return table.dropDuplicates(list(keys))
 
 
