@@ -21,20 +21,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def terms(text: Column, stop_words=()) -> Column:
-    """Words without stop words, followed by their neighbouring pairs."""
-    words = tokens(text)
-    if stop_words:
-        listed = F.array(*[F.lit(w) for w in stop_words])
-        words = F.filter(words, lambda w: ~F.array_contains(listed, w))
-    pairs = F.when(
-        F.size(words) > 1,
-        F.zip_with(
-            F.slice(words, F.lit(1), F.size(words) - 1),
-            F.slice(words, F.lit(2), F.size(words) - 1),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+def without(words: Column, stop_words) -> Column:
+    """Words that are not stop words."""
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+
+
+def with_pairs(words: Column) -> Column:
+    """Words followed by their neighbouring pairs."""
+    pairs = F.zip_with(
+        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
+        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
     return F.concat(words, pairs)
 
 

@@ -7,10 +7,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagmill.functions.text import strip_space, terms, text_key
+from tagmill.functions.text import strip_space, text_key, tokens, with_pairs, without
 from tagmill.storage import as_lookup, lookup_join, settle, split_join
 
 
+def with_terms(rows: DataFrame, stop_words=()) -> DataFrame:
+    """Add ``_terms``: words and word pairs of the text. Words get a column of their
+    own first, so that they are split once."""
+    split = rows.withColumn("_words", without(tokens(F.col("text")), stop_words))
+    return split.withColumn("_terms", with_pairs(F.col("_words"))).drop("_words")
+
+
 def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()) -> DataFrame:
     """Most frequent terms with their number, document frequency and IDF weight.
 
@@ -18,7 +25,7 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()
     the chosen terms.
     """
     by = list(by)
-    found = rows.select(*by, terms(F.col("text"), stop_words).alias("_terms"))
+    found = with_terms(rows.select(*by, "text"), stop_words)
     totals = found.select(*by, F.explode("_terms").alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
     order = [F.desc("tf"), F.col("term")]
     if by:
@@ -45,7 +52,7 @@ def tfidf(rows: DataFrame, vocab: DataFrame, stop_words=()) -> DataFrame:
     id and term number.
     """
     known = as_lookup(vocab.select("term", "idx", "idf"), "vocabulary")
-    exploded = rows.select("row_id", F.explode(terms(F.col("text"), stop_words)).alias("term"))
+    exploded = with_terms(rows.select("row_id", "text"), stop_words).select("row_id", F.explode("_terms").alias("term"))
     hits = lookup_join(exploded, known, "term").select("row_id", "idx")
     counts = hits.repartition("row_id").groupBy("row_id", "idx").agg(F.count(F.lit(1)).alias("tf"))
     raw = lookup_join(counts, known, "idx").withColumn("_w", F.col("tf") * F.col("idf"))
@@ -62,13 +69,13 @@ def tfidf_vectors(rows: DataFrame, vocab: DataFrame, stop_words=(), out: str = "
     counter = CountVectorizerModel.from_vocabulary([r["term"] for r in listed], inputCol="_terms", outputCol="_tf")
     scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in listed]), inputCol="_tf", outputCol="_raw")
     unit = Normalizer(p=2.0, inputCol="_raw", outputCol=out)
-    split = rows.withColumn("_terms", terms(F.col("text"), stop_words))
+    split = with_terms(rows, stop_words)
     return unit.transform(scale.transform(counter.transform(split))).drop("_terms", "_tf", "_raw")
 
 
 def hashed_vectors(rows: DataFrame, dims: int = 64) -> DataFrame:
     """Built-in encoder inside the JVM: hashed words and word pairs, unit length."""
-    split = rows.withColumn("_terms", terms(F.col("text")))
+    split = with_terms(rows)
     counted = HashingTF(numFeatures=dims, inputCol="_terms", outputCol="_tf").transform(split)
     scaled = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
     return scaled.withColumn("embedding", vector_to_array("_unit").cast("array<float>")).drop("_terms", "_tf", "_unit")

@@ -104,16 +104,18 @@ def _passes(model_table: DataFrame, pass_bytes: int):
             )
 
 
-def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """Every row against every subset model in one pass over ``row_id, vector``.
+def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS_BYTES, keep=("row_id",), own: bool = False):
+    """Every row's ``vector`` against every subset model in one pass over the rows.
 
-    Gives ``row_id, subset_id, predicted_label, uncertainty, max_probability,
-    labels, probabilities``.
+    Gives the ``keep`` columns and ``subset_id, predicted_label, uncertainty,
+    max_probability, labels, probabilities``. With ``own`` a row meets only the model
+    of its own ``subset_id``.
     """
     spark = rows.sparkSession
+    keep = list(keep)
     schema = T.StructType(
         [
-            rows.schema["row_id"],
+            *rows.select(*keep).schema,
             T.StructField("subset_id", T.StringType()),
             T.StructField("predicted_label", T.StringType()),
             T.StructField("uncertainty", T.DoubleType()),
@@ -126,7 +128,6 @@ def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS
     def scorer(shared):
         def score(batches):
             import numpy as np
-            import pandas as pd
 
             weights, bias, names = shared.value
             spans = {}
@@ -137,57 +138,60 @@ def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS
                     continue
                 raw = np.asarray(batch["vector"].to_list(), dtype=np.float64) @ weights.T + bias
                 for subset_id, span in spans.items():
+                    mask = (batch["subset_id"] == subset_id).to_numpy() if own else np.ones(len(batch), dtype=bool)
+                    if not mask.any():
+                        continue
                     labels = [label for _, label in span]
-                    part = raw[:, [at for at, _ in span]]
+                    part = raw[mask][:, [at for at, _ in span]]
                     part = np.exp(part - part.max(axis=1, keepdims=True))
                     part /= part.sum(axis=1, keepdims=True)
                     bits = -np.where(part > 0, part * np.log2(np.where(part > 0, part, 1.0)), 0.0).sum(axis=1)
-                    top = part.argmax(axis=1)
-                    yield pd.DataFrame(
-                        {
-                            "row_id": batch["row_id"],
-                            "subset_id": subset_id,
-                            "predicted_label": np.array(labels, dtype=object)[top],
-                            "uncertainty": bits,
-                            "max_probability": part.max(axis=1),
-                            "labels": [labels] * len(batch),
-                            "probabilities": list(part),
-                        }
-                    )
+                    out = batch.loc[mask, keep].copy()
+                    out["subset_id"] = subset_id
+                    out["predicted_label"] = np.array(labels, dtype=object)[part.argmax(axis=1)]
+                    out["uncertainty"] = bits
+                    out["max_probability"] = part.max(axis=1)
+                    out["labels"] = [labels] * len(out)
+                    out["probabilities"] = list(part)
+                    yield out
 
         return score
 
+    needed = rows.select(*keep, "vector", *(["subset_id"] if own else []))
     scored = None
     for weights in _passes(model_table, pass_bytes):
-        part = rows.select("row_id", "vector").mapInPandas(scorer(spark.sparkContext.broadcast(weights)), schema)
+        part = needed.mapInPandas(scorer(spark.sparkContext.broadcast(weights)), schema)
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise ValueError("no trained classifier")
     return scored
 
 
-def score_models(rows: DataFrame, models) -> DataFrame:
-    """The same output from MLlib models of any kind, one transform per subset."""
+def score_models(rows: DataFrame, models, keep=("row_id",), own: bool = False) -> DataFrame:
+    """The same output from MLlib models of any kind, one transform of ``features``
+    per subset."""
+    keep = list(keep)
     scored = None
     for subset_id, (model, labels) in sorted(models.items()):
+        mine = rows.where(F.col("subset_id") == subset_id) if own else rows
         names = F.array(*[F.lit(x) for x in labels])
-        found = model.transform(rows.select("row_id", "features")).select(
-            "row_id",
+        found = model.transform(mine.select(*keep, "features")).select(
+            *keep,
             F.lit(subset_id).alias("subset_id"),
             names.alias("labels"),
             vector_to_array("probability").alias("probabilities"),
         )
-        part = with_scores(found)
+        part = with_scores(found, keep)
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise ValueError("no trained classifier")
     return scored
 
 
-def with_scores(rows: DataFrame) -> DataFrame:
+def with_scores(rows: DataFrame, keep=("row_id",)) -> DataFrame:
     """Predicted label, entropy and top probability from ``labels, probabilities``."""
     return rows.select(
-        "row_id",
+        *keep,
         "subset_id",
         top_label(F.col("probabilities"), F.col("labels")).alias("predicted_label"),
         entropy_bits(F.col("probabilities")).alias("uncertainty"),
@@ -214,11 +218,12 @@ def training_features(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
-def split_scores(rows: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Accuracy per subset and split from ``subset_id, row_id, label, is_train``."""
-    joined = rows.join(predictions.select("row_id", "subset_id", "predicted_label"), ["row_id", "subset_id"])
+def split_scores(predictions: DataFrame) -> DataFrame:
+    """Accuracy per subset and split from ``subset_id, label, is_train,
+    predicted_label``."""
     hit = (F.col("label") == F.col("predicted_label")).cast("double")
-    return joined.groupBy("subset_id").agg(
+    return predictions.groupBy("subset_id").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count_if("is_train").alias("train_rows"),
         F.avg(F.when(F.col("is_train"), hit)).alias("train_accuracy"),
         F.avg(F.when(~F.col("is_train"), hit)).alias("validation_accuracy"),

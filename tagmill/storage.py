@@ -118,3 +118,13 @@ def repeat_rows(rows: DataFrame, copies: str, ids, name: str) -> DataFrame:
     return (
         chunks.repartition(*ids, "_chunk").withColumn(name, F.explode(F.sequence(first, last))).drop("_chunk", copies)
     )
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a small scan one partition per core before heavy per-row work.
+
+    Only for frames without a shuffle. A table of many files already has more
+    partitions than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
