@@ -1 +1,411 @@
-"""Placeholder."""
+"""Classifiers, balancing, the judge, the loop and arriving texts."""
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from suite.fixtures import (
+    BASE, DOCS, HISTORY, MAPPING, PARTS, PART_MAPPING, RUNS, VERDICTS, documents, history, linear_models, mapping, part_mapping,
+    parts, pool, seed, settle, vector_mapping, vectors,
+)
+from suite.registry import query
+from suite.relational import verdict_cache, verdict_rows
+from suite.texts import DESCRIBE, filled
+from tagmill import constants as K
+from tagmill.functions import prompts
+from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress
+from tagmill.operators.sampling import fraction_split
+from tagmill.options import Options
+from tagmill.plans import active, initial, training
+from tagmill.sources import state
+from tagmill.storage import fresh_path, lookup_join
+from tagmill.streaming import arrivals
+
+
+# classifiers
+
+
+def training_table(spark, sf):
+    """Vectors with their subset and class number."""
+    rows = maps.attach_subset(vectors(spark, sf), vector_mapping(spark, sf))
+    return models.training_features(rows, vector_mapping(spark, sf))
+
+
+@query()
+def train_logreg(spark, sf):
+    fitted, _ = models.fit_subsets(training_table(spark, sf), "logistic_regression")
+    table = models.coefficient_table(spark, fitted)
+    return table.select("subset_id", "class_idx", "label", "intercept", F.posexplode("coefficients").alias("pos", "value"))
+
+
+VECTOR_MAPPING = """mapping AS (SELECT 'subset_' || ((row_number() OVER (ORDER BY label) - 1) // 4) AS subset_id, label
+FROM (SELECT DISTINCT 'c' || label AS label FROM embeddings))"""
+
+
+@query()
+def train_forest(spark, sf):
+    """Training predictions of a forest per subset."""
+    rows = training_table(spark, sf)
+    fitted, _ = models.fit_subsets(rows, "random_forest")
+    scored = models.score_models(rows, fitted, keep=("row_id", "label"), own=True)
+    return scored.select("row_id", "label", "subset_id", "predicted_label", "max_probability")
+
+
+def trained(spark, sf, options=Options()):
+    return training.train_subsets(vectors(spark, sf), vector_mapping(spark, sf), options)
+
+
+@query()
+def train_subsets(spark, sf):
+    """Scores of every subset's classifier."""
+    found = trained(spark, sf)
+    return lookup_join(found.log, found.stats, "subset_id", "left")
+
+
+@query()
+def training_report(spark, sf):
+    """Validation scores per class and subset."""
+    return trained(spark, sf).report
+
+
+@query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, count(DISTINCT label) AS num_labels, true AS is_trained,
+count(*) AS training_samples, 'logistic_regression' AS classifier_type
+FROM (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) GROUP BY subset_id""")
+def training_summary(spark, sf):
+    _, log = models.fit_subsets(training_table(spark, sf), "logistic_regression", max_iter=20)
+    return models.training_summary(log, vector_mapping(spark, sf), "logistic_regression")
+
+
+def _saved(spark, sf):
+    fitted, _ = models.fit_subsets(training_table(spark, sf), "logistic_regression", max_iter=50)
+    path = fresh_path(spark, "models")
+    return path, state.save_models(spark, fitted, path, "logistic_regression")
+
+
+@query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, 'logistic_regression' AS kind, string_agg(label, ',' ORDER BY label) AS labels
+FROM mapping GROUP BY subset_id""")
+def save_models(spark, sf):
+    return _saved(spark, sf)[1].select("subset_id", "kind", F.array_join("labels", ",").alias("labels"))
+
+
+@query()
+def load_models(spark, sf):
+    """Predictions of reloaded models; the saved table must agree with them."""
+    path, _ = _saved(spark, sf)
+    rows = vectors(spark, sf)
+    from_models = models.score_models(models.training_features(maps.attach_subset(rows, vector_mapping(spark, sf)), vector_mapping(spark, sf)), state.load_models(spark, path))
+    from_table = models.score_linear(rows.select("row_id", "vector"), state.load_coefficients(spark, path))
+    left = from_models.select("row_id", "subset_id", F.col("predicted_label"))
+    right = from_table.select("row_id", "subset_id", F.col("predicted_label").alias("from_table"))
+    return left.join(right, ["row_id", "subset_id"])
+
+
+@query(f"""WITH {PARTS}, {PART_MAPPING}, now AS (SELECT subset_id, count(*) AS rows_now FROM parts JOIN mapping USING (label) GROUP BY subset_id),
+old AS (SELECT subset_id, count(*) AS rows_then FROM parts JOIN mapping USING (label)
+        WHERE subset_id <> 'subset_1' AND (subset_id <> 'subset_2' OR row_id % 3 = 0) GROUP BY subset_id
+        UNION ALL SELECT subset_id, count(*) FROM parts JOIN mapping USING (label) WHERE subset_id = 'subset_1' GROUP BY subset_id)
+SELECT subset_id, rows_now, rows_then FROM now LEFT JOIN old USING (subset_id) WHERE rows_now > coalesce(rows_then, 0)""")
+def needs_retrain(spark, sf):
+    """The third subset was fitted on a third of its rows."""
+    rows = maps.attach_subset(parts(spark, sf), part_mapping(spark, sf))
+    before = rows.where("subset_id <> 'subset_2' OR row_id % 3 = 0")
+    return models.needs_retrain(rows, before.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows")))
+
+
+def _loop_parts(spark, sf):
+    """Components over the vectors: a third of them labelled."""
+    rows = vectors(spark, sf).select(F.concat(F.lit("seed:"), F.col("row_id")).alias("row_id"), F.lit("").alias("text"), "label", "vector")
+    known = vector_mapping(spark, sf)
+    labelled = settle(rows.withColumn("vector", F.col("vector").cast("array<float>")), "labelled")
+    weights = linear_models(spark, sf)
+    return initial.Components(fresh_path(spark, "run"), labelled, known, None, None, {}, weights)
+
+
+@query(f"""WITH {VECTOR_MAPPING}, grown AS (SELECT subset_id, count(*) AS n FROM (SELECT 'c' || label AS label FROM embeddings
+  UNION ALL SELECT 'c' || label FROM embeddings WHERE vec_id % 2 = 0 AND label < 4) JOIN mapping USING (label) GROUP BY subset_id)
+SELECT subset_id, n AS rows, subset_id = 'subset_0' AS retrained FROM grown""")
+def retrain(spark, sf):
+    """Validated rows reach the first subset only, so only that one is refitted."""
+    parts_ = _loop_parts(spark, sf)
+    run_dir = fresh_path(spark, "loop")
+    sizes = parts_.labelled.join(parts_.mapping, "label").groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
+    state.append_rows(sizes.select("subset_id", F.lit(True).alias("retrained"), "rows"), run_dir, "fits", 0)
+    new = vectors(spark, sf).where("row_id % 2 = 0 AND label < 'c4'").select(
+        F.col("row_id").cast("string"), F.lit("").alias("text"), "label", F.col("vector").cast("array<float>"),
+        F.lit(0.8).alias("confidence"), F.lit("judge").alias("source"),
+    )
+    state.append_rows(new, run_dir, "validated", 1)
+    active.retrain(spark, parts_, run_dir, 1, Options(max_iter=50))
+    return state.read_appended(spark, run_dir, "fits", active.FITS).where("iteration = 1").drop("iteration")
+
+
+@query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, count(*) AS rows, true AS retrained
+FROM (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) GROUP BY subset_id""")
+def final_retrain(spark, sf):
+    parts_ = _loop_parts(spark, sf)
+    run_dir = fresh_path(spark, "loop")
+    active.final_retrain(spark, parts_, run_dir, 1, Options(max_iter=50))
+    return state.read_appended(spark, run_dir, "fits", active.FITS).where("iteration = 1").drop("iteration")
+
+
+# balancing
+
+
+def _skewed(spark, sf):
+    """Vector rows with some classes thinned out."""
+    rows = maps.attach_subset(vectors(spark, sf), vector_mapping(spark, sf))
+    return settle(rows.where("row_id % 3 = 0 OR label IN ('c0', 'c5', 'c9')"), "skewed")
+
+
+@query(f"""WITH {VECTOR_MAPPING}, c AS (SELECT subset_id, label, count(*) AS n FROM
+  (SELECT 'c' || label AS label FROM embeddings WHERE vec_id % 3 = 0 OR label IN (0, 5, 9)) JOIN mapping USING (label) GROUP BY ALL)
+SELECT subset_id, label, max(n) OVER (PARTITION BY subset_id) - n AS made FROM c QUALIFY made > 0""")
+def smote(spark, sf):
+    """Synthetic rows per class."""
+    return balance.smote(_skewed(spark, sf)).groupBy("subset_id", "label").agg(F.count(F.lit(1)).alias("made"))
+
+
+@query()
+def smote_vectors(spark, sf):
+    """The synthetic rows themselves."""
+    made = balance.smote(_skewed(spark, sf))
+    return made.select("subset_id", "label", "row_id", "copy", F.posexplode("vector").alias("pos", "value"))
+
+
+# the judge
+
+
+def digest_judge():
+    """A judge that answers by the digest of the whole prompt. It proves that the
+    right prompt arrives, not that verdicts are good."""
+
+    def answer(prompt):
+        first = hashlib.md5(prompt.encode()).hexdigest()[0]
+        return "True" if first < "8" else "False." if first < "c" else "true or false" if first < "e" else None
+
+    return lambda asked: [answer(p) for p in asked]
+
+
+WORD_CELLS = r"""words AS (SELECT key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM keyed),
+sums AS (SELECT key, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos,
+                sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS s FROM words GROUP BY 1, 2),
+grid AS (SELECT key, p.pos, coalesce(s, 0) AS s FROM keyed CROSS JOIN (SELECT range AS pos FROM range(64)) p LEFT JOIN sums USING (key, pos)),
+vecs AS (SELECT key, list((CASE WHEN n > 0 THEN s / n ELSE 0 END)::FLOAT::DOUBLE ORDER BY pos) AS v
+         FROM (SELECT key, pos, s, sqrt(sum(s * s) OVER (PARTITION BY key)) AS n FROM grid) GROUP BY key)"""
+JUDGED = filled(
+    K.BINARY_TEMPLATE, text="text", label="label", examples_section="coalesce(section, '')",
+    description="'Text samples that belong to the ''' || label || ''' category'",
+)
+JUDGE_SQL = f"""WITH {BASE}, keyed AS (SELECT DISTINCT md5(text) AS key, text FROM docs), {WORD_CELLS},
+asked AS (SELECT md5(text) AS key, label, min(row_id) AS qid, any_value(text) AS text FROM pool GROUP BY 1, 2),
+sims AS (SELECT a.key, a.label, s.row_id, s.text, round(coalesce(
+    CASE WHEN isnan(list_cosine_similarity(q.v, i.v)) THEN 0 ELSE list_cosine_similarity(q.v, i.v) END, 0), 9) AS similarity
+  FROM asked a JOIN vecs q ON q.key = a.key JOIN seed s ON s.label = a.label JOIN vecs i ON i.key = md5(s.text)),
+near AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY similarity DESC, row_id) AS rank FROM sims QUALIFY rank <= 6),
+sections AS (SELECT key, label, count(*) AS n, 'Representative Examples:' || chr(10) ||
+  string_agg(rank || '. "' || text || '"' || chr(10), '' ORDER BY rank) || chr(10) AS section FROM near GROUP BY ALL),
+prompts AS (SELECT key, label, coalesce(n, 0) AS n, substr(md5({JUDGED}), 1, 1) AS d FROM asked LEFT JOIN sections USING (key, label)),
+answers AS (SELECT key, label, n, CASE WHEN d < '8' THEN 'True' WHEN d < 'c' THEN 'False.' WHEN d < 'e' THEN 'true or false' END AS reply FROM prompts)"""
+
+
+def judged(spark, sf):
+    """Pool rows judged against their document label, seed rows as examples."""
+    rows = documents(spark, sf).select("row_id", "text", "label")
+    empty = spark.createDataFrame([], features.EMPTY_CACHE)
+    encoded, _ = features.embed_texts(rows, empty, features.word_hash_encoder(), "words")
+    encoded = settle(encoded.withColumnRenamed("embedding", "vector").drop("key"), "encoded")
+    labelled = encoded.join(seed(spark, sf).select("row_id"), "row_id", "left_semi")
+    asked = encoded.join(pool(spark, sf).select("row_id"), "row_id", "left_semi").withColumnRenamed("label", "predicted_label")
+    cache = spark.createDataFrame([], judge.CACHE_SCHEMA)
+    none = spark.createDataFrame([], "label string, description string")
+    return judge.judge_batch(asked, cache, labelled, none, digest_judge(), 6)
+
+
+@query(JUDGE_SQL + """ SELECT row_id, pool.label AS predicted_label, reply, n::INTEGER AS n_examples,
+CASE WHEN reply IS NULL THEN 'request failed' END AS error, coalesce(reply = 'True', false) AS is_valid,
+CASE reply WHEN 'True' THEN 0.8 WHEN 'False.' THEN 0.8 WHEN 'true or false' THEN 0.3 ELSE 0.0 END AS confidence
+FROM pool JOIN answers ON answers.key = md5(pool.text) AND answers.label = pool.label""")
+def judge_batch(spark, sf):
+    results, _ = judged(spark, sf)
+    return results.select("row_id", "predicted_label", "reply", "n_examples", "error", "is_valid", "confidence")
+
+
+@query(JUDGE_SQL + """ SELECT row_id, pool.label AS predicted_label, 0.8 AS confidence
+FROM pool JOIN answers ON answers.key = md5(pool.text) AND answers.label = pool.label WHERE reply = 'True'""")
+def select_valid(spark, sf):
+    results, _ = judged(spark, sf)
+    return cleaning.accepted(results, 0.5).select("row_id", "predicted_label", "confidence")
+
+
+@query(f"""WITH {DESCRIBE} SELECT label, CASE WHEN md5(prompt) < 'e' THEN 'About ' || left(md5(prompt), 12)
+ELSE 'Text samples that belong to the ''' || label || ''' category' END AS description FROM asked
+UNION ALL SELECT '__NOISE__', 'Text samples that do not belong to any of the defined categories'
+UNION ALL SELECT 'unseen', 'Text samples that belong to the ''unseen'' category'""")
+def describe_labels(spark, sf):
+    """Descriptions by digest; some requests fail, one label has no examples."""
+
+    def writer(asked):
+        digests = [hashlib.md5(p.encode()).hexdigest() for p in asked]
+        return [f" About {d[:12]}\n" if d < "e" else None for d in digests]
+
+    labels = documents(spark, sf).select("label").distinct().unionByName(
+        spark.createDataFrame([(K.NOISE_LABEL,), ("unseen",)], "label string")
+    )
+    return judge.describe_labels(labels, seed(spark, sf), writer)
+
+
+@query(f"""WITH {RUNS}, s AS (SELECT run, count(*) FILTER (NOT cached) AS total_validations,
+  count(*) FILTER (NOT cached AND reply IS NOT NULL AND is_valid) AS valid_predictions,
+  count(*) FILTER (NOT cached AND reply IS NOT NULL AND NOT is_valid) AS invalid_predictions,
+  count(*) FILTER (NOT cached AND reply IS NULL) AS request_errors, count(*) FILTER (cached) AS cache_hits FROM runs GROUP BY run)
+SELECT *, round(valid_predictions / nullif(total_validations, 0), 9) AS validation_accuracy,
+round(request_errors / nullif(total_validations, 0), 9) AS error_rate, round(cache_hits / nullif(total_validations, 0), 9) AS cache_hit_rate FROM s""")
+def validation_summary(spark, sf):
+    log = verdict_rows(spark, sf).withColumn("run", F.col("label"))
+    found = judge.validation_summary(log, "run")
+    for name in ("validation_accuracy", "error_rate", "cache_hit_rate"):
+        found = found.withColumn(name, F.round(name, 9))
+    return found
+
+
+# histories
+
+
+def run_log(spark, sf):
+    from suite.fixtures import runs
+
+    verdicts = verdict_rows(spark, sf).select("row_id", "is_valid")
+    return runs(spark, sf).join(verdicts, "row_id")
+
+
+@query(f"""WITH {RUNS} SELECT run, iteration, count(*) AS total_validated, count(*) FILTER (is_valid) AS valid_samples,
+round(count(*) FILTER (is_valid) / count(*), 9) AS validation_rate FROM runs GROUP BY run, iteration""")
+def iteration_metrics(spark, sf):
+    found = progress.iteration_metrics(run_log(spark, sf), "run")
+    return found.withColumn("validation_rate", F.round("validation_rate", 9))
+
+
+@query(f"""WITH {HISTORY} SELECT run, round(sum(iteration_time), 6) AS total_processing_time, round(avg(iteration_time), 6) AS average_iteration_time,
+min(iteration_time) AS min_iteration_time, max(iteration_time) AS max_iteration_time, count(*) AS total_iterations,
+round(sum(validated_samples) / sum(iteration_time), 6) AS validation_efficiency FROM history GROUP BY run""")
+def performance_stats(spark, sf):
+    found = progress.performance_stats(history(spark, sf), "run")
+    for name in ("total_processing_time", "average_iteration_time", "validation_efficiency"):
+        found = found.withColumn(name, F.round(name, 6))
+    return found
+
+
+@query(f"""WITH {RUNS}, {MAPPING}, fits AS (SELECT iteration, 'subset_' || (row_id % 3) AS subset_id, is_valid AS retrained FROM runs WHERE lang = 'fr')
+SELECT iteration, count(DISTINCT subset_id) FILTER (retrained) AS retrained_classifiers, count(DISTINCT subset_id) AS total_classifiers
+FROM fits GROUP BY iteration HAVING count(*) FILTER (retrained) > 0""")
+def retrain_history(spark, sf):
+    rows = run_log(spark, sf).where("lang = 'fr'")
+    subset = F.concat(F.lit("subset_"), (F.col("row_id") % 3).cast("string"))
+    return progress.retrain_history(rows.select("iteration", subset.alias("subset_id"), F.col("is_valid").alias("retrained")))
+
+
+STOPS = f"""{HISTORY}, firsts AS (SELECT run, min(iteration) FILTER (predictions_made = 0) AS f FROM history GROUP BY run)
+SELECT run, iteration, predictions_made, CASE WHEN iteration > f THEN 'all_predicted' ELSE 'informative' END AS phase,
+CAST(greatest(coalesce(iteration - f + 1, 0), 0) AS INTEGER) AS empty_count"""
+
+
+@query(f"WITH {STOPS}, coalesce(iteration = f, false) AS stops_first, coalesce(iteration = f + 2, false) AS stops_later "
+       "FROM history JOIN firsts USING (run)")
+def al_stop(spark, sf):
+    rows = history(spark, sf).select("run", "iteration", "predictions_made")
+    first = progress.stop_points(rows, "run").withColumnRenamed("stops", "stops_first")
+    later = progress.stop_points(rows, "run", mode="informative_then_all_predicted")
+    return first.join(later.select("run", "iteration", F.col("stops").alias("stops_later")), ["run", "iteration"])
+
+
+@query(f"""WITH {HISTORY} SELECT run, iteration, validated_samples,
+(count(*) OVER w = 3 AND max(validation_rate) OVER w < 0.01) OR validated_samples = 0 AS converged FROM history
+WINDOW w AS (PARTITION BY run ORDER BY iteration ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def al_converged(spark, sf):
+    return progress.converged(history(spark, sf), "run").select("run", "iteration", "validated_samples", "converged")
+
+
+@query(f"""WITH {HISTORY}, t AS (SELECT run, iteration, validated_samples,
+  (sum(validated_samples) OVER (PARTITION BY run ORDER BY iteration))::BIGINT AS cumulative_validated FROM history)
+SELECT *, cumulative_validated // 3 > (cumulative_validated - validated_samples) // 3 AS due FROM t""")
+def al_retrain_due(spark, sf):
+    rows = history(spark, sf).select("run", "iteration", "validated_samples")
+    return progress.retrain_due(rows, "run", threshold=3)
+
+
+# the runs
+
+QUICK = Options(max_iter=50, max_iterations=2, batch_size=100, samples_per_iteration=50, retrain_threshold=20)
+
+
+def initial_run(spark, sf):
+    return initial.run_initial(
+        spark, seed(spark, sf), fresh_path(spark, "run"), features.word_hash_encoder(), None, QUICK, "words"
+    )
+
+
+@query()
+def run_initial(spark, sf):
+    """Per-class state after initial training on the seed documents."""
+    return initial_run(spark, sf).trained.distribution
+
+
+def active_run(spark, sf, options=QUICK):
+    found = initial_run(spark, sf)
+    rows = pool(spark, sf).select("row_id", "text")
+    return active.run_active(
+        spark, found, rows, fresh_path(spark, "loop"), features.word_hash_encoder(), digest_judge(), options, "words"
+    )
+
+
+@query()
+def run_active(spark, sf):
+    """History of two iterations over the pool."""
+    return active_run(spark, sf).history.drop("iteration_time")
+
+
+@query()
+def al_iteration(spark, sf):
+    """Verdicts of one iteration."""
+    from dataclasses import replace
+
+    return active_run(spark, sf, replace(QUICK, max_iterations=1)).verdicts
+
+
+# arriving texts
+
+
+def _arriving(spark, sf, columns):
+    """Documents as four files, read two per micro-batch."""
+    path = fresh_path(spark, "arrivals")
+    frame = documents(spark, sf).select(*columns)
+    frame.repartitionByRange(4, "row_id").write.parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query()
+def stream_score(spark, sf):
+    """Documents scored on arrival; the queue of uncertain rows."""
+    dims = len(linear_models(spark, sf).first()["coefficients"])
+    out = fresh_path(spark, "stream")
+
+    def vectorise(batch):
+        return features.hashed_vectors(batch, dims).withColumnRenamed("embedding", "vector")
+
+    arrivals.stream_score(_arriving(spark, sf, ["row_id", "text"]), vectorise, linear_models(spark, sf), out, 20)
+    schema = "row_id long, subset_id string, predicted_label string, uncertainty double"
+    return state.read_appended(spark, out, "queue", schema)
+
+
+@query(f"""WITH {DOCS} SELECT count(DISTINCT (md5(text), label)) AS asked, count(DISTINCT (md5(text), label)) AS pairs FROM docs""")
+def stream_cache_dedup(spark, sf):
+    """Every (text, label) pair is asked once, over all micro-batches."""
+    out = fresh_path(spark, "stream")
+
+    def prompt(text, label):
+        return prompts.binary_prompt(text, label, prompts.default_description(label), F.array().cast("array<string>"), 6)
+
+    stream = _arriving(spark, sf, ["row_id", "text", F.col("label").alias("predicted_label")])
+    arrivals.stream_judge(stream, lambda asked: ["True" for _ in asked], prompt, out)
+    found = state.read_appended(spark, out, "verdicts", judge.CACHE_SCHEMA)
+    return found.agg(F.count(F.lit(1)).alias("asked"), F.count_distinct(*judge.PAIR).alias("pairs"))

@@ -28,11 +28,12 @@ class Components:
 
 
 def embed(rows: DataFrame, run_dir: str, encoder, model: str, part: str) -> DataFrame:
-    """Rows with ``vector``; new vectors join the run's cache under their own part."""
+    """Rows with ``vector``; new vectors are added to the run's cache, which is read
+    one row per content key, so a repeated part does no harm."""
     spark = rows.sparkSession
     cache = state.read_appended(spark, run_dir, "vectors", features.EMPTY_CACHE).drop("iteration")
     encoded, fresh = features.embed_texts(rows, cache, encoder, model)
-    fresh.write.mode("overwrite").parquet(f"{run_dir}/vectors/iteration={part}")
+    fresh.write.mode("append").parquet(f"{run_dir}/vectors/iteration={part}")
     return encoded.withColumnRenamed("embedding", "vector").drop("key")
 
 

@@ -39,10 +39,9 @@ def stream_judge(arrivals: DataFrame, judge, prompt, out: str) -> None:
     Pairs answered in an earlier batch come from the cache; within a batch only one
     row of a pair is asked. ``prompt`` makes the prompt column.
     """
-    spark = arrivals.sparkSession
 
     def handle(batch, batch_id):
-        cache = state.read_appended(spark, out, "verdicts", judging.CACHE_SCHEMA, batch_id - 1).drop("iteration")
+        cache = state.read_appended(batch.sparkSession, out, "verdicts", judging.CACHE_SCHEMA, batch_id - 1).drop("iteration")
         split = settle(judging.cache_split(batch, cache), "split")
         once = split.where("NOT cached").dropDuplicates(judging.PAIR)
         asked = judging.ask(once.select(*judging.PAIR, prompt(F.col("text"), F.col("predicted_label")).alias("prompt")), judge)
