@@ -77,27 +77,26 @@ def training_summary(spark, sf):
 
 
 def _saved(spark, sf):
-    fitted, _ = models.fit_subsets(training_table(spark, sf), "logistic_regression", max_iter=50)
+    table = training_table(spark, sf)
+    fitted, _ = models.fit_subsets(table, "logistic_regression", max_iter=50)
     path = fresh_path(spark, "models")
-    return path, state.save_models(spark, fitted, path, "logistic_regression")
+    return table, fitted, path, state.save_models(spark, fitted, path, "logistic_regression")
 
 
 @query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, 'logistic_regression' AS kind, string_agg(label, ',' ORDER BY label) AS labels
 FROM mapping GROUP BY subset_id""")
 def save_models(spark, sf):
-    return _saved(spark, sf)[1].select("subset_id", "kind", F.array_join("labels", ",").alias("labels"))
+    return _saved(spark, sf)[3].select("subset_id", "kind", F.array_join("labels", ",").alias("labels"))
 
 
 @query()
 def load_models(spark, sf):
-    """Predictions of reloaded models; the saved table must agree with them."""
-    path, _ = _saved(spark, sf)
-    rows = vectors(spark, sf)
-    from_models = models.score_models(models.training_features(maps.attach_subset(rows, vector_mapping(spark, sf)), vector_mapping(spark, sf)), state.load_models(spark, path))
-    from_table = models.score_linear(rows.select("row_id", "vector"), state.load_coefficients(spark, path))
-    left = from_models.select("row_id", "subset_id", F.col("predicted_label"))
-    right = from_table.select("row_id", "subset_id", F.col("predicted_label").alias("from_table"))
-    return left.join(right, ["row_id", "subset_id"])
+    """Predictions of reloaded models beside those of the fitted ones."""
+    table, fitted, path, _ = _saved(spark, sf)
+    _, weights = state.load_models(spark, path)
+    left = models.score_models(table, fitted).select("row_id", "subset_id", "predicted_label")
+    right = models.score_linear(vectors(spark, sf).select("row_id", "vector"), weights)
+    return left.join(right.select("row_id", "subset_id", F.col("predicted_label").alias("reloaded")), ["row_id", "subset_id"])
 
 
 @query(f"""WITH {PARTS}, {PART_MAPPING}, now AS (SELECT subset_id, count(*) AS rows_now FROM parts JOIN mapping USING (label) GROUP BY subset_id),

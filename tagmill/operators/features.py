@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagmill.functions.text import strip_space, text_key, tokens, with_pairs, without
-from tagmill.storage import as_lookup, lookup_join, settle, split_join
+from tagmill.storage import Lookup, as_lookup, lookup_join, settle, split_join
 
 
 def with_terms(rows: DataFrame, stop_words=()) -> DataFrame:
@@ -32,9 +32,9 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()
         ranked = totals.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
         chosen = ranked.where(F.col("idx") < max_features)
     else:
-        top = settle(totals.orderBy(*order).limit(max_features), "terms")
+        top = totals.orderBy(*order).limit(max_features)
         chosen = top.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
-    chosen = as_lookup(chosen, "terms")
+    chosen = Lookup(settle(chosen, "terms"), True) if not by else as_lookup(chosen, "terms")
     seen = found.select(*by, F.explode(F.array_distinct("_terms")).alias("term"))
     df = lookup_join(seen, chosen, [*by, "term"], "left_semi").groupBy(*by, "term").agg(
         F.count(F.lit(1)).alias("df")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagmill.functions.vectors import cosine, doubles
-from tagmill.storage import as_lookup, pair_with
+from tagmill.storage import pair_with, settle
 
 # The greedy split is sequential in the labels of one taxonomy.
 MAX_LABELS = 20_000
@@ -23,10 +23,10 @@ def centroids(rows: DataFrame, *by: str) -> DataFrame:
 def reduce_dims(vectors: DataFrame, dims: int) -> DataFrame:
     """Replace ``vector`` by its first ``dims`` principal components; a table of at
     most ``dims`` rows stays as it is."""
-    counted = as_lookup(vectors, "vectors")
-    if counted.rows <= dims:
-        return counted.table
-    wide = counted.table.withColumn("_wide", array_to_vector(doubles(F.col("vector"))))
+    table = settle(vectors, "vectors")
+    if table.limit(dims + 1).count() <= dims:
+        return table
+    wide = table.withColumn("_wide", array_to_vector(doubles(F.col("vector"))))
     model = PCA(k=dims, inputCol="_wide", outputCol="_narrow").fit(wide)
     return model.transform(wide).withColumn("vector", vector_to_array("_narrow")).drop("_wide", "_narrow")
 
@@ -56,11 +56,10 @@ def greedy_subsets(label_vectors: DataFrame, subset_size: int = 8, taxonomy=(),
     if not by:
         label_vectors = label_vectors.withColumn("_all", F.lit(0))
     group = by or ["_all"]
-    labels = as_lookup(label_vectors.select(*group, "label", "vector"), "labels")
-    if labels.rows > max_labels:
-        widest = labels.table.groupBy(*group).count().agg(F.max("count")).first()[0]
-        if widest > max_labels:
-            raise ValueError(f"{widest} labels in one taxonomy; the limit is {max_labels}")
+    labels = settle(label_vectors.select(*group, "label", "vector"), "labels")
+    wide = labels.groupBy(*group).count().where(F.col("count") > max_labels).first()
+    if wide is not None:
+        raise ValueError(f"{wide['count']} labels in one taxonomy; the limit is {max_labels}")
 
     def split(key, frame):
         import numpy as np
@@ -90,10 +89,10 @@ def greedy_subsets(label_vectors: DataFrame, subset_size: int = 8, taxonomy=(),
         return pd.DataFrame(out, columns=[*group, "subset_id", "pos", "label"])
 
     fields = [
-        *labels.table.select(*group).schema,
+        *labels.select(*group).schema,
         T.StructField("subset_id", T.StringType()),
         T.StructField("pos", T.LongType()),
-        *labels.table.select("label").schema,
+        *labels.select("label").schema,
     ]
-    found = labels.table.groupBy(*group).applyInPandas(split, T.StructType(fields))
+    found = labels.groupBy(*group).applyInPandas(split, T.StructType(fields))
     return found if by else found.drop("_all")

@@ -13,7 +13,7 @@ from tagmill.constants import NOISE_LABEL
 from tagmill.functions.scores import entropy_bits, top_label
 from tagmill.functions.vectors import doubles
 from tagmill.operators.mapping import classes_of
-from tagmill.storage import as_lookup, fresh_path, lookup_join, settle
+from tagmill.storage import as_lookup, estimated_bytes, fresh_path, lookup_join, settle
 
 MODEL_SCHEMA = "subset_id string, class_idx int, label string, intercept double, coefficients array<double>"
 LOG_SCHEMA = "subset_id string, train_samples long, classes int, error string"
@@ -86,6 +86,19 @@ def _passes(model_table: DataFrame, pass_bytes: int):
     """Stacked weights in groups of subsets that fit one broadcast."""
     import numpy as np
 
+    def stacked(rows):
+        return (
+            np.array([r["coefficients"] for r in rows]),
+            np.array([r["intercept"] for r in rows]),
+            [(r["subset_id"], r["label"]) for r in rows],
+        )
+
+    ordered = model_table.orderBy("subset_id", "class_idx")
+    if estimated_bytes(model_table) * 8 <= pass_bytes:
+        rows = ordered.collect()
+        if rows:
+            yield stacked(rows)
+        return
     sizes = model_table.groupBy("subset_id").agg(F.sum(8 * F.size("coefficients")).alias("bytes")).orderBy("subset_id").collect()
     groups, used = [[]], 0
     for row in sizes:
@@ -95,13 +108,9 @@ def _passes(model_table: DataFrame, pass_bytes: int):
         groups[-1].append(row["subset_id"])
         used += row["bytes"]
     for group in groups:
-        rows = model_table.where(F.col("subset_id").isin(group)).orderBy("subset_id", "class_idx").collect()
+        rows = ordered.where(F.col("subset_id").isin(group)).collect()
         if rows:
-            yield (
-                np.array([r["coefficients"] for r in rows]),
-                np.array([r["intercept"] for r in rows]),
-                [(r["subset_id"], r["label"]) for r in rows],
-            )
+            yield stacked(rows)
 
 
 def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS_BYTES, keep=("row_id",), own: bool = False):

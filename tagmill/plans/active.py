@@ -119,7 +119,7 @@ def retrain(spark, parts: Components, run_dir: str, at: int, options: Options, e
         refitted = list(trained.models)
         kept = parts.weights.where(~F.col("subset_id").isin(refitted))
         parts.weights = settle(kept.unionByName(trained.weights), "models")
-    state.save_models(spark, parts.models, f"{run_dir}/models/iter={at}-{int(time.time() * 1000)}", trained.kind)
+    state.save_models(spark, parts.models, f"{run_dir}/models/iter={at}-{int(time.time() * 1000)}", trained.kind, parts.weights)
     fitted = F.col("subset_id").isin(list(trained.models))
     state.append_rows(now.select("subset_id", fitted.alias("retrained"), "rows"), run_dir, "fits", at)
     return len(trained.models)

@@ -58,7 +58,7 @@ def run_initial(
     descriptions = settle(
         judging.describe_labels(seed, seed, judge, options.description_examples, options.seed), "descriptions"
     )
-    state.save_models(spark, trained.models, f"{run_dir}/models/iter=0", trained.kind)
+    state.save_models(spark, trained.models, f"{run_dir}/models/iter=0", trained.kind, trained.weights)
     state.save_mapping(mapping, f"{run_dir}/mapping")
     state.save_state(
         run_dir,
@@ -79,8 +79,5 @@ def run_initial(
 def load_components(spark: SparkSession, run_dir: str) -> Components:
     """Components of a finished initial run."""
     _, tables = state.load_state(spark, run_dir, 0)
-    path = f"{run_dir}/models/iter=0"
-    weights = state.load_coefficients(spark, path) if state.exists(spark, f"{path}/coefficients") else None
-    return Components(
-        run_dir, tables["labelled"], tables["mapping"], tables["descriptions"], None, state.load_models(spark, path), weights
-    )
+    models, weights = state.load_models(spark, f"{run_dir}/models/iter=0")
+    return Components(run_dir, tables["labelled"], tables["mapping"], tables["descriptions"], None, models, weights)

@@ -4,7 +4,7 @@ Everything is append-only; an iteration counts once its manifest is written, whi
 happens last.
 """
 
-from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,27 +117,28 @@ def load_cache(spark: SparkSession, path: str, keys, schema=None) -> DataFrame:
     return table.dropDuplicates(list(keys))
 
 
-def save_models(spark: SparkSession, models, path: str, kind: str) -> DataFrame:
-    """Save every subset's MLlib model and, for linear ones, the coefficient table."""
+def save_models(spark: SparkSession, models, path: str, kind: str, weights: DataFrame | None = None) -> DataFrame:
+    """Save the models of all subsets and an index of them.
+
+    Linear models are their coefficient table; others use MLlib's own format.
+    """
+    linear = kind == "logistic_regression"
     rows = []
     for at, (subset_id, (model, labels)) in enumerate(sorted(models.items())):
-        folder = f"{path}/model_{at}"
-        model.write().save(folder)
+        folder = f"{path}/coefficients" if linear else f"{path}/model_{at}"
+        if not linear:
+            model.write().save(folder)
         rows.append((subset_id, kind, folder, labels))
+    if linear:
+        (coefficient_table(spark, models) if weights is None else weights).write.parquet(f"{path}/coefficients")
     index = spark.createDataFrame(rows, "subset_id string, kind string, folder string, labels array<string>")
     index.coalesce(1).write.parquet(f"{path}/index")
-    if kind == "logistic_regression":
-        coefficient_table(spark, models).write.parquet(f"{path}/coefficients")
     return spark.read.parquet(f"{path}/index")
 
 
 def load_models(spark: SparkSession, path: str):
-    """Models by subset, as saved."""
-    readers = {"logistic_regression": LogisticRegressionModel, "random_forest": RandomForestClassificationModel}
+    """Saved models: a dictionary by subset, or the coefficient table of linear ones."""
     rows = spark.read.parquet(f"{path}/index").collect()
-    return {r["subset_id"]: (readers[r["kind"]].load(r["folder"]), r["labels"]) for r in rows}
-
-
-def load_coefficients(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/coefficients")
-
+    if all(r["kind"] == "logistic_regression" for r in rows):
+        return {}, spark.read.parquet(f"{path}/coefficients")
+    return {r["subset_id"]: (RandomForestClassificationModel.load(r["folder"]), r["labels"]) for r in rows}, None

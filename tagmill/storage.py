@@ -7,8 +7,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A lookup up to this many rows is broadcast; a larger one is joined by salted shuffle.
+# A lookup within these limits is broadcast; a larger one is joined by salted shuffle.
+KNOWN_SMALL_BYTES = 10 * 1024 * 1024
 LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 64 * 1024 * 1024
+# Most items a grid may have on its small side.
+GRID_ROWS = 100_000
 SALTS = 32
 CHUNK = 10_000
 
@@ -41,35 +45,46 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, from file sizes; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Lookup(NamedTuple):
-    """A written table whose row count is known."""
+    """A per-label (or per-group) table and whether its size allows a broadcast."""
 
     table: DataFrame
-    rows: int
+    small: bool
 
 
 def as_lookup(df: DataFrame, name: str = "lookup") -> Lookup:
-    """Write ``df`` once, counting its rows on the way."""
+    """Check the size of a lookup.
+
+    A table that Catalyst already knows to be small is used as it is. Any other is
+    written once; its rows and bytes then decide.
+    """
+    if estimated_bytes(df) <= KNOWN_SMALL_BYTES:
+        return Lookup(df, True)
     seen = Observation()
     table = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
-    return Lookup(table, seen.get["rows"])
+    return Lookup(table, seen.get["rows"] <= LOOKUP_ROWS and estimated_bytes(table) <= LOOKUP_BYTES)
 
 
-def lookup_join(rows, lookup, on, how="inner", max_rows=LOOKUP_ROWS, salts=SALTS) -> DataFrame:
-    """Join a large table to a per-label (or per-group) table.
+def lookup_join(rows, lookup, on, how="inner", salts=SALTS) -> DataFrame:
+    """Join a large table to a lookup.
 
-    Up to ``max_rows`` lookup rows the join is a broadcast and ``rows`` is not
-    shuffled. Beyond that every lookup row is repeated per salt and the rows of a
-    hot key spread over ``salts`` tasks. Both ways give the same result.
+    A lookup of checked size is broadcast and ``rows`` is not shuffled. Beyond that
+    every lookup row is repeated per salt and the rows of a hot key spread over
+    ``salts`` tasks. Both ways give the same result.
     """
     if not isinstance(lookup, Lookup):
         lookup = as_lookup(lookup)
     on = [on] if isinstance(on, str) else list(on)
-    if lookup.rows <= max_rows:
+    if lookup.small:
         return rows.join(F.broadcast(lookup.table), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
-    repeated = lookup.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    return salted.join(lookup.table.withColumn("_salt", F.explode(every)), [*on, "_salt"], how).drop("_salt")
 
 
 def split_join(rows, matches, on, how="left", hot_rows=1_000_000) -> DataFrame:
@@ -79,9 +94,10 @@ def split_join(rows, matches, on, how="left", hot_rows=1_000_000) -> DataFrame:
     remaining rows take a plain shuffle join.
     """
     on = [on] if isinstance(on, str) else list(on)
-    hot = as_lookup(rows.groupBy(*on).count().where(F.col("count") >= hot_rows).select(*on), "hot")
-    if hot.rows == 0:
+    hot_keys = settle(rows.groupBy(*on).count().where(F.col("count") >= hot_rows).select(*on), "hot")
+    if hot_keys.isEmpty():
         return rows.join(matches, on, how)
+    hot = as_lookup(hot_keys)
     hot_matches = lookup_join(matches, hot, on, "left_semi")
     in_hot = lookup_join(rows, hot, on, "left_semi")
     others = lookup_join(rows, hot, on, "left_anti")
@@ -94,14 +110,14 @@ def pair_with(rows: DataFrame, items: DataFrame, order: str) -> DataFrame:
     Used where the result itself is that grid (labels by labels, sampled rows by
     subsets). ``items`` is written, counted and bounded first.
     """
-    lookup = as_lookup(items, "items")
-    if lookup.rows > LOOKUP_ROWS:
-        raise ValueError(f"a grid over {lookup.rows} items is too large")
-    numbered = lookup.table.withColumn("_pos", F.row_number().over(Window.orderBy(order)))
-    if lookup.rows == 0:
-        return lookup_join(rows.withColumn("_pos", F.lit(1)), Lookup(numbered, 0), "_pos").drop("_pos")
-    spread = rows.withColumn("_pos", F.explode(F.sequence(F.lit(1), F.lit(lookup.rows))))
-    return lookup_join(spread, Lookup(numbered, lookup.rows), "_pos").drop("_pos")
+    seen = Observation()
+    table = settle(items.observe(seen, F.count(F.lit(1)).alias("rows")), "items")
+    count = seen.get["rows"]
+    if count > GRID_ROWS:
+        raise ValueError(f"a grid over {count} items is too large")
+    numbered = table.withColumn("_pos", F.row_number().over(Window.orderBy(order)))
+    places = F.sequence(F.lit(1), F.lit(count)) if count else F.array().cast("array<int>")
+    return lookup_join(rows.withColumn("_pos", F.explode(places)), numbered, "_pos").drop("_pos")
 
 
 def repeat_rows(rows: DataFrame, copies: str, ids, name: str) -> DataFrame:
