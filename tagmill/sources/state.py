@@ -5,7 +5,7 @@ happens last.
 """
 
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.operators.mapping import flat_mapping, nested_mapping
@@ -31,10 +31,9 @@ def save_state(run_dir: str, iteration: int, **tables: DataFrame) -> DataFrame:
     spark = None
     for name, table in tables.items():
         spark = table.sparkSession
-        seen = Observation()
-        counted = table.observe(seen, F.count(F.lit(1)).alias("rows"))
-        counted.write.mode("overwrite").parquet(f"{_folder(run_dir, iteration)}/{name}")
-        rows.append((iteration, name, seen.get["rows"]))
+        path = f"{_folder(run_dir, iteration)}/{name}"
+        table.write.mode("overwrite").parquet(path)
+        rows.append((iteration, name, spark.read.schema(table.schema).parquet(path).count()))
     manifest = spark.createDataFrame(rows, MANIFEST).coalesce(1)
     manifest.write.mode("overwrite").parquet(f"{run_dir}/manifest/iter={iteration}/table")
     return spark.read.schema(MANIFEST).parquet(f"{run_dir}/manifest/iter={iteration}/table")

@@ -4,7 +4,7 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A lookup within these limits is broadcast; a larger one is joined by salted shuffle.
@@ -65,9 +65,8 @@ def as_lookup(df: DataFrame, name: str = "lookup") -> Lookup:
     """
     if estimated_bytes(df) <= KNOWN_SMALL_BYTES:
         return Lookup(df, True)
-    seen = Observation()
-    table = settle(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
-    return Lookup(table, seen.get["rows"] <= LOOKUP_ROWS and estimated_bytes(table) <= LOOKUP_BYTES)
+    table = settle(df, name)
+    return Lookup(table, estimated_bytes(table) <= LOOKUP_BYTES and table.count() <= LOOKUP_ROWS)
 
 
 def lookup_join(rows, lookup, on, how="inner", salts=SALTS) -> DataFrame:
@@ -110,9 +109,8 @@ def pair_with(rows: DataFrame, items: DataFrame, order: str) -> DataFrame:
     Used where the result itself is that grid (labels by labels, sampled rows by
     subsets). ``items`` is written, counted and bounded first.
     """
-    seen = Observation()
-    table = settle(items.observe(seen, F.count(F.lit(1)).alias("rows")), "items")
-    count = seen.get["rows"]
+    table = settle(items, "items")
+    count = table.count()
     if count > GRID_ROWS:
         raise ValueError(f"a grid over {count} items is too large")
     numbered = table.withColumn("_pos", F.row_number().over(Window.orderBy(order)))
