@@ -11,7 +11,7 @@ from tagmill.functions.vectors import doubles, unit
 from tagmill.constants import NOISE_LABEL
 from tagmill.operators.labelspace import centroids
 from tagmill.operators.mapping import classes_of, fixed_mapping
-from tagmill.operators.models import with_scores
+from tagmill.operators.models import score_linear
 from tagmill.functions.scores import softmax
 from tagmill.storage import lookup_join, pair_with, settle
 
@@ -112,7 +112,7 @@ def probabilities(spark, sf):
 
 
 def predictions(spark, sf):
-    scored = with_scores(probabilities(spark, sf))
+    scored = score_linear(vectors(spark, sf).select("row_id", "vector"), linear_models(spark, sf))
     return scored.withColumn("uncertainty", F.round("uncertainty", 9)).withColumn(
         "max_probability", F.round("max_probability", 9)
     )

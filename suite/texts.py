@@ -11,7 +11,7 @@ from tagmill.functions.replies import decode_reply, verdict
 from tagmill.functions.text import text_key, truncate
 from tagmill.operators import features, judge
 from tagmill.operators.sampling import sample_examples
-from tagmill.storage import lookup_join, settle
+from tagmill.storage import lookup_join, settle, spread
 
 
 def quoted(text):
@@ -228,7 +228,7 @@ idf AS (SELECT *, row_number() OVER (ORDER BY tf DESC, term) - 1 AS idx, ln((1 +
 
 
 def document_vocabulary(spark, sf):
-    return features.vocabulary(documents(spark, sf), 10_000, STOP_WORDS)
+    return features.vocabulary(spread(documents(spark, sf)), 10_000, STOP_WORDS)
 
 
 @query(f"WITH {TERMS} SELECT term, idx, tf, df, round(idf, 9) AS idf FROM idf")
@@ -239,8 +239,7 @@ def tfidf_vocabulary(spark, sf):
 @query(f"""WITH {TERMS}, w AS (SELECT row_id, tf.term, tf.tf * idf AS w FROM tf JOIN idf USING (term))
 SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 7) AS weight FROM w""")
 def tfidf(spark, sf):
-    rows = documents(spark, sf)
-    weights = features.tfidf(rows, settle(document_vocabulary(spark, sf), "vocabulary"), STOP_WORDS)
+    weights = features.tfidf(spread(documents(spark, sf)), document_vocabulary(spark, sf), STOP_WORDS)
     return weights.select("row_id", "term", F.round("weight", 7).alias("weight"))
 
 

@@ -172,7 +172,8 @@ def entropy_of_rows(spark, sf):
 
 @query(f"WITH {SCORED} SELECT row_id, subset_id, predicted_label, max_probability FROM preds")
 def argmax_class(spark, sf):
-    return predictions(spark, sf).select("row_id", "subset_id", "predicted_label", "max_probability")
+    found = models.with_scores(probabilities(spark, sf), ("row_id", "subset_id"))
+    return found.select("row_id", "subset_id", "predicted_label", F.round("max_probability", 9).alias("max_probability"))
 
 
 @query(f"""WITH {SCORED} SELECT row_id, subset_id, predicted_label, uncertainty FROM preds

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagmill.functions.text import strip_space, text_key, tokens, with_pairs, without
-from tagmill.storage import Lookup, as_lookup, lookup_join, settle, split_join
+from tagmill.storage import as_lookup, lookup_join, settle, split_join
 
 
 def with_terms(rows: DataFrame, stop_words=()) -> DataFrame:
@@ -18,15 +18,35 @@ def with_terms(rows: DataFrame, stop_words=()) -> DataFrame:
     return split.withColumn("_terms", with_pairs(F.col("_words"))).drop("_words")
 
 
+def term_counts(rows: DataFrame, stop_words=(), keep=()) -> DataFrame:
+    """``keep`` columns, ``term`` and ``n`` for every distinct term of every row.
+
+    A row's terms are sorted and their runs measured inside the row, so counting
+    needs no shuffle.
+    """
+    terms = with_terms(rows.select(*keep, "text"), stop_words)
+    ordered = terms.select(*keep, F.sort_array("_terms").alias("_s"))
+    term = F.col("_s")
+    # no row filter here: it would move below and split every text twice
+    places = F.when(F.size(term) > 0, F.sequence(F.lit(0), F.size(term) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(term, i) != F.get(term, i - 1)))
+    marked = ordered.withColumn("_starts", starts)
+    ends = F.when(F.size("_starts") > 0, F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_s")))).otherwise(
+        F.array().cast("array<int>")
+    )
+    runs = F.zip_with(
+        "_starts", ends, lambda a, b: F.struct(F.get(F.col("_s"), a).alias("term"), (b - a).cast("long").alias("n"))
+    )
+    return marked.select(*keep, F.inline(runs))
+
+
 def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()) -> DataFrame:
     """Most frequent terms with their number, document frequency and IDF weight.
 
-    Term totals are pre-aggregated per task; document frequency is counted only for
-    the chosen terms.
+    One pass over the texts; totals are pre-aggregated per task.
     """
     by = list(by)
-    found = with_terms(rows.select(*by, "text"), stop_words)
-    totals = found.select(*by, F.explode("_terms").alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
+    totals = term_counts(rows, stop_words, by).groupBy(*by, "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
     order = [F.desc("tf"), F.col("term")]
     if by:
         ranked = totals.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
@@ -34,28 +54,20 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()
     else:
         top = totals.orderBy(*order).limit(max_features)
         chosen = top.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
-    chosen = Lookup(settle(chosen, "terms"), True) if not by else as_lookup(chosen, "terms")
-    seen = found.select(*by, F.explode(F.array_distinct("_terms")).alias("term"))
-    df = lookup_join(seen, chosen, [*by, "term"], "left_semi").groupBy(*by, "term").agg(
-        F.count(F.lit(1)).alias("df")
-    )
     docs = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_docs"))
-    weighted = chosen.table.join(df, [*by, "term"])
-    weighted = lookup_join(weighted, docs, by) if by else weighted.withColumn("_docs", F.lit(docs.first()[0]))
-    return weighted.withColumn("idf", F.log((F.col("_docs") + 1) / (F.col("df") + 1)) + 1).drop("_docs")
+    weighted = lookup_join(chosen, docs, by) if by else chosen.withColumn("_docs", F.lit(docs.first()[0]))
+    return settle(weighted.withColumn("idf", F.log((F.col("_docs") + 1) / (F.col("df") + 1)) + 1).drop("_docs"), "vocabulary")
 
 
 def tfidf(rows: DataFrame, vocab: DataFrame, stop_words=()) -> DataFrame:
     """Long form: unit-length TF-IDF weights per row and term.
 
-    Terms outside the vocabulary go before the one shuffle, which carries only row
-    id and term number.
+    Terms outside the vocabulary go before the one shuffle, which carries one short
+    line per row and term.
     """
     known = as_lookup(vocab.select("term", "idx", "idf"), "vocabulary")
-    exploded = with_terms(rows.select("row_id", "text"), stop_words).select("row_id", F.explode("_terms").alias("term"))
-    hits = lookup_join(exploded, known, "term").select("row_id", "idx")
-    counts = hits.repartition("row_id").groupBy("row_id", "idx").agg(F.count(F.lit(1)).alias("tf"))
-    raw = lookup_join(counts, known, "idx").withColumn("_w", F.col("tf") * F.col("idf"))
+    hits = lookup_join(term_counts(rows, stop_words, ["row_id"]), known, "term")
+    raw = hits.withColumn("_w", F.col("n") * F.col("idf"))
     size = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("row_id")))
     return raw.select("row_id", "term", "idx", (F.col("_w") / size).alias("weight"))
 

@@ -76,8 +76,8 @@ def noise_candidates(rows: DataFrame, mapping: DataFrame, max_rows: int = 1000,
     """
     homes = attach_subset(rows, mapping, "left").withColumn("_home", F.coalesce("subset_id", F.lit("")))
     homes = homes.drop("subset_id")
-    nearest = settle(take_lowest(homes, ["_home"], ["row_id"], max_rows, seed), "nearest")
-    first = settle(take_lowest(nearest, [], ["row_id"], 2 * max_rows, seed), "noise")
+    nearest = take_lowest(homes, ["_home"], ["row_id"], max_rows, seed)
+    first = settle(nearest.orderBy(draw_key(seed, "row_id"), "row_id").limit(2 * max_rows), "noise")
     grid = pair_with(first, mapping.select("subset_id").distinct(), "subset_id")
     order = Window.partitionBy("subset_id").orderBy(draw_key(seed, "row_id"), "row_id")
     return (

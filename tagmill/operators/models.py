@@ -190,18 +190,17 @@ def score_models(rows: DataFrame, models, keep=("row_id",), own: bool = False) -
             names.alias("labels"),
             vector_to_array("probability").alias("probabilities"),
         )
-        part = with_scores(found, keep)
+        part = with_scores(found, [*keep, "subset_id"])
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise ValueError("no trained classifier")
     return scored
 
 
-def with_scores(rows: DataFrame, keep=("row_id",)) -> DataFrame:
+def with_scores(rows: DataFrame, keep=("row_id", "subset_id")) -> DataFrame:
     """Predicted label, entropy and top probability from ``labels, probabilities``."""
     return rows.select(
         *keep,
-        "subset_id",
         top_label(F.col("probabilities"), F.col("labels")).alias("predicted_label"),
         entropy_bits(F.col("probabilities")).alias("uncertainty"),
         F.array_max("probabilities").alias("max_probability"),
