@@ -56,9 +56,8 @@ def mapping(spark, sf, size=8):
 def part_mapping(spark, sf, size=8):
     """Mapping of the part labels; the last label stays unmapped."""
     labels = parts(spark, sf).select("label").distinct()
-    last = labels.agg(F.max("label").alias("last"))
-    some = labels.join(F.broadcast(last), F.col("label") < F.col("last")).select("label")
-    return settle(fixed_mapping(some, size), "mapping")
+    last = labels.agg(F.max("label")).first()[0]
+    return settle(fixed_mapping(labels.where(F.col("label") < last), size), "mapping")
 
 
 def vectors(spark, sf):
@@ -140,10 +139,9 @@ def replies(spark, sf):
 def runs(spark, sf):
     """Documents as judged rows of several runs: the label is the run, ten
     iterations each by document id."""
-    top = table(spark, sf, "documents").agg((F.max("doc_id") + 1).alias("_ids"))
-    rows = replies(spark, sf).join(F.broadcast(top))
-    iteration = F.floor(F.col("row_id") * 10 / F.col("_ids")) + 1
-    return rows.withColumn("run", F.col("label")).withColumn("iteration", iteration.cast("int")).drop("_ids")
+    ids = table(spark, sf, "documents").agg(F.max("doc_id") + 1).first()[0]
+    iteration = F.floor(F.col("row_id") * 10 / ids) + 1
+    return replies(spark, sf).withColumn("run", F.col("label")).withColumn("iteration", iteration.cast("int"))
 
 
 def history(spark, sf):

@@ -13,8 +13,7 @@ from suite.relational import verdict_cache, verdict_rows
 from suite.texts import DESCRIBE, filled
 from tagmill import constants as K
 from tagmill.functions import prompts
-from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress
-from tagmill.operators.sampling import fraction_split
+from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress, sampling
 from tagmill.options import Options
 from tagmill.plans import active, initial, training
 from tagmill.sources import state
@@ -334,7 +333,7 @@ def al_retrain_due(spark, sf):
 
 # the runs
 
-QUICK = Options(max_iter=50, max_iterations=2, batch_size=100, samples_per_iteration=50, retrain_threshold=20)
+QUICK = Options(max_iter=50, max_iterations=2)
 
 
 def initial_run(spark, sf):
@@ -365,10 +364,15 @@ def run_active(spark, sf):
 
 @query()
 def al_iteration(spark, sf):
-    """Verdicts of one iteration."""
-    from dataclasses import replace
-
-    return active_run(spark, sf, replace(QUICK, max_iterations=1)).verdicts
+    """Verdicts of one iteration over the first batch of the pool."""
+    found = initial_run(spark, sf)
+    run_dir = fresh_path(spark, "loop")
+    rows = sampling.number_rows(pool(spark, sf).select("row_id", "text"), "row_id")
+    rows = settle(rows.withColumn("row_id", F.col("row_id").cast("string")), "pool")
+    active.run_iteration(
+        spark, found, rows, run_dir, 1, "informative", features.word_hash_encoder(), digest_judge(), QUICK, "words", 0
+    )
+    return state.read_appended(spark, run_dir, "log", active.LOG)
 
 
 # arriving texts

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagmill.functions.text import strip_space, text_key, tokens, with_pairs, without
-from tagmill.storage import as_lookup, lookup_join, settle, split_join
+from tagmill.storage import as_lookup, lookup_join, only_needed, settle, split_join
 
 
 def with_terms(rows: DataFrame, stop_words=()) -> DataFrame:
@@ -138,13 +138,15 @@ def cache_misses(rows: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     Texts are reduced to one per key before anything else, so copies do not pile up.
     """
     distinct = rows.select(text_key(F.col("text")).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
-    return distinct.join(cache.where(F.col("model") == model).select("key"), "key", "left_anti")
+    known = only_needed(cache.where(F.col("model") == model).select("key"), distinct, "key")
+    return distinct.join(known, "key", "left_anti")
 
 
 def cache_hits(rows: DataFrame, cache: DataFrame, model: str, hot_rows: int = 1_000_000) -> DataFrame:
     """Rows with their cached vector."""
-    known = cache.where(F.col("model") == model).dropDuplicates(["key"]).select("key", "embedding")
-    return split_join(rows.withColumn("key", text_key(F.col("text"))), known, "key", "inner", hot_rows)
+    keyed = rows.withColumn("key", text_key(F.col("text")))
+    known = only_needed(cache.where(F.col("model") == model), keyed, "key")
+    return split_join(keyed, known.dropDuplicates(["key"]).select("key", "embedding"), "key", "inner", hot_rows)
 
 
 def embed_texts(rows: DataFrame, cache: DataFrame, encoder, model: str, strict: bool = False):

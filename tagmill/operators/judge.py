@@ -13,7 +13,7 @@ from tagmill.functions.replies import verdict
 from tagmill.functions.text import strip_space, text_key
 from tagmill.operators.neighbours import knn_join
 from tagmill.operators.sampling import sample_examples
-from tagmill.storage import lookup_join, settle, split_join
+from tagmill.storage import lookup_join, only_needed, settle, split_join
 
 PAIR = ["text_md5", "predicted_label"]
 VERDICT = ["is_valid", "confidence", "reply", "error", "n_examples", "description"]
@@ -31,8 +31,9 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def cache_split(rows: DataFrame, cache: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """Rows with their cached verdict, if any, and a ``cached`` flag."""
-    known = cache.dropDuplicates(PAIR).select(*PAIR, *VERDICT, F.lit(True).alias("cached"))
-    joined = split_join(keyed(rows), known, PAIR, "left", hot_rows)
+    pairs = keyed(rows)
+    known = only_needed(cache, pairs, PAIR).dropDuplicates(PAIR).select(*PAIR, *VERDICT, F.lit(True).alias("cached"))
+    joined = split_join(pairs, known, PAIR, "left", hot_rows)
     return joined.withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagmill.operators import judge as judging, models, progress
 from tagmill.operators.cleaning import accepted, clean_rows, drop_noise
+from tagmill.operators.mapping import attach_subset
 from tagmill.operators.sampling import batch_slice, number_rows
 from tagmill.options import Options
 from tagmill.plans.initial import Components, embed, load_components
@@ -105,8 +106,7 @@ def retrain(spark, parts: Components, run_dir: str, at: int, options: Options, e
     """Refit subsets that gained rows, from all labelled rows; returns their number."""
     validated = state.read_appended(spark, run_dir, "validated", VALIDATED, at)
     labelled = settle(all_labelled(parts, validated), "labelled")
-    subset_of = parts.mapping.select("label", "subset_id")
-    rows = labelled.select("label").join(F.broadcast(subset_of) if parts.mapping.count() < 100_000 else subset_of, "label")
+    rows = attach_subset(labelled.select("row_id", "label"), parts.mapping)
     now = settle(rows.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows")), "sizes")
     due = now if everything or options.retrain_all else models.needs_retrain(rows, last_fits(spark, run_dir, at - 1))
     chosen = sorted(r["subset_id"] for r in due.select("subset_id").collect())
@@ -146,7 +146,7 @@ def run_active(
     at = state.latest_iteration(spark, run_dir)
     if at is None:
         at = 0
-        sizes = parts.labelled.join(parts.mapping, "label").groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
+        sizes = attach_subset(parts.labelled, parts.mapping).groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
         state.append_rows(sizes.select("subset_id", F.lit(True).alias("retrained"), "rows"), run_dir, "fits", 0)
         state.save_state(run_dir, 0, mapping=parts.mapping)
     history = state.read_appended(spark, run_dir, "history", HISTORY, at)

@@ -103,6 +103,17 @@ def split_join(rows, matches, on, how="left", hot_rows=1_000_000) -> DataFrame:
     return lookup_join(in_hot, hot_matches, on, how).unionByName(others.join(matches, on, how))
 
 
+def only_needed(table: DataFrame, rows: DataFrame, on) -> DataFrame:
+    """Rows of a large keyed table whose key occurs in ``rows``.
+
+    The keys of a small batch are broadcast, so a grown cache is scanned but not
+    shuffled; many keys take a plain shuffle join.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    keys = as_lookup(rows.select(*on).distinct(), "keys")
+    return table.join(F.broadcast(keys.table) if keys.small else keys.table, on, "left_semi")
+
+
 def pair_with(rows: DataFrame, items: DataFrame, order: str) -> DataFrame:
     """Every row with every row of a small ``items`` table, by position.
 
