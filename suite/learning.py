@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from suite.fixtures import (
-    BASE, DOCS, HISTORY, MAPPING, PARTS, PART_MAPPING, RUNS, VERDICTS, documents, history, linear_models, mapping, part_mapping,
+    BASE, DOCS, HISTORY, MAPPING, PARTS, PART_MAPPING, RUNS, SCORED, documents, history, linear_models, mapping, part_mapping,
     parts, pool, seed, settle, vector_mapping, vectors,
 )
 from suite.registry import query
@@ -378,26 +378,22 @@ def al_iteration(spark, sf):
 # arriving texts
 
 
-def _arriving(spark, sf, columns):
-    """Documents as four files, read two per micro-batch."""
+def _arriving(spark, frame):
+    """A table as four files, read two per micro-batch."""
     path = fresh_path(spark, "arrivals")
-    frame = documents(spark, sf).select(*columns)
     frame.repartitionByRange(4, "row_id").write.parquet(path)
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query()
+@query(f"WITH {SCORED} SELECT row_id, subset_id, predicted_label, uncertainty FROM preds WHERE predicted_label <> '__NOISE__'")
 def stream_score(spark, sf):
-    """Documents scored on arrival; the queue of uncertain rows."""
-    dims = len(linear_models(spark, sf).first()["coefficients"])
+    """Vectors scored on arrival: the predictions of all micro-batches."""
     out = fresh_path(spark, "stream")
-
-    def vectorise(batch):
-        return features.hashed_vectors(batch, dims).withColumnRenamed("embedding", "vector")
-
-    arrivals.stream_score(_arriving(spark, sf, ["row_id", "text"]), vectorise, linear_models(spark, sf), out, 20)
+    stream = _arriving(spark, vectors(spark, sf).select("row_id", "vector"))
+    arrivals.stream_score(stream, lambda batch: batch, linear_models(spark, sf), out, 20)
     schema = "row_id long, subset_id string, predicted_label string, uncertainty double"
-    return state.read_appended(spark, out, "queue", schema)
+    found = state.read_appended(spark, out, "predictions", schema).drop("iteration")
+    return found.withColumn("uncertainty", F.round("uncertainty", 9))
 
 
 @query(f"""WITH {DOCS} SELECT count(DISTINCT (md5(text), label)) AS asked, count(DISTINCT (md5(text), label)) AS pairs FROM docs""")
@@ -408,7 +404,7 @@ def stream_cache_dedup(spark, sf):
     def prompt(text, label):
         return prompts.binary_prompt(text, label, prompts.default_description(label), F.array().cast("array<string>"), 6)
 
-    stream = _arriving(spark, sf, ["row_id", "text", F.col("label").alias("predicted_label")])
+    stream = _arriving(spark, documents(spark, sf).select("row_id", "text", F.col("label").alias("predicted_label")))
     arrivals.stream_judge(stream, lambda asked: ["True" for _ in asked], prompt, out)
     found = state.read_appended(spark, out, "verdicts", judge.CACHE_SCHEMA)
     return found.agg(F.count(F.lit(1)).alias("asked"), F.count_distinct(*judge.PAIR).alias("pairs"))
