@@ -557,15 +557,16 @@ def noise_target(spark, sf):
     return maps.noise_targets(parts(spark, sf), part_mapping(spark, sf))
 
 
-OVERSAMPLED = f"""{CANDIDATES}, {TARGETS}, sized AS (SELECT subset_id, count(*) AS m FROM candidates GROUP BY subset_id),
+def oversampled_sql(times):
+    """Candidates in turn, again and again, until ``times`` the target is reached."""
+    return f"""{CANDIDATES}, {TARGETS}, sized AS (SELECT subset_id, count(*) AS m FROM candidates GROUP BY subset_id),
 repeated AS (
-  SELECT row_id, subset_id, unnest(range(0, 100)) AS rep, place FROM candidates),
-oversampled AS (
-  SELECT row_id, subset_id, rep + 1 AS copy FROM repeated JOIN sized USING (subset_id) JOIN targets USING (subset_id)
-  WHERE rep * m + place <= target * 20)"""
+  SELECT row_id, subset_id, place, m, target * {times} AS wanted, unnest(range(0, CAST(ceil(target * {times} / m) AS BIGINT))) AS rep
+  FROM candidates JOIN sized USING (subset_id) JOIN targets USING (subset_id)),
+oversampled AS (SELECT row_id, subset_id, rep + 1 AS copy FROM repeated WHERE rep * m + place <= wanted)"""
 
 
-@query(f"WITH {OVERSAMPLED} SELECT row_id, subset_id, copy FROM oversampled")
+@query(f"WITH {oversampled_sql(20)} SELECT row_id, subset_id, copy FROM oversampled")
 def noise_oversample(spark, sf):
     """Twenty times the usual target, so that candidates repeat."""
     known = part_mapping(spark, sf)
@@ -574,8 +575,8 @@ def noise_oversample(spark, sf):
     return maps.oversample_noise(maps.noise_candidates(rows, known), targets).select("row_id", "subset_id", "copy")
 
 
-@query(f"""WITH {CANDIDATES}, {TARGETS} SELECT row_id, label, subset_id, 0 AS copy FROM parts JOIN mapping USING (label)
-UNION ALL SELECT row_id, '__NOISE__', subset_id, 1 FROM candidates JOIN targets USING (subset_id) WHERE place <= target""")
+@query(f"""WITH {oversampled_sql(1)} SELECT row_id, label, subset_id, 0 AS copy FROM parts JOIN mapping USING (label)
+UNION ALL SELECT row_id, '__NOISE__', subset_id, copy FROM oversampled""")
 def training_with_noise(spark, sf):
     rows = parts(spark, sf).select("row_id", "label")
     return maps.training_with_noise(rows, part_mapping(spark, sf))
