@@ -1,14 +1,21 @@
 """One query per operator, over whole tables, with SQL where SQL can say it."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tagmill.llm import licenses, mixing, quality, secrets
+from tagmill.llm import licenses, mixing, neardup, packing, quality, secrets, tokenfiles
 from tagmill.llm.registry import query, table
 from tagmill.storage import settle
 
 SPACE = r"[^\x20\x09-\x0D]"
 
 
+@query()
+def op1_best_fit_packing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.Packing(public_tokenizers.path("byte_bpe_50k.json")), keep_ids=False)
+
+
 @query()
 def op2_license_scan(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -52,6 +59,27 @@ def op3_source_mixing(spark, sf):
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query(rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{SPACE}+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+    FROM documents),
+sets AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS x
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM pairs JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+    WHERE 100 * common >= 85 * (s.n + t.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT start, b FROM reach JOIN edges ON a = node)
+SELECT start AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(node) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = start GROUP BY start""")
+def op6_jaccard_join(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, neardup.Likeness(4, 85), keep_text=False)
+
+
 @query(rf"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 split AS (
@@ -143,3 +171,10 @@ def op9_secret_scan(spark, sf):
     counts = [of_kind(kind).alias(f"n_{kind}") for kind in base]
     spans = secrets.described(F.filter("findings", lambda f: f["kind"].isin(base)))
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), secrets.described(F.col("findings")).alias("spans"))
+
+
+@query()
+def op10_token_files(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    manifest = tokenfiles.write_tokens(docs, tokenfiles.Format(public_tokenizers.path("word_bpe_49k.json")))
+    return tokenfiles.read_documents(manifest).withColumnRenamed("id", "doc_id")
