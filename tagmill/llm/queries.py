@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tagmill.llm import licenses, mixing, neardup, packing, quality, secrets, tokenfiles
+from tagmill.llm import langid, licenses, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity
 from tagmill.llm.registry import query, table
 from tagmill.storage import settle
 
@@ -59,6 +59,14 @@ def op3_source_mixing(spark, sf):
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query()
+def op5_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.learn(docs.where(~held_out))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query(rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{SPACE}+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
@@ -138,6 +146,12 @@ def op7_quality_rules(spark, sf):
     return verdicts.select("doc.doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
+@query()
+def op8_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, toxicity.learn(docs, table(spark, sf, "labels"))).drop("text")
+
+
 def kind_sql(kind, pattern, group, least):
     return f"""
     SELECT doc_id, '{kind}' AS kind, regexp_extract_all(text, '{pattern}') AS hits,
