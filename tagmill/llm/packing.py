@@ -4,8 +4,8 @@ Documents are encoded and cut into pieces; the driver sees only how many pieces
 length (as many numbers as a sequence has places). Best fit, longest first, runs over these counts: a run
 of equal pieces goes into a run of equally full sequences at once. The plan says, per length, which ranks
 go to which sequences at which offset. A piece takes its slot by its rank among the pieces of
-its length: its place within its partition plus the counts of earlier partitions. So neither pieces nor ranks
-pass through the driver or one task, and a length that a third of all pieces has is spread like any other.
+its length: its place within its partition, counted while encoding, plus the counts of earlier partitions. So pieces are not
+shuffled at all, and a length that a third of all pieces has is spread like any other.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed once each; a text of
 any length is encoded whole; an empty table gives an empty result; only id and text are read, so other
@@ -13,15 +13,17 @@ columns cannot clash; a null id is carried along.
 """
 
 import zlib
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.tokens import encoder
-from tagmill.storage import settle
+from tagmill.storage import lookup_join, settle
 
 
 class Packing(NamedTuple):
@@ -38,28 +40,31 @@ def piece_bounds(count: int, length: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, packing: Packing, text="text", ident="doc_id", keep_ids=True) -> DataFrame:
-    """One row per piece, with its ids (little-endian unsigned 32-bit) and their checksum."""
+    """One row per piece, with its ids (little-endian unsigned 32-bit), their checksum, and its
+    place among the pieces of its length in its partition."""
 
     def cut(batches):
         coder = encoder(packing.tokenizer, packing.end_id)
+        part, places = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+                docs_in = batch.slice(first, 512)
                 rows, found = [], []
-                for row, raw in enumerate(coder.encode(part.column(1).to_pylist())):
+                for row, raw in enumerate(coder.encode(docs_in.column(1).to_pylist())):
                     for number, (start, length) in enumerate(piece_bounds(len(raw) // 4, packing.length)):
                         ids = raw[4 * start : 4 * (start + length)]
-                        rows.append((row, number, start, length, zlib.crc32(ids)))
+                        rows.append((row, number, start, length, zlib.crc32(ids), part, places[length]))
+                        places[length] += 1
                         found.append(ids)
-                owner, number, start, length, crc = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-                columns = [part.column(0).take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+                owner, number, *others = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+                columns = [docs_in.column(0).take(pa.array(owner)), pa.array(number.astype(np.int32)), *map(pa.array, others)]
                 if keep_ids:
                     columns.append(pa.array(found, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    names = ["id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * keep_ids
     kind = docs.schema[ident].dataType.simpleString()
-    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
+    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, place bigint" + ", ids binary" * keep_ids
     return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
@@ -104,15 +109,15 @@ def planned(found: DataFrame, capacity: int) -> DataFrame:
 
 def pack(docs: DataFrame, packing: Packing, text="text", ident="doc_id", keep_ids=True) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``."""
-    found = pieces(docs, packing, text, ident, keep_ids).withColumn("part", F.spark_partition_id())
-    found = settle(found, "pieces")
+    found = settle(pieces(docs, packing, text, ident, keep_ids), "pieces")
     plan = planned(found, packing.length)
     counts = found.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
-    ranked = found.withColumn("place", F.row_number().over(order) - 1).join(before, ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("place") + F.col("before")).drop("place", "before", "part")
+    before = counts.select("part", F.struct("length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n")).alias("x"))
+    # One row per partition: pieces in earlier ones, by length.
+    before = before.groupBy("part").agg(F.map_from_entries(F.collect_list("x")).alias("before"))
+    ranked = lookup_join(found, before, "part", salts=1)
+    ranked = ranked.withColumn("rank", F.col("place") + F.element_at("before", F.col("length"))).drop("place", "before", "part")
     slot = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("n"))
     placed = ranked.join(F.broadcast(plan.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & slot)
     sequence = F.col("seq_from") + F.col("rank") - F.col("rank_from")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tagmill.llm import langid, licenses, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity
+from tagmill.llm import langid, licenses, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, vectordup
 from tagmill.llm.registry import query, table
 from tagmill.storage import settle
 
@@ -59,6 +59,24 @@ def op3_source_mixing(spark, sf):
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query("""
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+    WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT vec_id AS start, vec_id AS node FROM embeddings UNION SELECT start, b FROM reach JOIN links ON a = node),
+found AS (SELECT start, min(node) AS component FROM reach GROUP BY start),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT start AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, start = component AS kept
+FROM found LEFT JOIN counts ON a = start""")
+def op4_near_vectors(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectordup.near_vectors(vectors).drop("embedding")
+
+
 @query()
 def op5_language_id(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
