@@ -33,7 +33,7 @@ class Rules(NamedTuple):
     max_repeat_percent: int = 30
     spreads: int = 6
     # Smallest spread that counts, per measure, in parts of a million (word length: thousandths).
-    floors: tuple = (("symbols", 10_000), ("dup_lines", 60_000), ("repeats", 40_000), ("length", 1_000))
+    floors: tuple = (("symbols", 10_000), ("dup_lines", 60_000), ("repeats", 50_000), ("length", 1_000))
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -142,7 +142,7 @@ quartiles AS (
     FROM groups GROUP BY ALL),
 fences AS (
     SELECT *, greatest(q3 - q1, CASE measure WHEN 'symbols' THEN 10000 WHEN 'dup_lines' THEN 60000
-                                             WHEN 'repeats' THEN 40000 ELSE 1000 END) * 6 AS wide FROM quartiles),
+                                             WHEN 'repeats' THEN 50000 ELSE 1000 END) * 6 AS wide FROM quartiles),
 long AS (
     SELECT doc_id, lang, source, measure, v
     FROM (UNPIVOT (SELECT doc_id, lang, source, symbols, dup_lines, repeats, wlength FROM judged)
