@@ -11,8 +11,8 @@ pairs of its nodes from the top, dropping every pair whose largest possible over
   content holds the classes that agree there; pairs of different nodes are dropped. What is left are
   pairs inside one node, found by one shuffle by node. Frequent passages do no harm, as a node needs a whole region.
 * Inside a node, classes that links already connect form a child node. Children hold OR-combined token bitmaps and
-  size ranges; pairs of children, then of their classes, are dropped by these bounds, and the rest is
-  compared exactly, token set by token set.
+  size ranges; pairs of children, then of a class and a child, then of two classes are dropped by these bounds, and
+  the rest is compared exactly, token set by token set.
 
 To spare comparisons inside large groups, rounds first compare the classes of each node with one hub, another hub
 in each round, and connect what links. The traversal then takes every pair that is still unconnected. The
@@ -229,9 +229,22 @@ def with_components(shared: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "c"))
 
 
+def scored(shared: DataFrame) -> DataFrame:
+    """Add the number of meetings of a class: the classes it meets, summed over its nodes.
+
+    What others were copied from shares more with each copy than two copies share.
+    """
+    met = shared.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return shared.join(met.groupBy("c").agg(F.sum("met").alias("met")), "c")
+
+
 def hub_pairs(shared: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
-    """Each class with the hub of its node, where links do not connect them yet."""
-    order = F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "component")
+    """Each class with the hub of its node, where links do not connect them yet.
+
+    The first hub is the class with most meetings, later ones are drawn by hash.
+    """
+    rank = F.xxhash64("c", F.lit(turn)) if turn else -F.col("met")
+    order = F.struct(rank.alias("o"), "c", "component")
     rows = with_components(shared, found).withColumn("hub", F.min(order).over(Window.partitionBy("key")))
     return rows.where(F.col("component") != F.col("hub.component")).select(*pair_of(F.col("c"), F.col("hub.c"))).distinct()
 
@@ -251,18 +264,21 @@ def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, perce
     spread = Window.partitionBy("key")
     open_ = rows.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
     open_ = settle(open_.where("lo <> hi").select("key", "component", "c"), "open")
-    members = open_.join(maps, "c").withColumnsRenamed({"n": "least"}).withColumn("most", F.col("least"))
+    members = open_.join(maps, "c").withColumnRenamed("n", "least").withColumn("most", F.col("least"))
+    members = settle(members, "members")
     ors = [F.bit_or(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]
-    children = members.groupBy("key", "component").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("bits").alias("bits"), *ors)
-    children = settle(children, "children")
-    top = children.alias("x").join(children.alias("y"), F.expr("x.key = y.key AND x.component < y.component"))
-    top = top.where(possible("x", "y", percent)).select("x.key", F.col("x.component").alias("p"), F.col("y.component").alias("q"))
-    left = open_.select("key", F.col("component").alias("p"), F.col("c").alias("left"))
-    right = open_.select("key", F.col("component").alias("q"), F.col("c").alias("right"))
-    pairs = top.join(left, ["key", "p"]).join(right, ["key", "q"]).select(*pair_of(F.col("left"), F.col("right"))).distinct()
-    leaf = maps.withColumn("most", F.col("n")).withColumnRenamed("n", "least")
-    below = pairs.join(leaf.alias("x"), F.expr("a = x.c")).join(leaf.alias("y"), F.expr("b = y.c"))
-    return below.where(possible("x", "y", percent)).select("a", "b")
+    sizes = [F.min("least").alias("least"), F.max("most").alias("most"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("rows")]
+    children = settle(members.groupBy("key", "component").agg(*sizes, *ors), "children")
+    # Of two children the smaller one is opened first, so that its classes meet the other as a whole.
+    smaller = F.expr("struct(x.rows, x.component) < struct(y.rows, y.component)")
+    top = children.alias("x").join(children.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller & possible("x", "y", percent))
+    top = top.select("x.key", F.col("x.component").alias("p"), F.col("y.component").alias("q"))
+    opened = top.join(members.withColumnRenamed("component", "p"), ["key", "p"]).alias("x")
+    whole = children.withColumnRenamed("component", "q").alias("y")
+    opened = opened.join(whole, (F.col("x.key") == F.col("y.key")) & (F.col("x.q") == F.col("y.q")) & possible("x", "y", percent)).select("x.*").alias("x")
+    other = members.withColumnRenamed("component", "q").alias("y")
+    met = opened.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.q") == F.col("y.q")) & possible("x", "y", percent))
+    return met.select(*pair_of(F.col("x.c"), F.col("y.c"))).distinct()
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str) -> DataFrame | None:
@@ -270,6 +286,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, likeness: Likeness, text
     spread = Window.partitionBy("key")
     keys = keyed(docs, likeness, text).withColumn("lo", F.min("c").over(spread)).withColumn("hi", F.max("c").over(spread))
     shared = settle(keys.where("lo <> hi").select("key", "c").distinct(), "nodes")
+    shared = settle(scored(shared), "nodes")
     wanted = shared.select("c").distinct().join(classes, "c").select(F.col("first").alias("_first"))
     texts = docs.select(F.col(ident).alias("_first"), F.col(text).alias("text"))
     tokens = settle(profiles(lookup_join(texts, wanted, "_first", "left_semi"), likeness, "text"), "profiles")
