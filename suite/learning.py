@@ -2,10 +2,11 @@
 
 import hashlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from suite.fixtures import (
-    BASE, DOCS, HISTORY, MAPPING, PARTS, PART_MAPPING, RUNS, SCORED, documents, history, linear_models, mapping, part_mapping,
+    BASE, DOCS, EMB, HISTORY, MAPPING, PARTS, PART_MAPPING, RUNS, SCORED, SEED, documents, history, linear_models, mapping, part_mapping,
     parts, pool, seed, settle, vector_mapping, vectors,
 )
 from suite.registry import query
@@ -13,7 +14,7 @@ from suite.relational import verdict_cache, verdict_rows
 from suite.texts import DESCRIBE, filled
 from tagmill import constants as K
 from tagmill.functions import prompts
-from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress, sampling
+from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress
 from tagmill.options import Options
 from tagmill.plans import active, initial, training
 from tagmill.sources import state
@@ -30,54 +31,80 @@ def training_table(spark, sf):
     return models.training_features(rows, vector_mapping(spark, sf))
 
 
-@query()
-def train_logreg(spark, sf):
-    fitted, _ = models.fit_subsets(training_table(spark, sf), "logistic_regression")
-    table = models.coefficient_table(spark, fitted)
-    return table.select("subset_id", "class_idx", "label", "intercept", F.posexplode("coefficients").alias("pos", "value"))
-
-
 VECTOR_MAPPING = """mapping AS (SELECT 'subset_' || ((row_number() OVER (ORDER BY label) - 1) // 4) AS subset_id, label
 FROM (SELECT DISTINCT 'c' || label AS label FROM embeddings))"""
 
 
-@query()
+@query(f"""WITH {VECTOR_MAPPING}, own AS (SELECT subset_id, count(*) AS rows FROM (SELECT 'c' || label AS label FROM embeddings)
+JOIN mapping USING (label) GROUP BY subset_id) SELECT subset_id, label, rows, true AS at_optimum FROM own JOIN mapping USING (subset_id)""")
+def train_logreg(spark, sf):
+    """Whether the penalised likelihood is flat at the fitted weights, from data and weights."""
+    rows = training_table(spark, sf)
+    fitted, _ = models.fit_subsets(rows, "logistic_regression")
+    weights = models.coefficient_table(spark, fitted)
+    scored = settle(models.score_linear(rows, weights, keep=("row_id", "label", "vector"), own=True), "scored")
+    each = scored.select("subset_id", F.col("label").alias("true_label"), "vector", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("probabilities").alias("p"))))
+    error = F.col("p") - (F.col("true_label") == F.col("label")).cast("double")
+    parts_ = each.select("subset_id", "label", error.alias("error"), F.posexplode(F.concat("vector", F.array(F.lit(1.0)))).alias("pos", "x"))
+    slopes = parts_.groupBy("subset_id", "label", "pos").agg(F.avg(F.col("error") * F.col("x")).alias("slope"), F.count(F.lit(1)).alias("rows"))
+    # The intercept stands last and has no penalty.
+    values = weights.select("subset_id", "label", F.posexplode(F.concat("coefficients", F.array(F.lit(0.0)))).alias("pos", "w"))
+    total = F.abs(F.col("slope") + F.col("w") / F.col("rows"))
+    joined = slopes.join(values, ["subset_id", "label", "pos"])
+    return joined.groupBy("subset_id", "label").agg(F.first("rows").alias("rows"), (F.max(total) < 0.01).alias("at_optimum"))
+
+
+@query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, count(*) AS rows, true AS accurate FROM (SELECT 'c' || label AS label FROM embeddings)
+JOIN mapping USING (label) GROUP BY subset_id""")
 def train_forest(spark, sf):
-    """Training predictions of a forest per subset."""
+    """A forest of full depth per subset: it knows its own training rows."""
     rows = training_table(spark, sf)
     fitted, _ = models.fit_subsets(rows, "random_forest")
     scored = models.score_models(rows, fitted, keep=("row_id", "label"), own=True)
-    return scored.select("row_id", "label", "subset_id", "predicted_label", "max_probability")
+    right = F.avg((F.col("label") == F.col("predicted_label")).cast("double"))
+    return scored.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"), (right >= 0.95).alias("accurate"))
 
 
 def trained(spark, sf, options=Options()):
     return training.train_subsets(vectors(spark, sf), vector_mapping(spark, sf), options)
 
 
-@query()
+# Rows per class and subset with its noise rows, and how many of them train.
+TRAINING = f"""{VECTOR_MAPPING}, own AS (SELECT subset_id, label, count(*) AS n FROM (SELECT 'c' || label AS label FROM embeddings)
+  JOIN mapping USING (label) GROUP BY ALL),
+classes AS (SELECT * FROM own UNION ALL SELECT subset_id, '__NOISE__', floor(avg(n) * 2)::BIGINT FROM own GROUP BY subset_id),
+split AS (SELECT *, CASE WHEN n < 2 THEN n ELSE (n * 80 + 50) // 100 END AS train FROM classes)"""
+
+
+@query(f"""WITH {TRAINING} SELECT subset_id, count(*) AS classes, sum(n)::BIGINT AS rows, sum(train)::BIGINT AS train_rows,
+max(n) FILTER (label = '__NOISE__') AS noise_samples, true AS learned FROM split GROUP BY subset_id""")
 def train_subsets(spark, sf):
-    """Scores of every subset's classifier."""
+    """Rows of every subset's classifier, and whether it beats chance on them."""
     found = trained(spark, sf)
-    return lookup_join(found.log, found.stats, "subset_id", "left")
+    joined = lookup_join(found.log, found.stats, "subset_id", "left")
+    learned = F.col("error").isNull() & (F.col("train_accuracy") > 1 / F.col("classes"))
+    return joined.select("subset_id", F.col("classes").cast("long").alias("classes"), "rows", "train_rows", "noise_samples", learned.alias("learned"))
 
 
-@query()
+@query(f"WITH {TRAINING} SELECT subset_id, label, n - train AS support, true AS in_range FROM split WHERE n > train")
 def training_report(spark, sf):
-    """Validation scores per class and subset."""
-    return trained(spark, sf).report
+    """Validation rows per class and subset; scores are shares."""
+    report = trained(spark, sf).report.where("support > 0")
+    shares = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1_score")]
+    return report.select("subset_id", "label", F.col("support").cast("long").alias("support"), (shares[0] & shares[1] & shares[2]).alias("in_range"))
 
 
 @query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, count(DISTINCT label) AS num_labels, true AS is_trained,
 count(*) AS training_samples, 'logistic_regression' AS classifier_type
 FROM (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) GROUP BY subset_id""")
 def training_summary(spark, sf):
-    _, log = models.fit_subsets(training_table(spark, sf), "logistic_regression", max_iter=20)
+    _, log = models.fit_subsets(training_table(spark, sf), "logistic_regression")
     return models.training_summary(log, vector_mapping(spark, sf), "logistic_regression")
 
 
 def _saved(spark, sf):
     table = training_table(spark, sf)
-    fitted, _ = models.fit_subsets(table, "logistic_regression", max_iter=50)
+    fitted, _ = models.fit_subsets(table, "logistic_regression")
     path = fresh_path(spark, "models")
     return table, fitted, path, state.save_models(spark, fitted, path, "logistic_regression")
 
@@ -88,14 +115,15 @@ def save_models(spark, sf):
     return _saved(spark, sf)[3].select("subset_id", "kind", F.array_join("labels", ",").alias("labels"))
 
 
-@query()
+@query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, (SELECT count(*) FROM embeddings) AS rows, 0 AS differing FROM mapping GROUP BY subset_id""")
 def load_models(spark, sf):
-    """Predictions of reloaded models beside those of the fitted ones."""
+    """Reloaded models predict what the fitted ones do."""
     table, fitted, path, _ = _saved(spark, sf)
     _, weights = state.load_models(spark, path)
     left = models.score_models(table, fitted).select("row_id", "subset_id", "predicted_label")
     right = models.score_linear(vectors(spark, sf).select("row_id", "vector"), weights)
-    return left.join(right.select("row_id", "subset_id", F.col("predicted_label").alias("reloaded")), ["row_id", "subset_id"])
+    both = left.join(right.select("row_id", "subset_id", F.col("predicted_label").alias("reloaded")), ["row_id", "subset_id"])
+    return both.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted_label") != F.col("reloaded")).alias("differing"))
 
 
 @query(f"""WITH {PARTS}, {PART_MAPPING}, now AS (SELECT subset_id, count(*) AS rows_now FROM parts JOIN mapping USING (label) GROUP BY subset_id),
@@ -119,6 +147,14 @@ def _loop_parts(spark, sf):
     return initial.Components(fresh_path(spark, "run"), labelled, known, None, None, {}, weights)
 
 
+def _accepted(spark, sf):
+    """Rows that a judge accepted: every other one of four labels."""
+    return vectors(spark, sf).where("row_id % 2 = 0 AND label < 'c4'").select(
+        F.col("row_id").cast("string"), F.lit("").alias("text"), "label", F.col("vector").cast("array<float>"),
+        F.lit(0.8).alias("confidence"), F.lit("judge").alias("source"),
+    )
+
+
 @query(f"""WITH {VECTOR_MAPPING}, grown AS (SELECT subset_id, count(*) AS n FROM (SELECT 'c' || label AS label FROM embeddings
   UNION ALL SELECT 'c' || label FROM embeddings WHERE vec_id % 2 = 0 AND label < 4) JOIN mapping USING (label) GROUP BY subset_id)
 SELECT subset_id, n AS rows, subset_id = 'subset_0' AS retrained FROM grown""")
@@ -128,12 +164,8 @@ def retrain(spark, sf):
     run_dir = fresh_path(spark, "loop")
     sizes = parts_.labelled.join(parts_.mapping, "label").groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
     state.append_rows(sizes.select("subset_id", F.lit(True).alias("retrained"), "rows"), run_dir, "fits", 0)
-    new = vectors(spark, sf).where("row_id % 2 = 0 AND label < 'c4'").select(
-        F.col("row_id").cast("string"), F.lit("").alias("text"), "label", F.col("vector").cast("array<float>"),
-        F.lit(0.8).alias("confidence"), F.lit("judge").alias("source"),
-    )
-    state.append_rows(new, run_dir, "validated", 1)
-    active.retrain(spark, parts_, run_dir, 1, Options(max_iter=50))
+    state.append_rows(_accepted(spark, sf), run_dir, "validated", 1)
+    active.retrain(spark, parts_, run_dir, 1, Options())
     return state.read_appended(spark, run_dir, "fits", active.FITS).where("iteration = 1").drop("iteration")
 
 
@@ -142,32 +174,56 @@ FROM (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) G
 def final_retrain(spark, sf):
     parts_ = _loop_parts(spark, sf)
     run_dir = fresh_path(spark, "loop")
-    active.final_retrain(spark, parts_, run_dir, 1, Options(max_iter=50))
-    return state.read_appended(spark, run_dir, "fits", active.FITS).where("iteration = 1").drop("iteration")
+    active.final_retrain(spark, parts_, run_dir, 1, Options())
+    return active.load_final(spark, run_dir)[0]["fits"]
+
+
+@query("""SELECT 'c' || label AS label, count(*) + count(*) FILTER (vec_id % 2 = 0 AND label < 4) AS n, count(*) FILTER (vec_id % 2 = 0 AND label < 4) AS validated
+FROM embeddings GROUP BY label""")
+def final_state(spark, sf):
+    """The stored training table after the loop: seed rows and accepted ones."""
+    parts_ = _loop_parts(spark, sf)
+    run_dir = fresh_path(spark, "loop")
+    state.append_rows(_accepted(spark, sf), run_dir, "validated", 1)
+    active.final_retrain(spark, parts_, run_dir, 1, Options())
+    table = active.load_final(spark, run_dir)[0]["training"]
+    return table.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("row_id").startswith("pool:")).alias("validated"))
 
 
 # balancing
 
 
-def _skewed(spark, sf):
-    """Vector rows with some classes thinned out."""
-    rows = maps.attach_subset(vectors(spark, sf), vector_mapping(spark, sf))
-    return settle(rows.where("row_id % 3 = 0 OR label IN ('c0', 'c5', 'c9')"), "skewed")
+def _uneven(spark, sf):
+    """Vector rows with their subset; the classes are uneven by themselves."""
+    return settle(maps.attach_subset(vectors(spark, sf), vector_mapping(spark, sf)), "uneven")
 
 
 @query(f"""WITH {VECTOR_MAPPING}, c AS (SELECT subset_id, label, count(*) AS n FROM
-  (SELECT 'c' || label AS label FROM embeddings WHERE vec_id % 3 = 0 OR label IN (0, 5, 9)) JOIN mapping USING (label) GROUP BY ALL)
+  (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) GROUP BY ALL)
 SELECT subset_id, label, max(n) OVER (PARTITION BY subset_id) - n AS made FROM c QUALIFY made > 0""")
 def smote(spark, sf):
     """Synthetic rows per class."""
-    return balance.smote(_skewed(spark, sf)).groupBy("subset_id", "label").agg(F.count(F.lit(1)).alias("made"))
-
-
-@query()
+    return balance.smote(_uneven(spark, sf)).groupBy("subset_id", "label").agg(F.count(F.lit(1)).alias("made"))
+
+
+@query(f"""WITH {EMB}, {VECTOR_MAPPING}, items AS (SELECT subset_id, emb.label, row_id, v FROM emb JOIN mapping USING (label)),
+c AS (SELECT subset_id, label, count(*) AS n FROM items GROUP BY ALL),
+plan AS (SELECT *, max(n) OVER (PARTITION BY subset_id) - n AS need FROM c QUALIFY need > 0),
+sims AS (SELECT q.subset_id, q.label, q.row_id, i.row_id AS item, i.v AS other, round(list_cosine_similarity(q.v, i.v), 9) AS s
+  FROM items q JOIN plan USING (subset_id, label) JOIN items i ON i.subset_id = q.subset_id AND i.label = q.label AND i.row_id <> q.row_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, item) AS rank FROM sims QUALIFY rank <= 5),
+copies AS (SELECT items.*, need // n + CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) <= need % n THEN 1 ELSE 0 END AS k
+  FROM items JOIN plan USING (subset_id, label)),
+made AS (SELECT subset_id, label, row_id, v, unnest(range(1, k + 1)) AS copy FROM copies),
+drawn AS (SELECT *, ('0x' || substr(md5('42:' || row_id || ':' || copy), 1, 8))::BIGINT / 4294967296.0 AS f1,
+  ('0x' || substr(md5('42:' || row_id || ':' || copy), 9, 8))::BIGINT / 4294967296.0 AS f2 FROM made),
+moved AS (SELECT drawn.subset_id, drawn.label, drawn.row_id, copy, v, other, f2 FROM drawn JOIN near ON near.row_id = drawn.row_id AND rank = floor(f1 * 5) + 1)
+SELECT subset_id, label, row_id, copy, generate_subscripts(v, 1) - 1 AS pos, round(unnest(v) + f2 * (unnest(other) - unnest(v)), 9) AS value FROM moved""")
 def smote_vectors(spark, sf):
     """The synthetic rows themselves."""
-    made = balance.smote(_skewed(spark, sf))
-    return made.select("subset_id", "label", "row_id", "copy", F.posexplode("vector").alias("pos", "value"))
+    made = balance.smote(_uneven(spark, sf))
+    rows = made.select("subset_id", "label", "row_id", "copy", F.posexplode("vector").alias("pos", "value"))
+    return rows.withColumn("value", F.round("value", 9))
 
 
 # the judge
@@ -242,14 +298,10 @@ UNION ALL SELECT 'unseen', 'Text samples that belong to the ''unseen'' category'
 def describe_labels(spark, sf):
     """Descriptions by digest; some requests fail, one label has no examples."""
 
-    def writer(asked):
-        digests = [hashlib.md5(p.encode()).hexdigest() for p in asked]
-        return [f" About {d[:12]}\n" if d < "e" else None for d in digests]
-
     labels = documents(spark, sf).select("label").distinct().unionByName(
         spark.createDataFrame([(K.NOISE_LABEL,), ("unseen",)], "label string")
     )
-    return judge.describe_labels(labels, seed(spark, sf), writer)
+    return judge.describe_labels(labels, seed(spark, sf), digest_writer)
 
 
 @query(f"""WITH {RUNS}, s AS (SELECT run, count(*) FILTER (NOT cached) AS total_validations,
@@ -293,11 +345,11 @@ def performance_stats(spark, sf):
     return found
 
 
-@query(f"""WITH {RUNS}, {MAPPING}, fits AS (SELECT iteration, 'subset_' || (row_id % 3) AS subset_id, is_valid AS retrained FROM runs WHERE lang = 'fr')
+@query(f"""WITH {RUNS}, {MAPPING}, fits AS (SELECT iteration, 'subset_' || (row_id % 3) AS subset_id, is_valid AS retrained FROM runs )
 SELECT iteration, count(DISTINCT subset_id) FILTER (retrained) AS retrained_classifiers, count(DISTINCT subset_id) AS total_classifiers
 FROM fits GROUP BY iteration HAVING count(*) FILTER (retrained) > 0""")
 def retrain_history(spark, sf):
-    rows = run_log(spark, sf).where("lang = 'fr'")
+    rows = run_log(spark, sf)
     subset = F.concat(F.lit("subset_"), (F.col("row_id") % 3).cast("string"))
     return progress.retrain_history(rows.select("iteration", subset.alias("subset_id"), F.col("is_valid").alias("retrained")))
 
@@ -333,22 +385,35 @@ def al_retrain_due(spark, sf):
 
 # the runs
 
-QUICK = Options(max_iter=50, max_iterations=2)
+# Half of the pool per iteration, and nothing else cut.
+HALVES = Options(batch_share=0.5)
+
+
+def digest_writer(asked):
+    """Label descriptions by the digest of the prompt; some requests fail."""
+    digests = [hashlib.md5(p.encode()).hexdigest() for p in asked]
+    return [f" About {d[:12]}\n" if d < "e" else None for d in digests]
 
 
 def initial_run(spark, sf):
     return initial.run_initial(
-        spark, seed(spark, sf), fresh_path(spark, "run"), features.word_hash_encoder(), None, QUICK, "words"
+        spark, seed(spark, sf), fresh_path(spark, "run"), features.word_hash_encoder(), digest_writer, HALVES, "words"
     )
 
 
-@query()
+@query(f"""WITH {SEED} SELECT label, count(*) AS n FROM seed GROUP BY label UNION ALL SELECT '__NOISE__', 0""")
 def run_initial(spark, sf):
-    """Per-class state after initial training on the seed documents."""
-    return initial_run(spark, sf).trained.distribution
+    """Rows per label after initial training on the seed documents; for the noise class, by how many rows
+    the subsets miss twice the mean of their classes."""
+    classes = settle(initial_run(spark, sf).trained.distribution, "classes")
+    noise = F.col("label") == K.NOISE_LABEL
+    wanted = F.floor(F.avg(F.when(~noise, F.col("n"))) * 2)
+    missed = classes.groupBy("subset_id").agg(F.abs(wanted - F.max(F.when(noise, F.col("n")))).alias("n"))
+    total = missed.agg(F.lit(K.NOISE_LABEL).alias("label"), F.sum("n").cast("long").alias("n"))
+    return classes.where(~noise).select("label", "n").unionByName(total)
 
 
-def active_run(spark, sf, options=QUICK):
+def active_run(spark, sf, options=HALVES):
     found = initial_run(spark, sf)
     rows = pool(spark, sf).select("row_id", "text")
     return active.run_active(
@@ -356,23 +421,48 @@ def active_run(spark, sf, options=QUICK):
     )
 
 
-@query()
+BATCHES = f"""{BASE}, asked AS (SELECT row_id FROM pool WHERE trim(text, ' \n\t') <> ''),
+sizes AS (SELECT count(*) AS p, ceil(count(*) * 0.5)::BIGINT AS b FROM asked)"""
+
+
+@query(f"""WITH {BATCHES} SELECT i::INTEGER AS iteration, least(b, greatest(p - (i - 1) * b, 0))::BIGINT AS batch_size, true AS consistent
+FROM (SELECT p, b, unnest(range(1, CAST(ceil(p / b) AS BIGINT) + 2)) AS i FROM sizes)""")
 def run_active(spark, sf):
-    """History of two iterations over the pool."""
-    return active_run(spark, sf).history.drop("iteration_time")
+    """The loop over the whole pool: batches, and whether the counts of each iteration agree and retraining
+    comes exactly when the accepted rows pass another multiple of the threshold."""
+    rows = active_run(spark, sf).history
+    before = F.col("cumulative_validated") - F.col("validated_samples")
+    due = F.floor(F.col("cumulative_validated") / 100) > F.floor(before / 100)
+    total = F.sum("validated_samples").over(Window.orderBy("iteration"))  # one row per iteration
+    fine = (
+        (F.col("validated_samples") <= F.col("judged"))
+        & (F.col("judged") == F.col("predictions_made"))
+        & ((F.col("retrained_classifiers") > 0) == due)
+        & (F.col("cumulative_validated") == total)
+    )
+    return rows.select(F.col("iteration").cast("int").alias("iteration"), "batch_size", fine.alias("consistent"))
 
 
-@query()
+@query(f"""WITH {BATCHES} SELECT b AS batch, 0 AS outside, 0 AS unknown, 0 AS wrong FROM sizes""")
 def al_iteration(spark, sf):
-    """Verdicts of one iteration over the first batch of the pool."""
+    """One iteration over the first batch of the pool: verdicts on other rows, on labels that nobody
+    knows, and accepted ones without confidence."""
     found = initial_run(spark, sf)
     run_dir = fresh_path(spark, "loop")
-    rows = sampling.number_rows(pool(spark, sf).select("row_id", "text"), "row_id")
-    rows = settle(rows.withColumn("row_id", F.col("row_id").cast("string")), "pool")
+    rows = active.pool_table(spark, pool(spark, sf).select("row_id", "text"), run_dir)
+    size = -(-rows.count() // 2)
     active.run_iteration(
-        spark, found, rows, run_dir, 1, "informative", features.word_hash_encoder(), digest_judge(), QUICK, "words", 0
+        spark, found, rows, size, run_dir, 1, "informative", features.word_hash_encoder(), digest_judge(), HALVES, "words", 0
+    )
+    log = state.read_appended(spark, run_dir, "log", active.LOG)
+    batch = rows.where(F.col("position") < size).select("row_id", F.lit(True).alias("inside"))
+    known = found.mapping.select(F.col("label").alias("predicted_label"), F.lit(True).alias("known"))
+    joined = lookup_join(log.join(batch, "row_id", "left"), known, "predicted_label", "left")
+    wrong = F.col("is_valid") & (F.col("confidence") < 0.5)
+    return joined.agg(
+        F.lit(size).cast("long").alias("batch"), F.count_if(F.col("inside").isNull()).alias("outside"),
+        F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if(wrong).alias("wrong"),
     )
-    return state.read_appended(spark, run_dir, "log", active.LOG)
 
 
 # arriving texts

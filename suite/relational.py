@@ -8,9 +8,9 @@ from suite.registry import query
 from tagmill.constants import NOISE_LABEL
 from tagmill.functions.replies import verdict
 from tagmill.functions.text import text_key
-from tagmill.functions.vectors import cosine
 from tagmill.operators import cleaning, features, judge, mapping as maps, sampling, stats
 from tagmill.operators.labelspace import centroids
+from tagmill.operators.neighbours import similar_pairs
 from tagmill.sources import files, state
 from tagmill.storage import fresh_path, lookup_join, settle
 
@@ -231,10 +231,10 @@ def filter_confidence(spark, sf):
 SELECT row_id, label, similarity FROM s WHERE similarity >= 0.1""")
 def filter_similarity(spark, sf):
     rows = vectors(spark, sf).select("row_id", "vector")
-    around = centroids(vectors(spark, sf), "label").withColumnRenamed("vector", "center")
-    every = pair_with(rows, around, "label")
-    scored = every.select("row_id", "label", F.round(cosine(F.col("vector"), F.col("center")), 9).alias("similarity"))
-    return cleaning.similar_enough(scored, 0.1)
+    around = centroids(vectors(spark, sf), "label")
+    queries, items = rows.withColumnRenamed("row_id", "query_id"), around.withColumnRenamed("label", "item_id")
+    found = similar_pairs(queries, items, 0.1)
+    return found.select(F.col("query_id").alias("row_id"), F.col("item_id").alias("label"), "similarity")
 
 
 @query(f"""WITH {PARTS} SELECT row_id, label FROM parts
@@ -413,9 +413,7 @@ def subset_stats(spark, sf):
 @query(f"WITH {BASE} SELECT label, row_id, text FROM seed")
 def group_texts_by_label(spark, sf):
     """Texts grouped by label as a table with one folder per label."""
-    path = fresh_path(spark, "grouped")
-    seed(spark, sf).write.partitionBy("label").parquet(path)
-    return spark.read.parquet(path).select("label", "row_id", "text")
+    return stats.group_texts(seed(spark, sf), fresh_path(spark, "grouped")).select("label", "row_id", "text")
 
 
 @query(f"""WITH {CENT} SELECT label, unnest(range(1, 65)) - 1 AS pos, round(unnest(c), 9) AS value FROM cent""")
@@ -424,12 +422,20 @@ def centroid(spark, sf):
     return means.select("label", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 9))
 
 
-@query(f"""WITH {DOCS}, {MAPPING}, c AS (SELECT label, count(*) AS n FROM docs WHERE lang = 'de' AND row_id % 3 = 0 GROUP BY label)
+TYPE_MAPPING = """names AS (SELECT label FROM typed UNION SELECT 'NO SUCH ' || label FROM typed WHERE label LIKE 'ECO%'),
+mapping AS (SELECT 'subset_' || ((row_number() OVER (ORDER BY label) - 1) // 8) AS subset_id, label FROM names)"""
+
+
+@query(f"""WITH typed AS (SELECT p_partkey AS row_id, p_type || ' ' || p_size AS label FROM part), {TYPE_MAPPING},
+c AS (SELECT label, count(*) AS n FROM typed GROUP BY label)
 SELECT subset_id, round(avg(n), 9) AS avg_present, round(avg(coalesce(n, 0)), 9) AS avg_all
 FROM mapping LEFT JOIN c USING (label) GROUP BY subset_id""")
 def avg_samples_per_class(spark, sf):
-    rows = documents(spark, sf).where("lang = 'de' AND row_id % 3 = 0")
-    found = maps.class_averages(rows, mapping(spark, sf))
+    """Parts by type; some mapped labels have no rows."""
+    rows = typed(spark, sf)
+    labels = rows.select("label").distinct()
+    absent = labels.where("label LIKE 'ECO%'").select(F.concat(F.lit("NO SUCH "), "label").alias("label"))
+    found = maps.class_averages(rows, maps.fixed_mapping(labels.unionByName(absent), 8))
     return found.select("subset_id", F.round("avg_present", 9).alias("avg_present"), F.round("avg_all", 9).alias("avg_all"))
 
 
@@ -524,15 +530,32 @@ def sample_examples_per_label(spark, sf):
     return sampling.sample_examples(labelled, 10)
 
 
-@query(f"WITH {PARTS} SELECT label, count(*) AS n FROM parts GROUP BY label ORDER BY n DESC, label LIMIT 50")
+TYPES = "typed AS (SELECT p_partkey AS row_id, p_type || ' ' || p_size AS label FROM part)"
+
+
+def typed(spark, sf):
+    """Parts by type and size: more classes than the fallback keeps, of uneven size."""
+    label = F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), label.alias("label"))
+
+
+@query(f"WITH {TYPES} SELECT label, count(*) AS n, 'largest' AS rule FROM typed GROUP BY label ORDER BY n DESC, label LIMIT 50")
 def top_classes_fallback(spark, sf):
-    return sampling.large_classes(parts(spark, sf), 10**9)
+    return sampling.large_classes(typed(spark, sf), 10**9, 50)
+
+
+LARGE_TYPES = f"""{TYPES}, sizes AS (SELECT label, count(*) AS n FROM typed GROUP BY label),
+middle AS (SELECT median(n)::BIGINT AS m FROM sizes)"""
 
 
-@query(f"WITH {PARTS} SELECT row_id, label, {_draw('label', 30)} AS is_train FROM parts "
-       "WHERE label IN (SELECT label FROM parts GROUP BY label HAVING count(*) >= 30)")
+@query(f"""WITH {LARGE_TYPES} SELECT row_id, label,
+row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) <= (SELECT m FROM middle) AS is_train
+FROM typed WHERE label IN (SELECT label FROM sizes, middle WHERE n >= m)""")
 def stratified_train_pool_split(spark, sf):
-    return sampling.train_pool_split(parts(spark, sf).select("row_id", "label"), 30)
+    """As many training rows per class as half of the classes have; smaller classes drop out."""
+    rows = settle(typed(spark, sf), "typed")
+    middle = rows.groupBy("label").count().agg(F.median("count").cast("decimal(20, 1)")).first()[0]
+    return sampling.train_pool_split(rows, int(middle.to_integral_value("ROUND_HALF_EVEN")), 50)
 
 
 @query(f"""WITH {PARTS} SELECT row_id, label,
@@ -543,9 +566,9 @@ def stratified_fraction_split(spark, sf):
     return sampling.fraction_split(parts(spark, sf).select("row_id", "label"), ["label"], ["row_id"])
 
 
-@query(f"WITH {PARTS} SELECT row_id, label FROM parts QUALIFY {_draw('', 5000)}")
+@query(f"WITH {PARTS} SELECT row_id, label FROM parts QUALIFY {_draw('', 700)}")
 def sample_rows(spark, sf):
-    return sampling.sample_rows(parts(spark, sf).select("row_id", "label"), 5000)
+    return sampling.sample_rows(parts(spark, sf).select("row_id", "label"), 700)
 
 
 TARGETS = """targets AS (SELECT subset_id, floor(coalesce(avg(n), 1) * 2)::BIGINT AS target
@@ -590,4 +613,4 @@ chosen AS (SELECT per_class, label FROM sizes, c WHERE n >= per_class
 r AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) AS k FROM parts)
 SELECT row_id, label, per_class, CASE WHEN k <= per_class THEN 'train' ELSE 'pool' END AS role FROM r JOIN chosen USING (label)""")
 def experiment_splits(spark, sf):
-    return sampling.experiment_splits(parts(spark, sf).select("row_id", "label"))
+    return sampling.experiment_splits(parts(spark, sf).select("row_id", "label"), 50)

@@ -49,9 +49,13 @@ def knn_join_postfilter(spark, sf):
     return neighbours.knn_then_filter(*sides(spark, sf, "label"), 5)
 
 
-@query()
+@query("SELECT 5 * count(*) AS pairs, true AS recalled, true AS fewer FROM embeddings")
 def knn_join_approx(spark, sf):
-    return neighbours.knn_join_hashed(*sides(spark, sf), 5)
+    """Whether nine of ten exact neighbours are found, with fewer comparisons than all pairs."""
+    found = settle(neighbours.knn_join_probed(*sides(spark, sf), 5), "found")
+    share = found.first()["share"]
+    exact = neighbours.recall(found, neighbours.knn_join(*sides(spark, sf), 5))
+    return exact.select("pairs", (F.col("recall") >= 0.9).alias("recalled"), F.lit(share < 1).alias("fewer"))
 
 
 @query(f"""WITH {CENT}, ranked AS (
@@ -84,18 +88,14 @@ def l2_normalize(spark, sf):
 @query(f"""WITH {CENT} SELECT a.label, b.label AS other,
 round(list_cosine_similarity(a.c, b.c), 9) AS similarity FROM cent a JOIN cent b ON a.label < b.label""")
 def label_similarity(spark, sf):
-    return labelspace.label_similarity(labelspace.centroids(vectors(spark, sf), "label"))
+    return labelspace.label_similarity(settle(labelspace.centroids(vectors(spark, sf), "label"), "centres"))
 
 
 @query(f"""WITH {CENT}, p AS (SELECT a.label AS target, b.label, round(list_cosine_similarity(a.c, b.c), 9) AS similarity
 FROM cent a JOIN cent b ON a.label <> b.label)
 SELECT target, label, similarity FROM p QUALIFY row_number() OVER (PARTITION BY target ORDER BY similarity, label) = 1""")
 def argmin_similarity(spark, sf):
-    pairs = labelspace.label_similarity(labelspace.centroids(vectors(spark, sf), "label"))
-    both = pairs.select(F.col("label").alias("target"), F.col("other").alias("label"), "similarity").unionByName(
-        pairs.select(F.col("other").alias("target"), "label", "similarity")
-    )
-    return labelspace.least_similar(both.withColumn("pos", F.col("label")), "target")
+    return labelspace.least_similar(settle(labelspace.centroids(vectors(spark, sf), "label"), "centres"))
 
 
 @query(f"""WITH {CENT} SELECT label, generate_subscripts(c, 1) - 1 AS pos, round(unnest(c), 9) AS value FROM cent""")
@@ -125,10 +125,17 @@ def greedy_subsets(spark, sf):
     return labelspace.greedy_subsets(labelspace.centroids(vectors(spark, sf), "label"), 4)
 
 
-@query()
+@query("SELECT range AS pos, (SELECT count(*) FROM embeddings) AS n, true AS ordered, true AS uncorrelated FROM range(32)")
 def reduce_dims(spark, sf):
+    """Components come with falling variance and without correlation to the next one."""
     rows = vectors(spark, sf).select("row_id", "vector")
-    return labelspace.reduce_dims(rows, 32).select("row_id", F.posexplode("vector").alias("pos", "value"))
+    cells = settle(labelspace.reduce_dims(rows, 32).select("row_id", F.posexplode("vector").alias("pos", "x")), "cells")
+    after = cells.select("row_id", (F.col("pos") - 1).alias("pos"), F.col("x").alias("y"))
+    both = cells.join(after, ["row_id", "pos"], "left").groupBy("pos").agg(
+        F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("v"), F.var_pop("y").alias("w"), F.corr("x", "y").alias("r")
+    )
+    ordered = F.coalesce(F.col("v") >= F.col("w") * (1 - 1e-9), F.lit(True))
+    return both.select(F.col("pos").cast("long").alias("pos"), "n", ordered.alias("ordered"), (F.coalesce(F.abs("r"), F.lit(0.0)) < 1e-6).alias("uncorrelated"))
 
 
 # predictions
@@ -268,7 +275,9 @@ def eval_macro(spark, sf):
 SELECT a.label AS true_label, b.label AS predicted_label, coalesce(n, 0) AS n FROM names a CROSS JOIN names b
 LEFT JOIN counted ON counted.true_label = a.label AND counted.predicted_label = b.label""")
 def confusion_matrix(spark, sf):
-    return evaluate.confusion(pairs(spark, sf))
+    """The zero-filled form over all labels, which is the result's own size."""
+    rows = settle(pairs(spark, sf), "pairs")
+    return evaluate.confusion(rows, evaluate.all_labels(evaluate.pair_counts(rows)))
 
 
 @query(f"""WITH {PAIRS}, m AS (
@@ -282,7 +291,4 @@ round(sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * support) / sum(support), 9
 FROM s GROUP BY subset_id""")
 def comparison_table(spark, sf):
     """One summary per run; here a run is the predictions of one subset."""
-    rows = settle(pairs(spark, sf), "pairs")
-    names = [r["subset_id"] for r in vector_mapping(spark, sf).select("subset_id").distinct().collect()]
-    runs = [evaluate.summary(rows.where(F.col("subset_id") == n)).withColumn("run", F.lit(n)) for n in names]
-    return _rounded(evaluate.comparison_table(runs))
+    return _rounded(evaluate.comparison_table(pairs(spark, sf).withColumnRenamed("subset_id", "run"), "run"))

@@ -4,8 +4,8 @@ NOISE_LABEL = "__NOISE__"
 NOISE_DESCRIPTION = "Text samples that do not belong to any of the defined categories"
 DEFAULT_DESCRIPTION = "Text samples that belong to the '{label}' category"
 
-# Characters that Python's str.strip removes, as a regex class for Java and RE2.
-SPACE_CLASS = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
+# Characters that Python's str.strip removes.
+SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # Unicode words of two or more characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 

@@ -30,6 +30,7 @@ def top_label(probabilities: Column, labels: Column) -> Column:
 
 
 def softmax(values: Column) -> Column:
-    shifted = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda v: v / total)
+    # Arrays of one element hold what every element needs, so that it is computed once.
+    shifted = F.transform(F.array(F.array_max(values)), lambda top: F.transform(values, lambda v: F.exp(v - top)))
+    total = F.transform(shifted, lambda row: F.struct(row.alias("row"), F.aggregate(row, F.lit(0.0), lambda acc, x: acc + x).alias("sum")))
+    return F.get(F.transform(total, lambda s: F.transform(s["row"], lambda v: v / s["sum"])), F.lit(0))

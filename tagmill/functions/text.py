@@ -3,12 +3,12 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagmill.constants import MAX_PROMPT_TEXT, SPACE_CLASS, TOKEN_PATTERN, TRUNCATION_SUFFIX
+from tagmill.constants import MAX_PROMPT_TEXT, SPACES, TOKEN_PATTERN, TRUNCATION_SUFFIX
 
 
 def strip_space(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def text_key(text: Column) -> Column:

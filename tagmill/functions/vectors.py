@@ -28,4 +28,6 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one; a zero vector stays as it is."""
-    return F.transform(doubles(vector), lambda x: F.when(norm(vector) > 0, x / norm(vector)).otherwise(x))
+    # An array of one element holds the norm, so that it is computed once per vector.
+    scaled = F.transform(F.array(norm(vector)), lambda n: F.transform(doubles(vector), lambda x: F.when(n > 0, x / n).otherwise(x)))
+    return F.get(scaled, F.lit(0))

@@ -1,7 +1,5 @@
 """Metrics over a table of ``true_label, predicted_label``."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +70,14 @@ def macro_scores(pairs: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def confusion(pairs: DataFrame) -> DataFrame:
-    """Counts for every true and predicted label, zeros included."""
-    counts = settle(pair_counts(pairs), "confusion")
-    labels = all_labels(counts)
+def confusion(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Counts of the true and predicted labels that occur together.
+
+    With a table of ``labels``, counts for every two of them, zeros included.
+    """
+    counts = pair_counts(pairs)
+    if labels is None:
+        return counts
     grid = pair_with(labels.withColumnRenamed("label", "true_label"), labels.withColumnRenamed("label", "predicted_label"), "predicted_label")
     return lookup_join(grid, counts, ["true_label", "predicted_label"], "left").select(
         "true_label", "predicted_label", F.coalesce("n", F.lit(0)).alias("n")
@@ -111,6 +113,9 @@ def summary(pairs: DataFrame) -> DataFrame:
     return spread.withColumn("_one", F.lit(1)).join(scores.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def comparison_table(runs) -> DataFrame:
-    """Summaries of several runs, one row each."""
-    return reduce(DataFrame.unionByName, runs)
+def comparison_table(pairs: DataFrame, *by: str) -> DataFrame:
+    """Accuracy and weighted scores of several runs at once, one row each; ``by`` names the run."""
+    counts = settle(pair_counts(pairs, *by), "pairs")
+    right = F.when(F.col("true_label") == F.col("predicted_label"), F.col("n")).otherwise(0)
+    shares = counts.groupBy(*by).agg((F.sum(right) / F.sum("n")).alias("accuracy"))
+    return shares.join(_weighted(_per_class(counts, *by), *by), list(by))

@@ -1,18 +1,16 @@
 """Label vectors and the split of the label space into dissimilar subsets."""
 
+from functools import reduce
+
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from tagmill.functions.vectors import cosine, doubles
-from tagmill.storage import pair_with, settle
-
-# The greedy split is sequential in the labels of one taxonomy.
-MAX_LABELS = 20_000
 
+from tagmill.functions.vectors import doubles, dot, norm
+from tagmill.operators.neighbours import knn_join, similar_pairs
+from tagmill.storage import settle
 
 def centroids(rows: DataFrame, *by: str) -> DataFrame:
     """Mean vector per group, pre-aggregated in every task."""
@@ -21,78 +19,89 @@ def centroids(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def reduce_dims(vectors: DataFrame, dims: int) -> DataFrame:
-    """Replace ``vector`` by its first ``dims`` principal components; a table of at
-    most ``dims`` rows stays as it is."""
+    """Replace ``vector`` by its first ``dims`` principal components."""
     table = settle(vectors, "vectors")
-    if table.limit(dims + 1).count() <= dims:
-        return table
     wide = table.withColumn("_wide", array_to_vector(doubles(F.col("vector"))))
     model = PCA(k=dims, inputCol="_wide", outputCol="_narrow").fit(wide)
     return model.transform(wide).withColumn("vector", vector_to_array("_narrow")).drop("_wide", "_narrow")
 
 
 def label_similarity(label_vectors: DataFrame, digits: int = 9) -> DataFrame:
-    """Cosine of every two labels, each pair once."""
-    other = label_vectors.select(F.col("label").alias("other"), F.col("vector").alias("_other"))
-    pairs = pair_with(label_vectors, other, "other").where(F.col("label") < F.col("other"))
-    return pairs.select("label", "other", F.round(cosine(F.col("vector"), F.col("_other")), digits).alias("similarity"))
+    """Cosine of every two labels, each pair once; blocks of labels are multiplied."""
+    left = label_vectors.select(F.col("label").alias("query_id"), "vector")
+    right = label_vectors.select(F.col("label").alias("item_id"), "vector")
+    pairs = similar_pairs(left, right, digits=digits).where(F.col("query_id") < F.col("item_id"))
+    return pairs.select(F.col("query_id").alias("label"), F.col("item_id").alias("other"), "similarity")
 
 
-def least_similar(candidates: DataFrame, *by: str) -> DataFrame:
-    """Label with the lowest similarity; the first position on ties."""
-    return candidates.groupBy(*by).agg(
-        F.min_by("label", F.struct("similarity", "pos")).alias("label"), F.min("similarity").alias("similarity")
-    )
+def least_similar(label_vectors: DataFrame, digits: int = 9) -> DataFrame:
+    """For each label (``target``) the other label least similar to it; the first label on ties.
+
+    It is the nearest neighbour of the opposite vector, so every block of labels gives one candidate only.
+    """
+    opposite = F.transform(doubles(F.col("vector")), lambda x: -x)
+    left = label_vectors.select(F.col("label").alias("query_id"), opposite.alias("vector"))
+    right = label_vectors.select(F.col("label").alias("item_id"), "vector")
+    found = knn_join(left, right, 1, skip_same=True, digits=digits)
+    return found.select(F.col("query_id").alias("target"), F.col("item_id").alias("label"), (-F.col("similarity")).alias("similarity"))
 
 
-def greedy_subsets(label_vectors: DataFrame, subset_size: int = 8, taxonomy=(), max_labels: int = MAX_LABELS):
+def greedy_subsets(label_vectors: DataFrame, subset_size: int = 8, taxonomy=()) -> DataFrame:
     """Split labels into subsets of mutually dissimilar labels.
 
     Each subset starts with the first free label in sorted order and takes the free
-    label least similar to its mean until it is full. The picks depend on each other,
-    so one task handles one taxonomy, whose label count is checked first.
+    label least similar to its mean until it is full. A pick depends on the ones
+    before, so there is one aggregation per pick; it runs over the distributed label
+    vectors, for all taxonomies at once. The driver holds, per taxonomy, the sum of the open
+    subset's vectors; picked labels go to a table of their own.
     """
     by = list(taxonomy)
+    group = by or ["_all"]
     if not by:
         label_vectors = label_vectors.withColumn("_all", F.lit(0))
-    group = by or ["_all"]
-    labels = settle(label_vectors.select(*group, "label", "vector"), "labels")
-    wide = labels.groupBy(*group).count().where(F.col("count") > max_labels).first()
-    if wide is not None:
-        raise ValueError(f"{wide['count']} labels in one taxonomy; the limit is {max_labels}")
-
-    def split(key, frame):
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values("label", kind="stable")
-        names = frame["label"].to_list()
-        vectors = np.asarray(frame["vector"].to_list(), dtype=np.float64)
-        length = np.linalg.norm(vectors, axis=1)
-        scaled = vectors / np.where(length > 0, length, 1.0)[:, None]
-        free = np.ones(len(names), dtype=bool)
-        out = []
-        subset = pos = 0
-        total = None
-        for _ in names:
-            if pos == 0:
-                pick = int(np.argmax(free))
-                total = np.zeros(vectors.shape[1])
-            else:
-                pick = int(np.argmin(np.where(free, scaled @ total, np.inf)))
-            free[pick] = False
-            total = total + vectors[pick]
-            out.append((*key, f"subset_{subset}", pos, names[pick]))
-            pos += 1
-            if pos == subset_size:
-                subset, pos = subset + 1, 0
-        return pd.DataFrame(out, columns=[*group, "subset_id", "pos", "label"])
-
-    fields = [
-        *labels.select(*group).schema,
-        T.StructField("subset_id", T.StringType()),
-        T.StructField("pos", T.LongType()),
-        *labels.select("label").schema,
-    ]
-    found = labels.groupBy(*group).applyInPandas(split, T.StructType(fields))
-    return found if by else found.drop("_all")
+    labels = settle(label_vectors.select(*group, "label", doubles(F.col("vector")).alias("vector")), "labels")
+    spark = labels.sparkSession
+    free = labels.withColumn("_size", norm(F.col("vector"))).persist()
+    steps = labels.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    picked_schema = labels.select(*group, "label").schema.add("_step", "long")
+    sums, picks, tables = {}, [], []
+    for step in range(steps):
+        first = step % subset_size == 0
+        if picks:
+            taken = F.broadcast(spark.createDataFrame([p[:-1] for p in picks], labels.select(*group, "label").schema))
+            open_ = free.join(taken, [*group, "label"], "left_anti")
+        else:
+            open_ = free
+        if first:
+            order = F.struct("label")
+            found = open_.groupBy(*group).agg(F.min_by(F.struct("label", "vector"), order).alias("pick")).collect()
+            sums = {}
+        else:
+            totals = F.broadcast(spark.createDataFrame([(*k, v) for k, v in sums.items()], labels.select(*group, F.col("vector").alias("_sum")).schema))
+            near = F.when(F.col("_size") > 0, dot(F.col("vector"), F.col("_sum")) / F.col("_size")).otherwise(F.lit(0.0))
+            scored = open_.join(totals, group).withColumn("_near", near)
+            found = scored.groupBy(*group).agg(F.min_by(F.struct("label", "vector"), F.struct("_near", "label")).alias("pick")).collect()
+        for row in found:
+            k = tuple(row[g] for g in group)
+            vector = list(row["pick"]["vector"])
+            sums[k] = [a + b for a, b in zip(sums[k], vector)] if k in sums else vector
+            picks.append((*k, row["pick"]["label"], step))
+        if (step + 1) % subset_size == 0 or step + 1 == steps:
+            # A full subset leaves the free labels for good.
+            done = settle(spark.createDataFrame(picks, picked_schema), "picked")
+            tables.append(done)
+            rest = settle(free.join(F.broadcast(done.select(*group, "label")), [*group, "label"], "left_anti"), "free")
+            free.unpersist()
+            free, picks = rest.persist(), []
+    free.unpersist()
+    if not tables:
+        every = spark.createDataFrame([], picked_schema)
+    else:
+        every = reduce(DataFrame.unionByName, tables)
+    out = every.select(
+        *group,
+        F.concat(F.lit("subset_"), F.floor(F.col("_step") / subset_size).cast("string")).alias("subset_id"),
+        (F.col("_step") % subset_size).alias("pos"),
+        "label",
+    )
+    return out if by else out.drop("_all")

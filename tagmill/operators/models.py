@@ -16,28 +16,29 @@ from tagmill.operators.mapping import classes_of
 from tagmill.storage import as_lookup, estimated_bytes, fresh_path, lookup_join, settle
 
 MODEL_SCHEMA = "subset_id string, class_idx int, label string, intercept double, coefficients array<double>"
-LOG_SCHEMA = "subset_id string, train_samples long, classes int, error string"
+LOG_SCHEMA = "subset_id string, train_samples long, classes int, error string, deepest int"
 # Weights broadcast in one scoring pass; more subsets take more passes.
 PASS_BYTES = 64 * 1024 * 1024
 
 
-def _estimator(kind: str, rows: int, max_iter: int, seed: int):
+def _estimator(kind: str, rows: int, max_iter: int, seed: int, max_depth: int):
     if kind == "logistic_regression":
         # unit inverse regularisation strength, spread over the rows
         return LogisticRegression(
             family="multinomial", maxIter=max_iter, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False, tol=1e-4
         )
     if kind == "random_forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=12, featureSubsetStrategy="sqrt", seed=seed)
+        return RandomForestClassifier(numTrees=100, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
     raise ValueError(f"unsupported classifier type {kind!r}")
 
 
-def fit_subsets(training: DataFrame, kind: str = "logistic_regression", max_iter: int = 1000, seed: int = 42, parallel: int = 8):
+def fit_subsets(training: DataFrame, kind: str = "logistic_regression", max_iter: int = 1000, seed: int = 42, parallel: int = 8, max_depth: int = 30):
     """Fit one MLlib model per subset on ``subset_id, class_idx, label, features``.
 
     The table is written once, partitioned by subset, so a fit reads its own rows
     only and a large subset is still many tasks. Fits are submitted from a few
-    threads. A failing subset leaves an error in the log and the others go on.
+    threads. A failing subset leaves an error in the log and the others go on; for
+    forests the log has the depth of the deepest tree.
 
     Returns ``{subset_id: (model, labels)}`` and the fit log.
     """
@@ -61,10 +62,11 @@ def fit_subsets(training: DataFrame, kind: str = "logistic_regression", max_iter
             data = table.where(F.col("subset_id") == subset_id).select(
                 (F.array_position(present, F.col("class_idx")) - 1).cast("double").alias("label"), "features"
             )
-            model = _estimator(kind, rows, max_iter, seed).fit(data)
-            return subset_id, model, [r["label"] for r in classes], (subset_id, rows, len(classes), None)
+            model = _estimator(kind, rows, max_iter, seed, max_depth).fit(data)
+            deepest = max(t.depth for t in model.trees) if kind == "random_forest" else None
+            return subset_id, model, [r["label"] for r in classes], (subset_id, rows, len(classes), None, deepest)
         except Exception as problem:  # noqa: BLE001 - one bad subset must not stop the rest
-            return subset_id, None, [], (subset_id, rows, len(classes), str(problem).split("\n")[0])
+            return subset_id, None, [], (subset_id, rows, len(classes), str(problem).split("\n")[0], None)
 
     with ThreadPool(max(1, min(parallel, len(subsets)))) as pool:
         done = pool.map(inheritable_thread_target(spark)(fit), sorted(subsets))
@@ -166,7 +168,7 @@ def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS
 
         return score
 
-    needed = rows.select(*keep, "vector", *(["subset_id"] if own else []))
+    needed = rows.select(*dict.fromkeys([*keep, "vector", *(["subset_id"] if own else [])]))
     scored = None
     for weights in _passes(model_table, pass_bytes):
         part = needed.mapInPandas(scorer(spark.sparkContext.broadcast(weights)), schema)

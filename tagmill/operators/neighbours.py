@@ -6,14 +6,11 @@ per query, so neither a frequent key nor the pairs within it gather anywhere. Th
 block counts come from the sizes of the two sides.
 """
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagmill.functions.vectors import unit
-from tagmill.storage import as_lookup, lookup_join
+from tagmill.storage import as_lookup, lookup_join, settle
 
 BLOCK_ROWS = 4096
 
@@ -55,8 +52,47 @@ def _block_best(k: int, on, skip_same: bool, digits: int):
     return best
 
 
+def _block_similar(on, least, digits: int):
+    """Pairs of two blocks with at least ``least`` similarity."""
+
+    def similar(key, queries, corpus):
+        import numpy as np
+        import pandas as pd
+
+        columns = [*on, "query_id", "item_id", "similarity"]
+        if queries.empty or corpus.empty:
+            return pd.DataFrame(columns=columns)
+
+        def units(vectors):
+            rows = np.asarray(vectors.to_list(), dtype=np.float64)
+            length = np.linalg.norm(rows, axis=1, keepdims=True)
+            return rows / np.where(length > 0, length, 1.0)
+
+        scores = np.round(units(queries["vector"]) @ units(corpus["vector"]).T, digits)
+        row, col = np.nonzero(scores >= (-np.inf if least is None else least))
+        out = pd.DataFrame(
+            {"query_id": queries["query_id"].to_numpy()[row], "item_id": corpus["item_id"].to_numpy()[col], "similarity": scores[row, col]}
+        )
+        for name, value in zip(on, key):
+            out[name] = value
+        return out[columns]
+
+    return similar
+
+
+def similar_pairs(queries, corpus, least=None, on=(), block_rows=1024, digits=9) -> DataFrame:
+    """All pairs with at least ``least`` cosine, within equal ``on`` values; pairs below never leave
+    the task that multiplies their blocks."""
+    return _blocked(queries, corpus, on, block_rows, lambda key: _block_similar(key, least, digits))
+
+
 def knn_candidates(queries, corpus, k: int, on=(), skip_same=False, block_rows=BLOCK_ROWS, digits=9) -> DataFrame:
     """Best ``k`` corpus rows per query, key and corpus block."""
+    return _blocked(queries, corpus, on, block_rows, lambda key: _block_best(k, key, skip_same, digits))
+
+
+def _blocked(queries, corpus, on, block_rows, chosen) -> DataFrame:
+    """Every query block with every corpus block of its key."""
     on = list(on)
     if not on:
         queries, corpus = queries.withColumn("_all", F.lit(0)), corpus.withColumn("_all", F.lit(0))
@@ -85,9 +121,7 @@ def knn_candidates(queries, corpus, k: int, on=(), skip_same=False, block_rows=B
     fields = [*queries.select(*key, "query_id").schema, *corpus.select("item_id").schema]
     schema = T.StructType([*fields, T.StructField("similarity", T.DoubleType())])
     cell = [*key, "_q", "_c"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
-        _block_best(k, key, skip_same, digits), schema
-    )
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(chosen(key), schema)
     return found if on else found.drop("_all")
 
 
@@ -117,37 +151,61 @@ def knn_then_filter(queries, corpus, k: int, block_rows=BLOCK_ROWS) -> DataFrame
     return best_per_query(kept, k).select("query_id", "item_id", "similarity", "rank", "label")
 
 
-def knn_join_hashed(queries, corpus, k: int, tables: int = 8, bucket_length: float = 0.5, seed: int = 42):
-    """Approximate form: compare only rows that share a random-projection bucket.
-
-    Equal corpus vectors count once while searching, so copies cannot fill a bucket;
-    buckets that are still large are split into blocks like any other key.
-    """
-    key = F.xxhash64(F.col("vector").cast("array<double>"))
-    items = corpus.withColumn("_copy", key)
-    distinct = items.groupBy("_copy", "vector").agg(F.min("item_id").alias("item_id"))
+# Most pivots; they are held by every task.
+MOST_PIVOTS = 4096
 
-    def with_unit(df):
-        return df.withColumn("_unit", array_to_vector(unit(F.col("vector"))))
 
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed
-    )
-    model = lsh.fit(with_unit(distinct))
+def knn_join_probed(queries, corpus, k: int, least_recall: float = 0.9, audited: int = 256, seed: int = 42) -> DataFrame:
+    """Approximate form: a query meets only the cells whose pivots are nearest to it.
 
-    def spread(df, *keep):
-        hashed = model.transform(with_unit(df)).select(*keep, "vector", F.posexplode("_hashes").alias("_table", "_h"))
-        return hashed.withColumn("_bucket", vector_to_array("_h")[0].cast("long")).drop("_h")
-
-    found = knn_candidates(spread(queries, "query_id"), spread(distinct, "item_id"), k, ["_table", "_bucket"])
-    unique = best_per_query(found.select("query_id", "item_id", "similarity").distinct(), k).drop("rank")
-    first = distinct.select(F.col("item_id").alias("_first"), "_copy", F.col("vector").alias("_vector"))
-    copies = items.join(first, (items["_copy"] == first["_copy"]) & (items["vector"] == first["_vector"])).select(
-        "_first", "item_id"
-    )
-    near_copies = copies.withColumn("_n", F.row_number().over(Window.partitionBy("_first").orderBy("item_id")))
-    expanded = unique.withColumnRenamed("item_id", "_first").join(near_copies.where(F.col("_n") <= k), "_first")
-    return best_per_query(expanded.select("query_id", "item_id", "similarity"), k)
+    Pivots are corpus vectors drawn by hash, about the root of the corpus; every corpus row lies in the cell of its
+    nearest pivot. How many cells a query visits follows from the data: for some audited queries the exact neighbours
+    are found, and as many cells are taken as cover ``least_recall`` of them (and half of the rest). Large
+    cells are split into blocks like any other key. ``share`` is the part of all pairs that was compared.
+    """
+    spark = corpus.sparkSession
+    items = settle(corpus.select("item_id", "vector"), "items")
+    asks = settle(queries.select("query_id", "vector"), "asks")
+    count = items.count()
+    wanted = min(MOST_PIVOTS, max(1, round(count**0.5)))
+    order = F.xxhash64("item_id", F.lit(seed))
+    drawn = [r["vector"] for r in items.orderBy(order, "item_id").limit(wanted).select("vector").collect()]
+    pivots = spark.sparkContext.broadcast(drawn)
+
+    def ranked(kind, name, visits):
+        """Cells in order of nearness, the first ``visits`` of them."""
+
+        def cells(batches):
+            import numpy as np
+
+            centres = np.asarray(pivots.value, dtype=np.float64)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+            for batch in batches:
+                if len(batch):
+                    near = np.asarray(batch["vector"].to_list(), dtype=np.float64) @ centres.T
+                    found = np.argsort(-near, axis=1, kind="stable")[:, :visits]
+                    out = batch.loc[batch.index.repeat(found.shape[1])].copy()
+                    out["_cell"] = found.ravel()
+                    out["_place"] = np.tile(np.arange(found.shape[1]), len(batch))
+                    yield out
+
+        schema = T.StructType([*kind.schema, T.StructField("_cell", T.LongType()), T.StructField("_place", T.LongType())])
+        return kind.mapInPandas(cells, schema)
+
+    homes = settle(ranked(items, "item_id", 1).drop("_place"), "cells")
+    sample = asks.orderBy(F.xxhash64("query_id", F.lit(seed)), "query_id").limit(audited)
+    exact = knn_join(sample, items, k).select("query_id", "item_id")
+    where = ranked(sample, "query_id", wanted).select("query_id", "_cell", "_place")
+    needed = exact.join(homes.select("item_id", "_cell"), "item_id").join(where, ["query_id", "_cell"])
+    share = least_recall + (1 - least_recall) / 2
+    reach = needed.agg(F.percentile("_place", share).alias("p")).first()["p"]
+    visits = wanted if reach is None else min(wanted, int(-(-reach // 1)) + 1)
+    left = settle(ranked(asks, "query_id", visits).drop("_place"), "visits")
+    found = best_per_query(knn_candidates(left, homes, k, ["_cell"]).select("query_id", "item_id", "similarity"), k)
+    sizes = homes.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    compared = left.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m")).join(sizes, "_cell")
+    total = compared.agg(F.coalesce(F.sum(F.col("_n") * F.col("_m")), F.lit(0)).alias("t")).first()["t"]
+    return found.withColumn("share", F.lit(total / max(1, count * asks.count())))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Rows are drawn in the order of ``md5(seed:id)``, which does not depend on
 partitioning. A draw never sorts a whole group: counts per hash prefix locate the
-prefix in which the quota ends, only that prefix is ranked, and the cut found there
-is compared with every row.
+prefix in which the quota ends, and the prefix grows until it holds few rows. Only
+those are ranked, and the cut found there is compared with every row.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.constants import EXPERIMENT_SIZES, FALLBACK_CLASSES
+from tagmill.constants import EXPERIMENT_SIZES
 from tagmill.storage import as_lookup, lookup_join, settle
 
+# Most rows of a group that are ranked in one task.
+RANKED_ROWS = 10_000
+
 
 def draw_key(seed: int, *ids: str) -> Column:
     """Pseudo-random sort key of a row."""
@@ -30,29 +33,11 @@ def mark_lowest(rows: DataFrame, by, ids, quota, seed: int = 42, digits: int = 3
     group = by or ["_all"]
     if not by:
         keyed = keyed.withColumn("_all", F.lit(0))
-    bucket = F.substring("_draw", 1, digits).alias("_bucket")
-    counts = keyed.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*group).orderBy("_bucket")
-    sums = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*group))
-    )
-    if isinstance(quota, DataFrame):
-        sums = lookup_join(sums, quota.select(*group, F.col("quota").alias("_quota")), group, "left")
-        sums = sums.withColumn("_quota", F.coalesce("_quota", F.lit(0)))
-    else:
-        sums = sums.withColumn("_quota", quota(F.col("_total")) if callable(quota) else F.lit(quota))
-    inside = (F.col("_quota") > F.col("_upto") - F.col("_n")) & (F.col("_quota") <= F.col("_upto"))
-    groups = as_lookup(
-        sums.groupBy(*group).agg(
-            (F.max("_quota") >= F.max("_total")).alias("_everything"),
-            F.max(F.when(inside, F.col("_bucket"))).alias("_last"),
-            F.max(F.when(inside, F.col("_quota") - F.col("_upto") + F.col("_n"))).alias("_need"),
-        ),
-        "quota",
-    )
+    narrow = settle(keyed.select(*group, *ids, "_draw"), "draws")
+    groups = _ends(narrow, group, quota, digits)
     ranked = (
-        lookup_join(keyed.select(*group, *ids, "_draw"), groups, group)
-        .where(~F.col("_everything") & F.col("_draw").startswith(F.col("_last")))
+        lookup_join(narrow, groups, group)
+        .where(~F.col("_everything") & F.col("_draw").startswith(F.col("_prefix")))
         .withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_draw", *ids)))
     )
     last = ranked.where("_rank = _need").select(*group, F.struct("_draw", *ids).alias("_cut"))
@@ -64,6 +49,32 @@ def mark_lowest(rows: DataFrame, by, ids, quota, seed: int = 42, digits: int = 3
     return marked.select(*rows.columns, flag)
 
 
+def _ends(narrow: DataFrame, group, quota, digits: int):
+    """Per group whether its quota covers it, else the prefix in which the quota ends and how many
+    rows it wants there."""
+    sizes = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    if isinstance(quota, DataFrame):
+        sizes = lookup_join(sizes, quota.select(*group, F.col("quota").alias("_need")), group, "left")
+        sizes = sizes.withColumn("_need", F.coalesce("_need", F.lit(0)))
+    else:
+        sizes = sizes.withColumn("_need", quota(F.col("_size")) if callable(quota) else F.lit(quota))
+    sizes = sizes.withColumn("_need", F.col("_need").cast("long"))
+    found = settle(sizes.withColumn("_everything", F.col("_need") >= F.col("_size")).withColumn("_prefix", F.lit("")), "quota")
+    length = 0
+    while length < 32 and not found.where((F.col("_size") > RANKED_ROWS) & ~F.col("_everything") & (F.col("_need") > 0)).isEmpty():
+        length = min(length + digits, 32)
+        large = (F.col("_size") > RANKED_ROWS) & ~F.col("_everything") & (F.col("_need") > 0)
+        inside = lookup_join(narrow, found.where(large).select(*group, "_prefix", "_need"), group)
+        inside = inside.where(F.col("_draw").startswith(F.col("_prefix")))
+        counts = inside.groupBy(*group, "_need", F.substring("_draw", 1, length).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*group).orderBy("_bucket")))
+        ends = upto.where((F.col("_need") > F.col("_upto") - F.col("_n")) & (F.col("_need") <= F.col("_upto")))
+        here = ends.select(*group, F.col("_n").alias("_size"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"),
+                           F.lit(False).alias("_everything"), F.col("_bucket").alias("_prefix"))
+        found = settle(found.where(~large).unionByName(here), "quota")
+    return as_lookup(found)
+
+
 def take_lowest(rows, by, ids, quota, seed: int = 42, digits: int = 3) -> DataFrame:
     """The first ``quota`` rows per group in draw order."""
     return mark_lowest(rows, by, ids, quota, seed, digits).where("picked").drop("picked")
@@ -81,18 +92,28 @@ def sample_examples(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return drawn.withColumn("place", F.row_number().over(order))
 
 
-def large_classes(rows: DataFrame, least: int) -> DataFrame:
-    """Labels with at least ``least`` rows; the largest classes if there are none."""
+def large_classes(rows: DataFrame, least: int, largest: int) -> DataFrame:
+    """Labels with at least ``least`` rows; without any, the ``largest`` largest classes.
+
+    ``rule`` says which of the two applied (``enough`` or ``largest``).
+    """
     counts = settle(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "classes")
+    return _large(counts, least, largest)
+
+
+def _large(counts: DataFrame, least: int, largest: int) -> DataFrame:
     enough = counts.where(F.col("n") >= least)
     if enough.isEmpty():
-        return counts.orderBy(F.desc("n"), "label").limit(FALLBACK_CLASSES)
-    return enough
+        return counts.orderBy(F.desc("n"), "label").limit(largest).withColumn("rule", F.lit("largest"))
+    return enough.withColumn("rule", F.lit("enough"))
+
 
+def train_pool_split(rows: DataFrame, per_class: int, largest: int, seed: int = 42) -> DataFrame:
+    """Flag ``per_class`` training rows of each large class; the rest is the pool.
 
-def train_pool_split(rows: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
-    """Flag ``per_class`` training rows of each large class; the rest is the pool."""
-    kept = lookup_join(rows, large_classes(rows, per_class).select("label"), "label", "left_semi")
+    See ``large_classes`` for ``largest``; rows of other classes are left out, as the experiment wants it.
+    """
+    kept = lookup_join(rows, large_classes(rows, per_class, largest).select("label"), "label", "left_semi")
     return mark_lowest(kept, ["label"], ["row_id"], per_class, seed, flag="is_train")
 
 
@@ -106,7 +127,7 @@ def fraction_split(rows: DataFrame, by, ids, validation: float = 0.2, seed: int
     return mark_lowest(rows, by, ids, share, seed, flag="is_train")
 
 
-def experiment_splits(rows: DataFrame, sizes=EXPERIMENT_SIZES, seed: int = 42) -> DataFrame:
+def experiment_splits(rows: DataFrame, largest_classes: int, sizes=EXPERIMENT_SIZES, seed: int = 42) -> DataFrame:
     """The split of ``train_pool_split`` for several sizes at once.
 
     Each row is ranked only up to the largest size, then repeated per size in which
@@ -116,10 +137,7 @@ def experiment_splits(rows: DataFrame, sizes=EXPERIMENT_SIZES, seed: int = 42) -
     counts = settle(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "classes")
     chosen = None
     for size in sizes:
-        enough = counts.where(F.col("n") >= size)
-        if enough.isEmpty():
-            enough = counts.orderBy(F.desc("n"), "label").limit(FALLBACK_CLASSES)
-        part = enough.select("label", F.lit(size).alias("per_class"))
+        part = _large(counts, size, largest_classes).select("label", F.lit(size).alias("per_class"))
         chosen = part if chosen is None else chosen.unionByName(part)
     per_label = chosen.groupBy("label").agg(F.collect_list("per_class").alias("sizes"))
     marked = mark_lowest(rows, ["label"], ["row_id"], largest, seed, flag="_near")

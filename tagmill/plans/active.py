@@ -4,8 +4,10 @@ Every iteration reads written tables and writes its own, so plans stay short and
 stopped run continues after its last complete iteration.
 """
 
+import math
 import time
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +45,10 @@ class Outcome:
     trained: Trained | None
 
 
-def choose(predictions: DataFrame, phase: str, k: int) -> DataFrame:
-    """Rows to judge: the most uncertain, or in the later phase all of them."""
+def choose(predictions: DataFrame, phase: str, k: int | None) -> DataFrame:
+    """Rows to judge: the ``k`` most uncertain, or in the later phase and without ``k`` all of them."""
     known = drop_noise(predictions).select("row_id", "subset_id", "predicted_label", "uncertainty")
-    return models.most_uncertain(known, k) if phase == "informative" else known
+    return models.most_uncertain(known, k) if phase == "informative" and k is not None else known
 
 
 def all_labelled(parts: Components, validated: DataFrame) -> DataFrame:
@@ -57,19 +59,18 @@ def all_labelled(parts: Components, validated: DataFrame) -> DataFrame:
     return parts.labelled.select("row_id", "text", "label", "vector").unionByName(grown)
 
 
-def run_iteration(spark, parts: Components, pool, run_dir, at: int, phase: str, encoder, judge, options, model, done: int):
-    """One iteration; returns its history values and writes its tables."""
+def run_iteration(spark, parts: Components, pool, size: int, run_dir, at: int, phase: str, encoder, judge, options, model, done: int):
+    """One iteration over ``size`` pool rows; returns its history values and the components
+    to go on with, and writes its tables."""
     start = time.time()
-    batch = batch_slice(pool, options.batch_size, at - 1)
-    rows = settle(embed(batch.select("row_id", "text"), parts.run_dir, encoder, model, f"{at}"), "batch")
+    batch = batch_slice(pool, size, at - 1)
+    rows = settle(embed(batch.select("row_id", "text"), run_dir, encoder, model, f"{at}", (parts.run_dir,)), "batch")
     size = rows.count()
     values = {"batch_size": size, "predictions_made": 0, "informative_samples": 0, "judged": 0, "validated_samples": 0}
-    new = spark.createDataFrame([], VALIDATED)
+    values["validation_rate"] = 0.0
     if size:
         predictions = settle(drop_noise(score(rows.select("row_id", "vector"), parts.models, parts.weights)), "predictions")
-        values["predictions_made"] = predictions.count()
         chosen = settle(choose(predictions, phase, options.samples_per_iteration), "chosen")
-        values["informative_samples"] = values["judged"] = chosen.count()
         asked = chosen.join(rows, "row_id")
         cache = state.read_appended(spark, run_dir, "verdicts", judging.CACHE_SCHEMA, at - 1).drop("iteration")
         verdicts, fresh = judging.judge_batch(
@@ -83,17 +84,21 @@ def run_iteration(spark, parts: Components, pool, run_dir, at: int, phase: str,
             "row_id", "text", F.col("predicted_label").alias("label"), "vector", "confidence", F.lit("judge").alias("source")
         )
         state.append_rows(new, run_dir, "validated", at)
-        values["validated_samples"] = accepted(verdicts, options.confidence_threshold).count()
-        valid = verdicts.where("is_valid").count()
-        values["validation_rate"] = valid / values["judged"] if values["judged"] else 0.0
-    values["validation_rate"] = float(values.get("validation_rate", 0.0))
+        good = F.col("is_valid") & (F.col("confidence") >= options.confidence_threshold)
+        counts = verdicts.agg(
+            F.count(F.lit(1)).alias("judged"), F.count_if(good).alias("validated"), F.count_if("is_valid").alias("valid")
+        ).first()
+        values["predictions_made"] = predictions.count()
+        values["informative_samples"] = values["judged"] = counts["judged"]
+        values["validated_samples"] = counts["validated"]
+        values["validation_rate"] = counts["valid"] / counts["judged"] if counts["judged"] else 0.0
     values["cumulative_validated"] = done + values["validated_samples"]
     values["retrained_classifiers"] = 0
     before = done // options.retrain_threshold
     if values["validated_samples"] and values["cumulative_validated"] // options.retrain_threshold > before:
-        values["retrained_classifiers"] = retrain(spark, parts, run_dir, at, options)
+        parts, values["retrained_classifiers"] = retrain(spark, parts, run_dir, at, options)
     values["iteration_time"] = time.time() - start
-    return values
+    return values, parts
 
 
 def last_fits(spark: SparkSession, run_dir: str, upto: int) -> DataFrame:
@@ -102,27 +107,57 @@ def last_fits(spark: SparkSession, run_dir: str, upto: int) -> DataFrame:
     return fits.groupBy("subset_id").agg(F.max_by("rows", "iteration").alias("rows"))
 
 
-def retrain(spark, parts: Components, run_dir: str, at: int, options: Options, everything: bool = False) -> int:
-    """Refit subsets that gained rows, from all labelled rows; returns their number."""
+def labelled_rows(spark, parts: Components, run_dir: str, at: int) -> tuple[DataFrame, DataFrame]:
+    """All labelled rows up to an iteration, and their ids by subset."""
     validated = state.read_appended(spark, run_dir, "validated", VALIDATED, at)
     labelled = settle(all_labelled(parts, validated), "labelled")
-    rows = attach_subset(labelled.select("row_id", "label"), parts.mapping)
-    now = settle(rows.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows")), "sizes")
-    due = now if everything or options.retrain_all else models.needs_retrain(rows, last_fits(spark, run_dir, at - 1))
+    return labelled, attach_subset(labelled.select("row_id", "label"), parts.mapping)
+
+
+def refitted(spark, parts: Components, labelled: DataFrame, chosen, options: Options, path: str) -> Components:
+    """The components with the chosen subsets fitted anew; all models are saved under ``path``."""
+    trained = train_subsets(labelled, parts.mapping, options, only=chosen)
+    weights = parts.weights
+    if weights is not None:
+        kept = weights.where(~F.col("subset_id").isin(list(trained.models)))
+        weights = settle(kept.unionByName(trained.weights), "models")
+    models_ = {**parts.models, **trained.models}
+    state.save_models(spark, models_, path, trained.kind, weights)
+    return replace(parts, trained=trained, models=models_, weights=weights, models_path=path)
+
+
+def fit_rows(rows: DataFrame, parts: Components) -> DataFrame:
+    """Rows per subset and whether the latest training fitted it."""
+    now = rows.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
+    return now.select("subset_id", F.col("subset_id").isin(list(parts.trained.models)).alias("retrained"), "rows")
+
+
+def retrain(spark, parts: Components, run_dir: str, at: int, options: Options) -> tuple[Components, int]:
+    """Refit subsets that gained rows, from all labelled rows; also returns their number."""
+    labelled, rows = labelled_rows(spark, parts, run_dir, at)
+    due = rows.select("subset_id").distinct() if options.retrain_all else models.needs_retrain(rows, last_fits(spark, run_dir, at - 1))
     chosen = sorted(r["subset_id"] for r in due.select("subset_id").collect())
     if not chosen:
-        return 0
-    trained = train_subsets(labelled, parts.mapping, options, only=chosen)
-    parts.trained = trained
-    parts.models = {**parts.models, **trained.models}
-    if parts.weights is not None:
-        refitted = list(trained.models)
-        kept = parts.weights.where(~F.col("subset_id").isin(refitted))
-        parts.weights = settle(kept.unionByName(trained.weights), "models")
-    state.save_models(spark, parts.models, f"{run_dir}/models/iter={at}-{int(time.time() * 1000)}", trained.kind, parts.weights)
-    fitted = F.col("subset_id").isin(list(trained.models))
-    state.append_rows(now.select("subset_id", fitted.alias("retrained"), "rows"), run_dir, "fits", at)
-    return len(trained.models)
+        return parts, 0
+    parts = refitted(spark, parts, labelled, chosen, options, f"{run_dir}/models/iteration={at}-{uuid.uuid4().hex}")
+    state.append_rows(fit_rows(rows, parts), run_dir, "fits", at)
+    return parts, len(parts.trained.models)
+
+
+def saved(spark, parts: Components, run_dir: str, at: int) -> None:
+    """Mark an iteration as complete; its models are named, so that a stopped loop goes on with them."""
+    path = spark.createDataFrame([(parts.models_path,)], "path string")
+    state.save_state(run_dir, at, mapping=parts.mapping, models=path)
+
+
+def pool_table(spark, pool: DataFrame, run_dir: str) -> DataFrame:
+    """The cleaned, numbered pool; written once per loop."""
+    path = f"{run_dir}/pool"
+    if not state.exists(spark, f"{path}/_SUCCESS"):
+        clean, _ = clean_rows(pool.select("row_id", "text"), ("text",))
+        numbered = number_rows(clean.select("row_id", "text"), "row_id")
+        numbered.withColumn("row_id", F.col("row_id").cast("string")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def run_active(
@@ -137,32 +172,37 @@ def run_active(
 ) -> Outcome:
     """Iterate over the pool until it is exhausted, converged or out of iterations.
 
-    ``pool`` has ``row_id, text``. An existing ``run_dir`` is continued.
+    ``pool`` has ``row_id, text``. An existing ``run_dir`` is continued with the pool and the models
+    of its last complete iteration. The fits at the end go to ``run_dir/final`` and do not touch the loop.
     """
     parts = load_components(spark, components) if isinstance(components, str) else components
-    clean, _ = clean_rows(pool.select(F.col("row_id"), "text"), ("text",))
-    positions = number_rows(clean.select("row_id", "text"), "row_id")
-    table = settle(positions.withColumn("row_id", F.col("row_id").cast("string")), "pool")
+    table = pool_table(spark, pool, run_dir)
+    size = options.batch_size or max(1, math.ceil(options.batch_share * table.count()))
     at = state.latest_iteration(spark, run_dir)
     if at is None:
         at = 0
         sizes = attach_subset(parts.labelled, parts.mapping).groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
         state.append_rows(sizes.select("subset_id", F.lit(True).alias("retrained"), "rows"), run_dir, "fits", 0)
-        state.save_state(run_dir, 0, mapping=parts.mapping)
+        saved(spark, parts, run_dir, 0)
+    else:
+        path = state.load_state(spark, run_dir, at)[1]["models"].first()["path"]
+        if path != parts.models_path:
+            models_, weights = state.load_models(spark, path)
+            parts = replace(parts, models=models_, weights=weights, models_path=path)
     history = state.read_appended(spark, run_dir, "history", HISTORY, at)
     stopped = _stop_reason(history, at, options)
     while stopped is None:
         at += 1
-        done = history.agg(F.coalesce(F.sum("validated_samples"), F.lit(0))).first()[0]
-        phase = "all_predicted" if not history.where("predictions_made = 0").isEmpty() else "informative"
-        values = run_iteration(spark, parts, table, run_dir, at, phase, encoder, judge, options, model, done)
+        sums = history.agg(F.coalesce(F.sum("validated_samples"), F.lit(0)).alias("done"), F.count_if(F.col("predictions_made") == 0).alias("empty")).first()
+        phase = "all_predicted" if sums["empty"] else "informative"
+        values, parts = run_iteration(spark, parts, table, size, run_dir, at, phase, encoder, judge, options, model, sums["done"])
         names = [f.split()[0] for f in HISTORY.split(", ")]
         row = spark.createDataFrame([tuple(values[n] for n in names)], HISTORY)
         state.append_rows(row, run_dir, "history", at)
-        state.save_state(run_dir, at, mapping=parts.mapping)
+        saved(spark, parts, run_dir, at)
         history = state.read_appended(spark, run_dir, "history", HISTORY, at)
         stopped = _stop_reason(history, at, options)
-    final_retrain(spark, parts, run_dir, at, options)
+    parts = final_retrain(spark, parts, run_dir, at, options)
     fits = state.read_appended(spark, run_dir, "fits", FITS, at)
     return Outcome(
         run_dir,
@@ -176,9 +216,30 @@ def run_active(
     )
 
 
-def final_retrain(spark, parts: Components, run_dir: str, at: int, options: Options) -> int:
-    """Refit every subset at the end."""
-    return retrain(spark, parts, run_dir, at, options, everything=True)
+def final_retrain(spark, parts: Components, run_dir: str, at: int, options: Options) -> Components:
+    """Refit every subset at the end and store, in one place under ``run_dir/final``, the models, the whole
+    training table, all verdicts and the fits."""
+    labelled, rows = labelled_rows(spark, parts, run_dir, at)
+    chosen = sorted(r["subset_id"] for r in rows.select("subset_id").distinct().collect())
+    final = f"{run_dir}/final"
+    parts = refitted(spark, parts, labelled, chosen, options, f"{final}/models/iteration={at}-{uuid.uuid4().hex}")
+    verdicts = state.read_appended(spark, run_dir, "verdicts", judging.CACHE_SCHEMA, at)
+    state.save_state(
+        final,
+        at,
+        training=labelled,
+        verdicts=verdicts,
+        fits=fit_rows(rows, parts),
+        mapping=parts.mapping,
+        models=spark.createDataFrame([(parts.models_path,)], "path string"),
+    )
+    return parts
+
+
+def load_final(spark, run_dir: str):
+    """Tables of the finished loop and its models, as ``load_models`` gives them."""
+    _, tables = state.load_state(spark, f"{run_dir}/final")
+    return tables, state.load_models(spark, tables["models"].first()["path"])
 
 
 def _stop_reason(history: DataFrame, at: int, options: Options) -> str | None:
@@ -197,4 +258,4 @@ def _stop_reason(history: DataFrame, at: int, options: Options) -> str | None:
         return options.stop_mode
     if now["empty_count"] == 0 and now["converged"]:
         return "converged"
-    return "out of iterations" if at >= options.max_iterations else None
+    return "out of iterations" if options.max_iterations is not None and at >= options.max_iterations else None

@@ -1,5 +1,7 @@
 """Training sizes compared on one labelled table."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def run_experiments(
 
     Rows are routed by their true label, as the published figures are.
     """
-    splits = settle(experiment_splits(rows, sizes, options.seed), "splits")
+    splits = settle(experiment_splits(rows, options.fallback_classes, sizes, options.seed), "splits")
     lines = []
     for size in sizes:
         part = splits.where(F.col("per_class") == size).drop("per_class")
@@ -28,7 +30,7 @@ def run_experiments(
         parts = run_initial(spark, train, f"{run_dir}/size={size}/initial", encoder, judge, options)
         models, weights = parts.models, parts.weights
         loop = run_active(spark, parts, rest, f"{run_dir}/size={size}/active", encoder, judge, options)
-        vectors = _vectors(rest, parts.run_dir, encoder)
+        vectors = _vectors(rest, f"{run_dir}/size={size}/scores", encoder, parts.run_dir, loop.run_dir)
         predictions = score(vectors, models, weights)
         truth = rest.select(F.col("row_id").cast("string").alias("row_id"), F.col("label").alias("true_label"))
         routed = evaluate.route_by_truth(truth, parts.mapping, predictions)
@@ -37,11 +39,11 @@ def run_experiments(
         )
         line = evaluate.summary(routed).withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one")
         lines.append(line.drop("_one").withColumn("samples_per_class", F.lit(size)).withColumn("converged", F.lit(loop.stopped == "converged")))
-    return evaluate.comparison_table(lines)
+    return reduce(DataFrame.unionByName, lines)
 
 
-def _vectors(rows: DataFrame, run_dir: str, encoder) -> DataFrame:
+def _vectors(rows: DataFrame, run_dir: str, encoder, *known: str) -> DataFrame:
     from tagmill.plans.initial import embed
 
     named = rows.select(F.col("row_id").cast("string").alias("row_id"), "text")
-    return settle(embed(named, run_dir, encoder, "encoder", "999999"), "vectors").select("row_id", "vector")
+    return settle(embed(named, run_dir, encoder, "encoder", "0", known), "vectors").select("row_id", "vector")

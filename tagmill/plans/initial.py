@@ -1,6 +1,7 @@
 """From labelled seed rows to subsets, models and label descriptions."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,16 @@ class Components:
     trained: Trained | None
     models: dict
     weights: DataFrame | None
+    models_path: str = ""
 
 
-def embed(rows: DataFrame, run_dir: str, encoder, model: str, part: str) -> DataFrame:
+def embed(rows: DataFrame, run_dir: str, encoder, model: str, part: str, known=()) -> DataFrame:
     """Rows with ``vector``; new vectors are added to the run's cache, which is read
-    one row per content key, so a repeated part does no harm."""
+    one row per content key, so a repeated part does no harm. ``known`` names further runs
+    whose vectors are used too; nothing is written there."""
     spark = rows.sparkSession
-    cache = state.read_appended(spark, run_dir, "vectors", features.EMPTY_CACHE).drop("iteration")
+    caches = [state.read_appended(spark, folder, "vectors", features.EMPTY_CACHE).drop("iteration") for folder in (run_dir, *known)]
+    cache = reduce(DataFrame.unionByName, caches)
     encoded, fresh = features.embed_texts(rows, cache, encoder, model)
     fresh.write.mode("append").parquet(f"{run_dir}/vectors/iteration={part}")
     return encoded.withColumnRenamed("embedding", "vector").drop("key")
@@ -58,7 +62,8 @@ def run_initial(
     descriptions = settle(
         judging.describe_labels(seed, seed, judge, options.description_examples, options.seed), "descriptions"
     )
-    state.save_models(spark, trained.models, f"{run_dir}/models/iter=0", trained.kind, trained.weights)
+    models_path = f"{run_dir}/models/iter=0"
+    state.save_models(spark, trained.models, models_path, trained.kind, trained.weights)
     state.save_mapping(mapping, f"{run_dir}/mapping")
     state.save_state(
         run_dir,
@@ -73,11 +78,12 @@ def run_initial(
         label_distribution=trained.distribution,
         seed_stats=stats.seed_stats(seed),
     )
-    return Components(run_dir, labelled, mapping, descriptions, trained, trained.models, trained.weights)
+    return Components(run_dir, labelled, mapping, descriptions, trained, trained.models, trained.weights, models_path)
 
 
 def load_components(spark: SparkSession, run_dir: str) -> Components:
     """Components of a finished initial run."""
     _, tables = state.load_state(spark, run_dir, 0)
-    models, weights = state.load_models(spark, f"{run_dir}/models/iter=0")
-    return Components(run_dir, tables["labelled"], tables["mapping"], tables["descriptions"], None, models, weights)
+    models_path = f"{run_dir}/models/iter=0"
+    models, weights = state.load_models(spark, models_path)
+    return Components(run_dir, tables["labelled"], tables["mapping"], tables["descriptions"], None, models, weights, models_path)

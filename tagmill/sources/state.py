@@ -121,16 +121,17 @@ def save_models(spark: SparkSession, models, path: str, kind: str, weights: Data
 
     Linear models are their coefficient table; others use MLlib's own format.
     """
-    linear = kind == "logistic_regression"
-    rows = []
-    for at, (subset_id, (model, labels)) in enumerate(sorted(models.items())):
-        folder = f"{path}/coefficients" if linear else f"{path}/model_{at}"
-        if not linear:
-            model.write().save(folder)
-        rows.append((subset_id, kind, folder, labels))
-    if linear:
+    if kind == "logistic_regression":
         (coefficient_table(spark, models) if weights is None else weights).write.parquet(f"{path}/coefficients")
-    index = spark.createDataFrame(rows, "subset_id string, kind string, folder string, labels array<string>")
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "label"))), lambda x: x["label"])
+        table = spark.read.parquet(f"{path}/coefficients").groupBy("subset_id").agg(ordered.alias("labels"))
+        index = table.select("subset_id", F.lit(kind).alias("kind"), F.lit(f"{path}/coefficients").alias("folder"), "labels")
+    else:
+        rows = []
+        for at, (subset_id, (model, labels)) in enumerate(sorted(models.items())):
+            model.write().save(f"{path}/model_{at}")
+            rows.append((subset_id, kind, f"{path}/model_{at}", labels))
+        index = spark.createDataFrame(rows, "subset_id string, kind string, folder string, labels array<string>")
     index.coalesce(1).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 

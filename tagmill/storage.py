@@ -4,15 +4,14 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup within these limits is broadcast; a larger one is joined by salted shuffle.
 KNOWN_SMALL_BYTES = 10 * 1024 * 1024
 LOOKUP_ROWS = 100_000
 LOOKUP_BYTES = 64 * 1024 * 1024
-# Most items a grid may have on its small side.
-GRID_ROWS = 100_000
+GRID_ROWS = 256
 SALTS = 32
 CHUNK = 10_000
 
@@ -60,10 +59,10 @@ class Lookup(NamedTuple):
 def as_lookup(df: DataFrame, name: str = "lookup") -> Lookup:
     """Check the size of a lookup.
 
-    A table that Catalyst already knows to be small is used as it is. Any other is
-    written once; its rows and bytes then decide.
+    It is small if its rows, which are counted, and its bytes are few. A table that Catalyst does not take for
+    small is written once first. An estimate alone is not enough: it misses what rows multiply to.
     """
-    if estimated_bytes(df) <= KNOWN_SMALL_BYTES:
+    if estimated_bytes(df) <= KNOWN_SMALL_BYTES and df.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS:
         return Lookup(df, True)
     table = settle(df, name)
     return Lookup(table, estimated_bytes(table) <= LOOKUP_BYTES and table.count() <= LOOKUP_ROWS)
@@ -115,18 +114,16 @@ def only_needed(table: DataFrame, rows: DataFrame, on) -> DataFrame:
 
 
 def pair_with(rows: DataFrame, items: DataFrame, order: str) -> DataFrame:
-    """Every row with every row of a small ``items`` table, by position.
+    """Every row with every row of ``items``, in blocks.
 
-    Used where the result itself is that grid (labels by labels, sampled rows by
-    subsets). ``items`` is written, counted and bounded first.
+    Only for results that are that grid themselves (sampled rows by subsets). The items are dealt to blocks
+    by the hash of ``order``, and every row meets every block.
     """
     table = settle(items, "items")
-    count = table.count()
-    if count > GRID_ROWS:
-        raise ValueError(f"a grid over {count} items is too large")
-    numbered = table.withColumn("_pos", F.row_number().over(Window.orderBy(order)))
-    places = F.sequence(F.lit(1), F.lit(count)) if count else F.array().cast("array<int>")
-    return lookup_join(rows.withColumn("_pos", F.explode(places)), numbered, "_pos").drop("_pos")
+    blocks = -(-table.count() // GRID_ROWS)
+    dealt = table.withColumn("_block", F.pmod(F.xxhash64(order), F.lit(max(blocks, 1))))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")) if blocks else F.array().cast("array<long>")
+    return lookup_join(rows.withColumn("_block", F.explode(every)), dealt, "_block").drop("_block")
 
 
 def repeat_rows(rows: DataFrame, copies: str, ids, name: str) -> DataFrame:

@@ -23,8 +23,8 @@ def greedy(names, vectors, size):
     return out
 
 
-@settings(max_examples=6, deadline=None)
-@given(count=st.integers(1, 25), size=st.integers(1, 9), seed=st.integers(0, 99))
+@settings(max_examples=4, deadline=None)
+@given(count=st.integers(1, 14), size=st.integers(1, 9), seed=st.integers(0, 99))
 def test_greedy_subsets_equal_the_plain_form(spark, count, size, seed):
     rng = np.random.default_rng(seed)
     vectors = {f"l{i:02d}": rng.normal(size=5) for i in range(count)}
@@ -35,12 +35,6 @@ def test_greedy_subsets_equal_the_plain_form(spark, count, size, seed):
     assert all(len(s) <= size for s in wanted)
 
 
-def test_greedy_refuses_too_many_labels(spark):
-    frame = spark.range(5).select(F.col("id").cast("string").alias("label"), F.array(F.lit(1.0)).alias("vector"))
-    with pytest.raises(ValueError):
-        labelspace.greedy_subsets(frame, 2, max_labels=4)
-
-
 def test_greedy_per_taxonomy(spark):
     frame = spark.range(6).select(
         (F.col("id") % 2).alias("lang"), F.col("id").cast("string").alias("label"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector")

@@ -1,4 +1,5 @@
 import hashlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -258,7 +259,9 @@ def test_both_runs_and_resuming(spark):
     assert judged.where("is_valid").count() == first.validated.count()
     assert first.validated.join(judged, ["row_id"], "left_anti").isEmpty()
     assert first.fits.where("iteration > 0 AND retrained").count() >= 2
-    from dataclasses import replace
+    tables, (_, weights) = active.load_final(spark, loop_dir)
+    assert tables["training"].count() == 80 + first.validated.count() and weights.count() == 6
+    assert tables["verdicts"].count() == state.read_appended(spark, loop_dir, "verdicts", judge.CACHE_SCHEMA).count()
 
     more = active.run_active(spark, run_dir, pool, loop_dir, encoder, make_judge(), replace(options, max_iterations=9, retrain_threshold=1000))
     seen = more.history.orderBy("iteration").collect()
@@ -268,6 +271,31 @@ def test_both_runs_and_resuming(spark):
     assert summary["total_iterations"] == len(seen)
 
 
+def test_one_and_two_iterations_equal_three(spark):
+    options = Options(subset_size=2, max_iter=30, batch_size=15, max_iterations=3, retrain_threshold=5, noise_factor=1.0, use_smote=False)
+    encoder = features.word_hash_encoder(16)
+    run_dir = fresh_path(spark, "run")
+    initial.run_initial(spark, corpus(spark, 40), run_dir, encoder, None, options)
+    pool = corpus(spark, 60, start=1000).drop("label")
+    whole = active.run_active(spark, run_dir, pool, fresh_path(spark, "loop"), encoder, make_judge(), options)
+    loop_dir = fresh_path(spark, "loop")
+    active.run_active(spark, run_dir, pool, loop_dir, encoder, make_judge(), replace(options, max_iterations=1))
+    parts = active.run_active(spark, run_dir, pool, loop_dir, encoder, make_judge(), options)
+
+    def rows(frame, *dropped):
+        return sorted(map(str, frame.drop("iteration_time", *dropped).collect()))
+
+    assert rows(whole.history) == rows(parts.history) and whole.history.agg(F.max("retrained_classifiers")).first()[0] > 0
+    assert rows(whole.verdicts) == rows(parts.verdicts)
+    assert rows(whole.fits) == rows(parts.fits)
+    found = []
+    for folder in (whole.run_dir, loop_dir):
+        path = state.load_state(spark, folder)[1]["models"].first()["path"]
+        vectors = state.load_state(spark, run_dir, 0)[1]["labelled"].select("row_id", "vector")
+        found.append(rows(training.score(vectors, *state.load_models(spark, path)).select("row_id", "subset_id", "predicted_label")))
+    assert found[0] == found[1]
+
+
 def test_experiment_table(spark):
     options = Options(subset_size=4, max_iter=20, batch_size=30, samples_per_iteration=10, max_iterations=1, use_smote=False)
     found = experiment.run_experiments(

@@ -28,7 +28,8 @@ def expected(rows, quota):
 
 @pytest.mark.parametrize("digits", [1, 3])
 @pytest.mark.parametrize("k", [0, 1, 17, 200, 10_000])
-def test_lowest_per_group(rows, k, digits):
+def test_lowest_per_group(rows, k, digits, monkeypatch):
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 5 if digits == 1 else 10_000)
     found = sampling.take_lowest(rows, ["label"], ["row_id"], k, digits=digits)
     assert {r["row_id"] for r in found.collect()} == expected(rows, lambda n: k)
 
@@ -52,7 +53,7 @@ def test_fraction_split_covers_all_rows(rows):
 
 
 def test_train_and_pool_are_disjoint_and_complete(rows):
-    found = sampling.train_pool_split(rows, 30).collect()
+    found = sampling.train_pool_split(rows, 30, 50).collect()
     kept = rows.where("label <> 'one'").count()
     assert len(found) == kept and len({r["row_id"] for r in found}) == kept
 
@@ -65,7 +66,7 @@ def test_number_rows_is_dense(spark):
 
 
 def test_splits_for_several_sizes(rows):
-    found = sampling.experiment_splits(rows, (5, 150, 100_000))
+    found = sampling.experiment_splits(rows, 50, (5, 150, 100_000))
     counts = {(r["per_class"], r["role"]): r["n"] for r in found.groupBy("per_class", "role").agg(F.count("*").alias("n")).collect()}
     big = [n for n in (r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect())]
     assert counts[(5, "train")] == 5 * sum(n >= 5 for n in big)
