@@ -11,7 +11,7 @@ from suite.fixtures import (
 )
 from suite.registry import query
 from suite.relational import verdict_cache, verdict_rows
-from suite.texts import DESCRIBE, filled
+from suite.texts import DESCRIBE, chat_sql, filled
 from tagmill import constants as K
 from tagmill.functions import prompts
 from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress
@@ -230,8 +230,8 @@ def smote_vectors(spark, sf):
 
 
 def digest_judge():
-    """A judge that answers by the digest of the whole prompt. It proves that the
-    right prompt arrives, not that verdicts are good."""
+    """A judge that answers by the digest of the whole request. It proves that the
+    right request arrives, not that verdicts are good."""
 
     def answer(prompt):
         first = hashlib.md5(prompt.encode()).hexdigest()[0]
@@ -258,7 +258,7 @@ sims AS (SELECT a.key, a.label, s.row_id, s.text, round(coalesce(
 near AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY similarity DESC, row_id) AS rank FROM sims QUALIFY rank <= 6),
 sections AS (SELECT key, label, count(*) AS n, 'Representative Examples:' || chr(10) ||
   string_agg(rank || '. "' || text || '"' || chr(10), '' ORDER BY rank) || chr(10) AS section FROM near GROUP BY ALL),
-prompts AS (SELECT key, label, coalesce(n, 0) AS n, substr(md5({JUDGED}), 1, 1) AS d FROM asked LEFT JOIN sections USING (key, label)),
+prompts AS (SELECT key, label, coalesce(n, 0) AS n, substr(md5({chat_sql('messages', JUDGED)}::VARCHAR), 1, 1) AS d FROM asked LEFT JOIN sections USING (key, label)),
 answers AS (SELECT key, label, n, CASE WHEN d < '8' THEN 'True' WHEN d < 'c' THEN 'False.' WHEN d < 'e' THEN 'true or false' END AS reply FROM prompts)"""
 
 

@@ -22,7 +22,7 @@ from tagmill.storage import fresh_path, lookup_join, settle
 def scan_csv_labeled(spark, sf):
     path = fresh_path(spark, "csv")
     files.write_csv(seed(spark, sf).select("text", "label"), path)
-    return files.read_csv(spark, path)
+    return files.read_csv(spark, path, columns=["text", "label"], multi_line=True)
 
 
 @query(f"""WITH {BASE} SELECT 'labelled' AS kind, text, label FROM seed
@@ -96,7 +96,7 @@ def sink_json(spark, sf):
 def export_training(spark, sf):
     path = fresh_path(spark, "export")
     files.export_training(seed(spark, sf), validated(spark, sf), path)
-    return files.read_csv(spark, path)
+    return files.read_csv(spark, path, columns=["text", "label"], multi_line=True)
 
 
 def _saved_state(spark, sf):

@@ -174,9 +174,9 @@ def description_fallback(spark, sf):
     return judge.with_description(rows, known.withColumn("description", F.concat(F.lit("About "), F.col("label"))))
 
 
-def chat_sql(style):
+def chat_sql(style, user="text"):
     pairs = K.FEW_SHOT_PAIRS
-    system, user = quoted(K.VALIDATOR_SYSTEM), "text"
+    system = quoted(K.VALIDATOR_SYSTEM)
 
     def message(role, content):
         return f"{{'role': '{role}', 'content': {content}}}"

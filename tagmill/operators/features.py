@@ -1,5 +1,7 @@
 """TF-IDF and encoder vectors."""
 
+import hashlib
+
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -49,8 +51,9 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()
     totals = term_counts(rows, stop_words, by).groupBy(*by, "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
     order = [F.desc("tf"), F.col("term")]
     if by:
-        ranked = totals.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-        chosen = ranked.where(F.col("idx") < max_features)
+        # The filter stands on the bare rank, so that each task keeps its best terms only before the shuffle.
+        ranked = totals.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        chosen = ranked.where(F.col("_rank") <= max_features).withColumn("idx", F.col("_rank") - 1).drop("_rank")
     else:
         top = totals.orderBy(*order).limit(max_features)
         chosen = top.withColumn("idx", F.row_number().over(Window.orderBy(*order)) - 1)
@@ -93,25 +96,43 @@ def hashed_vectors(rows: DataFrame, dims: int = 64) -> DataFrame:
     return scaled.withColumn("embedding", vector_to_array("_unit").cast("array<float>")).drop("_terms", "_tf", "_unit")
 
 
+class WordPlaces(dict):
+    """Place of a word by its md5: below ``dims`` it counts up, above it counts down.
+
+    Words are remembered for the life of a worker; the memory is emptied before it grows large.
+    """
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        digest = hashlib.md5(word.encode()).hexdigest()
+        place = int(digest[:8], 16) % self.dims + (0 if digest[8] < "8" else self.dims)
+        self[word] = place
+        return place
+
+
+PLACES: dict[int, WordPlaces] = {}
+
+
 def word_hash_encoder(dims: int = 64):
     """Python encoder: signed word counts hashed by md5 and scaled to length one."""
 
     def encode(texts):
-        import hashlib
         import re
 
         import numpy as np
 
         word = re.compile(r"\w\w+")
-        known = {}
+        places = PLACES.setdefault(dims, WordPlaces(dims))
         out = np.zeros((len(texts), dims))
         for at, text in enumerate(texts):
-            for token in word.findall(text.lower()):
-                if token not in known:
-                    digest = hashlib.md5(token.encode()).hexdigest()
-                    known[token] = int(digest[:8], 16) % dims, 1.0 if digest[8] < "8" else -1.0
-                place, sign = known[token]
-                out[at, place] += sign
+            found = np.fromiter(map(places.__getitem__, word.findall(text.lower())), np.int64)
+            counts = np.bincount(found, minlength=2 * dims)
+            out[at] = counts[:dims] - counts[dims:]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1.0)
 

@@ -7,8 +7,8 @@ Python workers, one Arrow batch at a time; a reply may be None for a failed requ
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.constants import NOISE_LABEL
-from tagmill.functions.prompts import binary_prompt, default_description, describe_prompt
+from tagmill.constants import NOISE_LABEL, VALIDATOR_SYSTEM
+from tagmill.functions.prompts import binary_prompt, chat_request, default_description, describe_prompt
 from tagmill.functions.replies import verdict
 from tagmill.functions.text import strip_space, text_key
 from tagmill.operators.neighbours import knn_join
@@ -98,9 +98,12 @@ def validation_prompts(rows: DataFrame, labelled: DataFrame, descriptions: DataF
     return ready.withColumn("prompt", prompt).withColumn("n_examples", F.size("examples"))
 
 
-def judge_batch(rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows: int = 1_000_000):
+def judge_batch(rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows: int = 1_000_000, style: str | None = "messages"):
     """Verdicts for ``row_id, text, predicted_label, vector``.
 
+    The judge gets whole requests, as JSON in the given ``style``: system prompt, worked
+    pairs and the prompt; without a style it gets the bare prompt.
+
     Each (text, label) pair without a cached verdict is asked once, however many rows
     share it. Returns all rows with verdicts and the new cache rows; failed requests
     are not cached.
@@ -112,6 +115,8 @@ def judge_batch(rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows
     misses = settle(one.select("query_id", *PAIR, "_row.text", "_row.vector"), "misses")
     prompts = validation_prompts(misses, labelled, descriptions, k)
     tasks = max(1, -(-misses.count() // ROWS_PER_TASK))
+    if style is not None:
+        prompts = prompts.withColumn("prompt", chat_request(VALIDATOR_SYSTEM, F.col("prompt"), style))
     asked = prompts.select(*PAIR, "n_examples", "description", "prompt")
     if tasks > 1:
         asked = asked.repartition(tasks, *PAIR)

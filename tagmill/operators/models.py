@@ -115,12 +115,12 @@ def _passes(model_table: DataFrame, pass_bytes: int):
             yield stacked(rows)
 
 
-def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS_BYTES, keep=("row_id",), own: bool = False):
+def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS_BYTES, keep=("row_id",), own: bool = False, arrays: bool = True):
     """Every row's ``vector`` against every subset model in one pass over the rows.
 
     Gives the ``keep`` columns and ``subset_id, predicted_label, uncertainty,
-    max_probability, labels, probabilities``. With ``own`` a row meets only the model
-    of its own ``subset_id``.
+    max_probability`` and, with ``arrays``, ``labels, probabilities``. With ``own`` a
+    row meets only the model of its own ``subset_id``.
     """
     spark = rows.sparkSession
     keep = list(keep)
@@ -131,10 +131,10 @@ def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS
             T.StructField("predicted_label", T.StringType()),
             T.StructField("uncertainty", T.DoubleType()),
             T.StructField("max_probability", T.DoubleType()),
-            T.StructField("labels", T.ArrayType(T.StringType())),
-            T.StructField("probabilities", T.ArrayType(T.DoubleType())),
         ]
     )
+    if arrays:
+        schema = schema.add("labels", T.ArrayType(T.StringType())).add("probabilities", T.ArrayType(T.DoubleType()))
 
     def scorer(shared):
         def score(batches):
@@ -162,8 +162,9 @@ def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS
                     out["predicted_label"] = np.array(labels, dtype=object)[part.argmax(axis=1)]
                     out["uncertainty"] = bits
                     out["max_probability"] = part.max(axis=1)
-                    out["labels"] = [labels] * len(out)
-                    out["probabilities"] = list(part)
+                    if arrays:
+                        out["labels"] = [labels] * len(out)
+                        out["probabilities"] = list(part)
                     yield out
 
         return score

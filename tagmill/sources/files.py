@@ -5,16 +5,28 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.text import strip_space
 
-CSV = {"header": True, "escape": '"', "multiLine": True}
-
-
-def read_csv(spark: SparkSession, path: str, text: str = "text", label: str | None = "label", encoding: str = "UTF-8"):
+CSV = {"header": True, "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    text: str = "text",
+    label: str | None = "label",
+    encoding: str = "UTF-8",
+    columns=None,
+    multi_line: bool = False,
+):
     """Labelled (or, with ``label=None``, unlabelled) rows as strings.
 
-    Quoted line breaks keep a file in one piece, so large tables should come as many
-    files, which ``write_csv`` produces. Columns are matched by header name.
+    ``columns`` names the file's columns in order, which saves reading headers first;
+    without it they are matched by header name. ``multi_line`` allows line breaks inside quotes,
+    but then a file is one task, so large tables should come as many files.
     """
-    frame = spark.read.options(**CSV, encoding=encoding).csv(path)
+    reader = spark.read.options(**CSV, encoding=encoding, multiLine=multi_line)
+    if columns is not None:
+        reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
+    frame = reader.csv(path)
     picked = [F.col(text).cast("string").alias("text")]
     if label is not None:
         picked.append(F.col(label).cast("string").alias("label"))

@@ -74,11 +74,9 @@ def read_appended(spark: SparkSession, run_dir: str, name: str, schema, upto: in
 
 
 def save_mapping(mapping: DataFrame, path: str) -> None:
-    """Parquet table of the mapping and a one-line JSON form of it."""
+    """Parquet table of the mapping and a JSON form of it, one line per subset."""
     mapping.write.parquet(f"{path}/table")
-    nested = nested_mapping(mapping)
-    whole = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("subset_id", "labels")))))
-    nested.agg(whole.alias("value")).coalesce(1).write.text(f"{path}/json")
+    nested_mapping(mapping).select("subset_id", "labels").write.json(f"{path}/json")
 
 
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
@@ -87,9 +85,7 @@ def load_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def load_mapping_json(spark: SparkSession, path: str) -> DataFrame:
     """Mapping from its JSON form."""
-    parsed = F.from_json("value", "map<string,array<string>>")
-    nested = spark.read.text(f"{path}/json").select(F.explode(parsed).alias("subset_id", "labels"))
-    return flat_mapping(nested)
+    return flat_mapping(spark.read.schema("subset_id string, labels array<string>").json(f"{path}/json"))
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:

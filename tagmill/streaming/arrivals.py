@@ -25,7 +25,7 @@ def stream_score(arrivals: DataFrame, vectorise, weights: DataFrame, out: str, k
     """
 
     def handle(batch, batch_id):
-        predictions = settle(drop_noise(score_linear(vectorise(batch), weights)), "scored")
+        predictions = settle(drop_noise(score_linear(vectorise(batch), weights, arrays=False)), "scored")
         state.append_rows(predictions, out, "predictions", batch_id)
         queue = most_uncertain(predictions.select("row_id", "subset_id", "predicted_label", "uncertainty"), k)
         state.append_rows(queue, out, "queue", batch_id)

@@ -325,7 +325,8 @@ def test_files_round_trip(spark):
     for format in ("csv", "json", "parquet"):
         path = fresh_path(spark, format)
         files.write_rows(rows.select("text", "label"), path, format)
-        reader = {"csv": files.read_csv, "json": files.read_json}.get(format, lambda s, p: s.read.parquet(p))
+        multi = lambda s, p: files.read_csv(s, p, columns=["text", "label"], multi_line=True)
+        reader = {"csv": multi, "json": files.read_json}.get(format, lambda s, p: s.read.parquet(p))
         assert sorted(map(tuple, reader(spark, path).collect())) == sorted((r["text"], r["label"]) for r in rows.collect())
     with pytest.raises(ValueError):
         files.write_rows(rows, "x", "excel")
