@@ -16,10 +16,50 @@ def op1_best_fit_packing(spark, sf):
     return packing.pack(docs, packing.Packing(public_tokenizers.path("byte_bpe_50k.json")), keep_ids=False)
 
 
-@query()
+def license_sql():
+    """Every alignment of every template, scored; a phrase inside it has to stand word for word."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {listed(p.split())})) AS s, '{label}' AS label FROM texts"
+        for p, label in licenses.BASE_PHRASES
+    )
+    bodies = [t.text.split() for t in licenses.TEMPLATES]
+    places = ", ".join(f"({t}, {q}, '{word}')" for t, body in enumerate(bodies) for q, word in enumerate(body))
+    spans = ", ".join(
+        f"({t}, '{template.label}', {q}, {q + len(phrase)})"
+        for t, (template, body) in enumerate(zip(licenses.TEMPLATES, bodies, strict=True))
+        for phrase in map(str.split, template.phrases) for q in range(len(body)) if body[q:q + len(phrase)] == phrase
+    )
+    alone = ", ".join(f"('{w}')" for phrase, _ in licenses.BASE_PHRASES for w in phrase.split())
+    return rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{licenses.LICENSE_WORD}') AS w FROM documents),
+base AS ({base}),
+places AS (SELECT * FROM (VALUES {places}) AS v(t, q, word)),
+spans AS (SELECT * FROM (VALUES {spans}) AS v(t, label, a, b)),
+vocabulary AS (SELECT word FROM places UNION SELECT * FROM (VALUES {alone})),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM texts),
+known AS (SELECT words.* FROM words SEMI JOIN vocabulary USING (word)),
+idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1e-6 AS idf
+        FROM vocabulary LEFT JOIN known USING (word) GROUP BY word),
+weights AS (SELECT t, q, word, idf / sum(idf) OVER (PARTITION BY t) AS share FROM places JOIN idf USING (word)),
+stands AS (SELECT doc_id, t, i - q AS start, q, share FROM known JOIN weights USING (word)),
+scores AS (SELECT doc_id, t, start, sum(share) AS score FROM stands GROUP BY ALL HAVING sum(share) >= 0.6),
+aligned AS (
+    SELECT doc_id, label, score FROM scores JOIN spans USING (t)
+    WHERE (SELECT count(*) FROM stands x WHERE x.doc_id = scores.doc_id AND x.t = scores.t AND x.start = scores.start AND x.q >= a AND x.q < b) = b - a),
+best AS (SELECT doc_id, least(max(score), 1.0) AS score FROM aligned GROUP BY doc_id),
+sums AS (SELECT doc_id, count(*) AS n, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+          FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM aligned) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(sums.labels, '') AS base_labels,
+       coalesce(named.labels, '') AS labels, round(greatest(coalesce(best.score, 0), CASE WHEN n > 0 THEN 0.5 ELSE 0 END), 9) AS score
+FROM texts LEFT JOIN sums USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
+@query(license_sql())
 def op2_license_scan(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return licenses.license_scan(docs).drop("text")
+    return licenses.license_scan(docs).drop("text").withColumn("score", F.round("score", 9))
 
 
 @query(rf"""
