@@ -19,8 +19,9 @@ in each round, and connect what links. The traversal then takes every pair that
 result is exact for components: a pair is left out only if its bound is too small or it is connected already.
 
 A region that is empty in both sets says nothing. A set with an empty region is therefore cut again with another
-hash, until no region is empty. With 64 regions or more this is left out: linked sets agree on each region
-with a chance over a third, so they miss all others with a chance under 1e-12.
+hash, until no region is empty. Where more than 64 regions are needed, the first 64 are used, and empty ones are left
+out: as tokens fall into regions by hash, linked sets agree on each with a chance of 1/e at least (more above the
+threshold), so a pair at the threshold misses all 64 with a chance of 2e-13.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows share a class and are each returned; a row with a null id gets a null component and lends no link; an
@@ -41,6 +42,8 @@ from tagmill.llm.graph import components
 from tagmill.storage import lookup_join, settle
 
 BITMAP = 8
+# Words that a worker remembers; all its tasks share them.
+MOST_KEPT = 100_000
 SURE_REGIONS = 64
 ROUNDS = 6
 
@@ -56,7 +59,7 @@ class WordHashes(dict):
     """Hashes of words, remembered; emptied before it grows large."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > MOST_KEPT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -120,14 +123,17 @@ def node_keys(tokens: np.ndarray, ranges: Ranges) -> np.ndarray:
         regions = ranges.regions(index)
         if regions == 1:  # only equal sets can link
             continue
-        edges = (np.arange(1, regions, dtype=np.float64) * (2.0**64 / regions)).astype(np.uint64)
+        used = min(regions, SURE_REGIONS)
+        edges = (np.arange(1, min(used + 1, regions), dtype=np.float64) * (2.0**64 / regions)).astype(np.uint64)
         cut = 0
         while True:
             ordered = tokens if not cut else np.sort(mix(tokens + np.uint64(cut)))
-            ends = np.concatenate(([0], np.searchsorted(ordered, edges), [len(ordered)]))
+            ends = np.concatenate(([0], np.searchsorted(ordered, edges)))
+            ordered = ordered if used == regions else ordered[: ends[-1]]
+            ends = np.append(ends, len(ordered)) if used == regions else ends
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ordered ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
             filled = ends[1:] > ends[:-1]
-            place = np.arange(regions, dtype=np.uint64) + np.uint64((index << 40) + (cut << 32))
+            place = np.arange(used, dtype=np.uint64) + np.uint64((index << 40) + (cut << 32))
             found.append(mix(mix(sums[ends[1:]] - sums[ends[:-1]]) + mix(place + np.uint64(1)))[filled])
             if filled.all() or regions >= SURE_REGIONS or cut == 255:
                 break
@@ -144,9 +150,12 @@ def described(docs: DataFrame, likeness: Likeness, text: str) -> DataFrame:
 
     @F.arrow_udf("struct<n:bigint,c:bigint>")
     def describe(raw: pa.Array) -> pa.Array:
-        sets = [shingle_set(value.as_py(), likeness.words) for value in raw]
-        sizes = pa.array([len(s) for s in sets], pa.int64())
-        return pa.StructArray.from_arrays([sizes, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["n", "c"])
+        sizes, classes = [], []
+        for value in raw:
+            tokens = shingle_set(value.as_py(), likeness.words)
+            sizes.append(len(tokens))
+            classes.append(class_of(tokens) if len(tokens) else None)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["n", "c"])
 
     rows = packed(docs).withColumn("d", describe(F.col("doc").getField(text).cast("binary")))
     return rows.select("doc", F.col("d.n").alias("n"), F.col("d.c").alias("c"))
@@ -311,13 +320,15 @@ def linked_classes(docs: DataFrame, classes: DataFrame, likeness: Likeness, text
 def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text", ident="doc_id", keep_text=True) -> DataFrame:
     """All input columns with ``n_shingles`` and ``component_id``, the least id reachable by links.
 
-    Without ``keep_text`` the text is left out, and so never written to the shared folder.
+    Without ``keep_text`` the text is left out, and the other columns are written once.
     """
     rows = described(docs, likeness, text).withColumn("id", F.col("doc").getField(ident))
-    if not keep_text:
-        rows = rows.withColumn("doc", F.col("doc").dropFields(text))
-    rows = settle(rows, "sets")
-    classes = rows.where("c IS NOT NULL AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    if keep_text:
+        # The texts are hashed again at the end, which is cheaper than a copy of them all.
+        sets = settle(rows.select("id", "n", "c"), "sets")
+    else:
+        rows = sets = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
+    classes = sets.where("c IS NOT NULL AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = settle(classes, "classes")
     found = linked_classes(docs.where(F.col(ident).isNotNull()), classes, likeness, text, ident)
     if found is None:

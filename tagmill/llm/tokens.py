@@ -20,7 +20,7 @@ ODD = re.compile(r"\s\s")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 MARKED = re.compile(r"([ \n]?)([^\W\d_]+)([.,;:!?%&*$#|]*)")
 LONGEST_KEPT = 64
-MOST_KEPT = 1_000_000
+MOST_KEPT = 500_000
 
 
 def kind_of(path: str) -> str:
