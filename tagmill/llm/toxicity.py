@@ -31,8 +31,7 @@ RESULTS = ["toxic", "score", "severity", "grade"]
 
 class Settings(NamedTuple):
     # Bound of the sample, per label.
-    rows_per_label: int = 4_000
-    feature_bits: int = 22
+    rows_per_label: int = 3_000
     beginnings: tuple = (4, 5, 6)
     # A kept feature's log odds lie this many standard errors from zero.
     far: float = 3.0
@@ -44,9 +43,9 @@ class Settings(NamedTuple):
 
 
 def features_of(word: str, settings: Settings) -> list[int]:
-    """Hashed features of one word: itself and its beginnings."""
+    """Features of one word, itself and its beginnings, as signed 32-bit hashes."""
     names = [word] + [f"{word[:n]}-" for n in settings.beginnings if len(word) > n]
-    return [zlib.crc32(name.encode()) >> (32 - settings.feature_bits) for name in names]
+    return [(zlib.crc32(name.encode()) ^ 0x80000000) - 0x80000000 for name in names]
 
 
 def present(text: str | None, settings: Settings) -> np.ndarray:
@@ -69,21 +68,22 @@ def fitted(rows: list, settings: Settings, totals: dict | None = None) -> Model:
     toxic = np.array([bool(row[0]) for row in rows])
     if not toxic.any() or toxic.all():
         return nothing
-    size = 1 << settings.feature_bits
-    held = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
-    for label, found in rows:
-        held[bool(label)][found] += 1
+    # Only features of toxic rows can speak for toxicity; they are counted among clean rows too.
+    counted = lambda label: np.unique(np.concatenate([found for y, found in rows if bool(y) == label]), return_counts=True)
+    (names, in_toxic), (others, in_clean) = counted(True), counted(False)
+    places = np.minimum(np.searchsorted(others, names), max(len(others) - 1, 0))
+    same = others[places] == names if len(others) else np.zeros(len(names), bool)
+    held = [np.where(same, in_clean[places] if len(others) else 0, 0), in_toxic]
     clean_n, toxic_n = int((~toxic).sum()), int(toxic.sum())
     odds = lambda held, n: (held + 0.5) / (n - held + 0.5)
     log_odds = np.log(odds(held[1], toxic_n)) - np.log(odds(held[0], clean_n))
     error = np.sqrt(1 / (held[1] + 0.5) + 1 / (toxic_n - held[1] + 0.5) + 1 / (held[0] + 0.5) + 1 / (clean_n - held[0] + 0.5))
     z = log_odds / error
-    # Evidence for toxicity only: what is frequent in clean rows says what they are about.
     kept = np.flatnonzero((z >= settings.far) & (log_odds >= 3))
     kept = kept[np.argsort(-z[kept], kind="stable")][: settings.most_features]
     if not len(kept):
         return nothing
-    column = {int(f): i for i, f in enumerate(kept)}
+    column = {int(names[f]): i for i, f in enumerate(kept)}
     x = [np.array([column[f] for f in found.tolist() if f in column], np.int64) for _, found in rows]
     amount = np.array([len(found) for found in x])
     cuts = np.quantile(amount[toxic], np.arange(1, settings.grades) / settings.grades)
@@ -112,7 +112,7 @@ def fitted(rows: list, settings: Settings, totals: dict | None = None) -> Model:
         first = first - settings.rate * steps[1] / np.sqrt(memory[1])
         gaps = gaps - settings.rate * steps[2] / np.sqrt(memory[2])
     thresholds = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-    return Model({int(f): float(w) for f, w in zip(kept, weights, strict=True) if w > 0}, thresholds)
+    return Model({int(f): float(w) for f, w in zip(names[kept], weights, strict=True) if w > 0}, thresholds)
 
 
 def judged(text: str | None, model: Model, known: dict, settings: Settings) -> tuple:
@@ -138,8 +138,11 @@ def learn(docs: DataFrame, labels: DataFrame, label="toxic", text="text", ident=
     totals = {row["y"]: row["count"] for row in rows.where("y IN (0, 1)").groupBy("y").count().collect()}
     sample = bounded(rows.where("y IN (0, 1)"), "y", "i", settings.rows_per_label)
     texts = docs.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
-    found = lookup_join(texts, sample, "i").select("y", "i", features("t").alias("f")).orderBy("i").collect()
-    return fitted([(r.y, np.array(r.f, np.int64)) for r in found], settings, totals)
+    found = lookup_join(texts, sample, "i").select("y", "i", features("t").alias("f")).orderBy("i").toArrow().combine_chunks()
+    lists = found["f"].combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    parts = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return fitted(list(zip(found["y"].to_pylist(), parts, strict=True)), settings, totals)
 
 
 def toxicity(docs: DataFrame, model: Model, text="text", settings: Settings = Settings()) -> DataFrame:
