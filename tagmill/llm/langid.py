@@ -166,8 +166,11 @@ def learn(labelled: DataFrame, language="lang", text="text", ident="doc_id", set
 
     rows = labelled.select(F.col(language).alias("l"), F.col(text).alias("t"), F.col(ident).alias("i"))
     sample = bounded(rows.where("l IS NOT NULL AND i IS NOT NULL AND t IS NOT NULL AND t RLIKE '\\\\p{L}'"), "l", "i", settings.rows_per_language)
-    found = sample.select("l", "i", features("t").alias("f")).orderBy("l", "i").collect()
-    return fitted([(r.l, np.array(r.f.buckets), np.array(r.f.shares)) for r in found], settings)
+    found = sample.select("l", "i", features("t").alias("f")).select("l", "i", "f.*").orderBy("l", "i").toArrow().combine_chunks()
+    buckets, shares = (found[name].combine_chunks() for name in ("buckets", "shares"))
+    ends = buckets.offsets.to_numpy()
+    parts = [(buckets.values.to_numpy()[a:b], shares.values.to_numpy()[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return fitted([(name, *part) for name, part in zip(found["l"].to_pylist(), parts, strict=True)], settings)
 
 
 def identify(docs: DataFrame, model: Model, text="text", settings: Settings = Settings()) -> DataFrame:
