@@ -4,8 +4,12 @@ Equal vectors are folded into one class first. Classes are dealt to shards by ha
 by inserting vector after vector: greedy descent through the sparse upper layers, a beam search in the lower ones,
 and links to near and mutually different neighbours. Every class then asks every shard: blocks of
 queries meet each graph, a beam that holds nothing but links is widened until it does, and the links are
-verified by cosine in double precision. An audit compares some queries of each block with all vectors of the shard and
-doubles the beam of the whole block until the share of links found reaches ``recall``. Links are joined into components.
+verified by cosine in double precision. Links are joined into components.
+
+Audits compare searches with all vectors of the shard and double the beam until the share of links found reaches ``recall``,
+over all links and as the mean of the queries. The first one, when a graph is built, asks for perturbed vectors of the shard, so
+it is never empty and sets the beam at which all blocks begin. The second asks some queries of each block, without the
+link of a query to itself. Where the beam reaches the size of the graph, the block is compared with all vectors of the shard.
 
 Shards and blocks have bounded sizes, so a task holds one graph and one block however many vectors there are.
 
@@ -38,6 +42,7 @@ class Settings(NamedTuple):
     beam: int = 16
     recall: float = 0.99
     audited: int = 64
+    probes: int = 256
     shards: int = 8
     rows_per_shard: int = 20_000
 
@@ -53,7 +58,7 @@ class Graph:
         self.s, self.most = settings, 2 * settings.neighbours
         self.vectors = np.zeros((size, width), np.float32)
         self.layers: list[dict] = []  # per layer: node -> its neighbours
-        self.entry, self.count = -1, 0
+        self.entry, self.count, self.beam = -1, 0, settings.beam
 
     def search(self, query, starts, beam: int, layer: dict) -> list[tuple[float, int]]:
         """Up to ``beam`` nearest nodes as (similarity, node), by best-first search."""
@@ -136,7 +141,7 @@ class Graph:
             beam *= 2
 
     def dump(self) -> bytes:
-        parts = {"vectors": self.vectors, "entry": np.array([self.entry, len(self.layers)])}
+        parts = {"vectors": self.vectors, "entry": np.array([self.entry, len(self.layers), self.beam])}
         for at, layer in enumerate(self.layers):
             nodes = np.array(list(layer), np.int64)
             parts[f"nodes{at}"] = nodes
@@ -151,7 +156,7 @@ class Graph:
         parts = np.load(io.BytesIO(raw))
         graph = cls(settings, *parts["vectors"].shape)
         graph.vectors, graph.count = parts["vectors"], len(parts["vectors"])
-        graph.entry, layers = (int(x) for x in parts["entry"])
+        graph.entry, layers, graph.beam = (int(x) for x in parts["entry"])
         for at in range(layers):
             cuts = np.cumsum(parts[f"counts{at}"])[:-1]
             links = np.split(parts[f"links{at}"].astype(np.int64), cuts)
@@ -173,21 +178,64 @@ def built(units: np.ndarray, classes: np.ndarray, settings: Settings) -> Graph:
     levels = np.minimum((-np.log(1 - draw.random(len(units))) * scale).astype(int), 12)
     for row, level in zip(units.astype(np.float32), levels.tolist(), strict=True):
         graph.insert(row, level)
+    graph.beam = passing(graph, units, *probes(units, settings), settings)
     return graph
 
 
-def asked(graph: Graph, units: np.ndarray, queries: np.ndarray, settings: Settings) -> list[np.ndarray]:
-    """Per query, the nodes linked to it. Beams widen until the audit passes."""
-    single = queries.astype(np.float32)
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(settings.audited, len(queries))).astype(int))
-    wanted = [np.flatnonzero(units @ queries[i] >= settings.least) for i in audited]
-    total, beam = sum(map(len, wanted)), settings.beam
-    ask = lambda i: verified(units, queries[i], graph.near(single[i], settings.least - SLACK, beam), settings.least)
-    while total and beam < graph.count:
-        if sum(len(np.intersect1d(ask(i), nodes)) for i, nodes in zip(audited, wanted, strict=True)) >= settings.recall * total:
+def linked(units: np.ndarray, queries: np.ndarray, least: float) -> list[np.ndarray]:
+    """Per query, the nodes linked to it, by comparison with all vectors."""
+    found = []
+    for start in range(0, len(queries), 256):
+        some = queries[start : start + 256]
+        near = some @ units.T >= least - SLACK
+        found += [verified(units, query, np.flatnonzero(row), least) for query, row in zip(some, near, strict=True)]
+    return found
+
+
+def probes(units: np.ndarray, settings: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Vectors of the shard, turned so that their cosines to themselves fill the range of links, and their links."""
+    nodes = np.unique(np.linspace(0, len(units) - 1, min(settings.probes, len(units))).astype(int))
+    draw = np.random.default_rng(len(units))
+    aside = draw.normal(size=(len(nodes), units.shape[1]))
+    aside -= (aside * units[nodes]).sum(axis=1, keepdims=True) * units[nodes]
+    length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+    aside = np.where(length > 1e-9, aside / np.maximum(length, 1e-9), 0)
+    cosine = draw.uniform(min(settings.least + SLACK, 1), 1, (len(nodes), 1))
+    turned = cosine * units[nodes] + np.sqrt(1 - cosine * cosine) * aside
+    turned /= np.sqrt((turned * turned).sum(axis=1, keepdims=True))
+    return turned, linked(units, turned, settings.least)
+
+
+def searched(graph: Graph, units: np.ndarray, queries: np.ndarray, beam: int, least: float) -> list[np.ndarray]:
+    return [verified(units, query, graph.near(query.astype(np.float32), least - SLACK, beam), least) for query in queries]
+
+
+def passing(graph: Graph, units: np.ndarray, queries: np.ndarray, wanted: list[np.ndarray], settings: Settings) -> int:
+    """The least beam, from the graph's own by doubling, that finds the links wanted; the graph's size if none does."""
+    some = [i for i, nodes in enumerate(wanted) if len(nodes)]
+    sizes, beam = np.array([len(wanted[i]) for i in some]), graph.beam
+    while some and beam < graph.count:
+        found = searched(graph, units, queries[some], beam, settings.least)
+        hits = np.array([len(np.intersect1d(nodes, wanted[i])) for nodes, i in zip(found, some, strict=True)])
+        if hits.sum() >= settings.recall * sizes.sum() and (hits / sizes).mean() >= settings.recall:
             break
         beam *= 2
-    return [ask(i) for i in range(len(queries))]
+    return min(beam, graph.count)
+
+
+def asked(graph: Graph, units: np.ndarray, queries: np.ndarray, settings: Settings, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per query, the nodes linked to it. Beams widen until the audit passes, at last to all vectors.
+
+    ``own`` has the node that is the query itself, -1 if the shard has none.
+    """
+    audited = np.unique(np.linspace(0, len(queries) - 1, min(settings.audited, len(queries))).astype(int))
+    wanted = linked(units, queries[audited], settings.least)
+    if own is not None:
+        wanted = [nodes[nodes != node] for nodes, node in zip(wanted, own[audited], strict=True)]
+    beam = passing(graph, units, queries[audited], wanted, settings)
+    if beam >= graph.count:
+        return linked(units, queries, settings.least)
+    return searched(graph, units, queries, beam, settings.least)
 
 
 def verified(units: np.ndarray, query: np.ndarray, nodes: list[int], least: float) -> np.ndarray:
@@ -239,8 +287,9 @@ def links_of(found: DataFrame, blocks: DataFrame, shards: int, settings: Setting
                 graph = Graph.load(row["graph"], settings)
                 units = np.frombuffer(row["units"], np.float64).reshape(-1, row["width"])
                 queries = unit_rows(b"".join(row["raws"]), row["width"])
-                nodes = asked(graph, units, queries, settings)
                 classes, asking = np.array(row["classes"], np.int64), np.array(row["asking"], np.int64)
+                place = np.minimum(np.searchsorted(classes, asking), len(classes) - 1)
+                nodes = asked(graph, units, queries, settings, np.where(classes[place] == asking, place, -1))
                 a = np.repeat(asking, [len(n) for n in nodes])
                 b = classes[np.concatenate(nodes)] if len(nodes) else a
                 for start in range(0, len(a), 100_000):

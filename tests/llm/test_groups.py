@@ -144,3 +144,53 @@ def test_graph_recall_against_brute_force():
     found = vectordup.asked(graph, units, units, options)
     wanted = [np.flatnonzero(units @ q >= options.least) for q in units]
     assert sum(len(np.intersect1d(a, b)) for a, b in zip(found, wanted, strict=True)) >= 0.9 * sum(map(len, wanted))
+
+
+def share_found(found, wanted):
+    return sum(len(np.intersect1d(a, b)) for a, b in zip(found, wanted, strict=True)) / sum(map(len, wanted))
+
+
+def rare_pairs_and_a_clump(shard, width=24):
+    """A shard, and queries of which only some between the audited ones have a link, beside some in the clump."""
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=width)
+    rows = draw.normal(size=(shard, width))
+    rows[: shard // 5] = centre + draw.normal(size=(shard // 5, width)) * 0.1
+    draw.shuffle(rows)
+    units = vectordup.unit_rows(rows.tobytes(), width)
+    queries = draw.normal(size=(1000, width))
+    audited = set(np.linspace(0, 999, vectordup.Settings().audited).astype(int).tolist())
+    other = [i for i in range(1000) if i not in audited]
+    queries[other[::9]] = units[: len(other[::9])] + draw.normal(size=(len(other[::9]), width)) * 0.04
+    return units, vectordup.unit_rows(queries.tobytes(), width)
+
+
+def test_unaudited_links_are_found_by_a_poor_graph():
+    units, queries = rare_pairs_and_a_clump(2000)
+    options = vectordup.Settings(neighbours=3, build_beam=3, beam=2)
+    wanted = [np.flatnonzero(units @ q >= options.least) for q in queries]
+    rare = [i for i, nodes in enumerate(wanted) if 0 < len(nodes) < 5]
+    found = vectordup.asked(vectordup.built(units, np.arange(len(units)), options), units, queries, options)
+    assert len(rare) > 50 and share_found(found, wanted) >= 0.97
+    assert share_found([found[i] for i in rare], [wanted[i] for i in rare]) >= 0.95
+
+
+def test_a_graph_that_cannot_pass_is_compared_exactly():
+    draw = np.random.default_rng(2)
+    units = vectordup.unit_rows(draw.normal(size=(300, 8)).tobytes(), 8)
+    options = vectordup.Settings()
+    graph = vectordup.built(units, np.arange(300), options)
+    graph.layers = [{node: np.empty(0, np.int64) for node in layer} for layer in graph.layers]
+    turned, wanted = vectordup.probes(units, options)
+    found = vectordup.asked(graph, units, turned, options)
+    assert all(len(nodes) for nodes in wanted) and all(map(np.array_equal, found, wanted))
+
+
+def test_the_link_of_a_query_to_itself_is_no_audit():
+    units = vectordup.unit_rows(np.random.default_rng(4).normal(size=(200, 16)).tobytes(), 16)
+    options, seen = vectordup.Settings(), []
+    graph = vectordup.built(units, np.arange(200), options)
+    graph.near = lambda query, least, beam: seen.append(beam) or [int((units @ query).argmax())]
+    units_linked = sum(map(len, vectordup.linked(units, units, options.least)))
+    vectordup.asked(graph, units, units, options, np.arange(200))
+    assert units_linked == 200 and len(seen) == 200  # nothing to audit: every query is asked once
