@@ -6,6 +6,10 @@ source and measure. Sketches are counts per cell, so they merge by addition: the
 sketch is the sum of its sources' sketches. A fence lies some spreads beyond the quartiles, and a
 document is rejected when a measure lies beyond the fence of its source and of its language.
 
+``SHARP``, the rules of ``quality_rules`` and the pipeline, can reject on every measure and side: repeats below the base limit,
+and word lengths on a ratio scale. The SQL of ``op7_quality_rules`` states ``Rules()``, by which the fence of repeats lies at
+the base limit or beyond, and the lower one of word lengths mostly below 0, so these two hardly act there.
+
 Defined cases: a null or empty text has no words, so the base rule rejects it; a null language or
 source is a group of its own; repeated rows are measured and kept alike; an empty table gives an
 empty result; texts of any length are measured whole; an input column named like one of the
@@ -34,6 +38,11 @@ class Rules(NamedTuple):
     spreads: int = 6
     # Smallest spread that counts, per measure, in parts of a million (word length: thousandths).
     floors: tuple = (("symbols", 10_000), ("dup_lines", 60_000), ("repeats", 50_000), ("length", 1_000))
+    # Whether the spread of word lengths is q3 / q1 - 1 (floor in thousandths) and its fences are multiples.
+    ratio: bool = False
+
+
+SHARP = Rules(floors=(("symbols", 3_000), ("dup_lines", 40_000), ("repeats", 30_000), ("length", 100)), ratio=True)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -131,6 +140,12 @@ def fences(sketch: DataFrame, by: list[str], rules: Rules, prefix: str) -> DataF
     found = quartiles(sketch, by).withColumn("floor", floor.cast("bigint"))
     high = F.col("q3") + spread * rules.spreads
     low = F.col("q1") - spread * rules.spreads
+    if rules.ratio:
+        length = F.col("measure") == "length"
+        wide = F.greatest(F.col("q3") / F.col("q1") - 1, F.col("floor") / 1_000) + 1
+        times = F.pow(wide, F.lit(rules.spreads))
+        high = F.when(length, F.col("q3") * times).otherwise(high)
+        low = F.when(length, F.col("q1") / times)
     sides = [F.max(F.when(F.col("measure") == name, high)).alias(f"{prefix}_{name}") for name, _ in rules.floors]
     return found.groupBy(*by).agg(*sides, F.max(F.when(F.col("measure") == "length", low)).alias(f"{prefix}_short"))
 
@@ -154,7 +169,7 @@ def judged(counted: DataFrame, language: str = "lang", source: str = "source", r
     return both.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~F.coalesce(beyond, F.lit(False)))
 
 
-def quality_rules(docs: DataFrame, text="text", language="lang", source="source", rules: Rules = Rules()) -> DataFrame:
+def quality_rules(docs: DataFrame, text="text", language="lang", source="source", rules: Rules = SHARP) -> DataFrame:
     """All input columns, the six counts, ``base_failed`` and ``kept``."""
     counted = settle(measured(docs, text), "measured")
     return unpacked(judged(counted, language, source, rules), [*COUNTS, "base_failed", "kept"])

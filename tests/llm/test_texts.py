@@ -41,6 +41,26 @@ def test_quality_rejects_far_documents_of_a_group_only(spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(5))
 
 
+def test_every_fence_rejects_on_its_side(spark):
+    word = lambda i: f"word{i % 997}"
+    clean = [(i, " ".join(word(i * 7 + k) for k in range(50)), "en", "a") for i in range(200)]
+    lines = [f"{word(3 * k)} {word(3 * k + 1)} {word(3 * k + 2)}" for k in range(7)]
+    far = {
+        "symbols": " ".join(word(k) + "#" * (k % 4 == 0) for k in range(100)),
+        "dup_lines": "\n".join([*lines, *lines[:5:2]]),
+        "repeats": " ".join(map(word, [*range(90), *range(10)])),
+        "long": " ".join(f"{10 ** (11 + k % 2) + k}" for k in range(50)),
+        "short": " ".join("abcdefghijklmnopqrstuvwxyz0123456789"),
+    }
+    rows = clean + [(1000 + i, text, "en", "a") for i, text in enumerate(far.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(got[i].kept for i in range(200))
+    before = {r["doc"].doc_id: r.kept for r in quality.judged(quality.measured(docs)).collect()}
+    for i, side in enumerate(far):
+        assert not got[1000 + i].base_failed and not got[1000 + i].kept and before[1000 + i], side
+
+
 def test_sketch_cells_hold_their_values(spark):
     values = spark.range(0, 5_000_000, 9_973).withColumn("cell", quality.cell(F.col("id")))
     assert values.where("cell > id OR id - cell > id / 32").count() == 0
