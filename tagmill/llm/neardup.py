@@ -317,10 +317,12 @@ def linked_classes(docs: DataFrame, classes: DataFrame, likeness: Likeness, text
     return found
 
 
-def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text", ident="doc_id", keep_text=True) -> DataFrame:
+def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text", ident="doc_id", keep_text=True, keep_class=False) -> DataFrame:
     """All input columns with ``n_shingles`` and ``component_id``, the least id reachable by links.
 
-    Without ``keep_text`` the text is left out, and the other columns are written once.
+    Without ``keep_text`` the text is left out, and the other columns are written once. With ``keep_class``, ``class_key`` is
+    the class of the row's set and ``component_key`` the key of its group of linked classes (both null for an empty set). Groups of
+    unrelated texts have different keys, also where their ids clash.
     """
     rows = described(docs, likeness, text).withColumn("id", F.col("doc").getField(ident))
     if keep_text:
@@ -332,13 +334,16 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text
     classes = settle(classes, "classes")
     found = linked_classes(docs.where(F.col(ident).isNotNull()), classes, likeness, text, ident)
     if found is None:
-        grouped = classes.withColumn("component_id", F.col("first"))
+        grouped = classes.withColumn("component", F.col("c")).withColumn("component_id", F.col("first"))
     else:
         joined = classes.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
         least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
         grouped = joined.join(least, "component")
     # Other documents are their own component.
-    moved = settle(grouped.where("copies > 1 OR component_id <> first").select("c", "component_id"), "moved")
+    needed = "copies > 1 OR component_id <> first" + (" OR component <> c" if keep_class else "")
+    moved = settle(grouped.where(needed).select("c", "component", "component_id"), "moved")
     out = lookup_join(rows, moved, "c", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return unpacked(out.withColumn("component_id", own).withColumnRenamed("n", "n_shingles"), ["n_shingles", "component_id"])
+    out = out.withColumn("component_id", own).withColumnRenamed("n", "n_shingles")
+    out = out.withColumn("component_key", F.coalesce("component", "c")).withColumnRenamed("c", "class_key")
+    return unpacked(out, ["n_shingles", "component_id", *(["class_key", "component_key"] if keep_class else [])])

@@ -82,3 +82,15 @@ def test_stages_equal_plain_python(spark):
 def test_an_empty_table_passes_through(spark, tmp_path):
     documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    texts = [(1, text(1)), (1, text(2)), (1, text(2)), (1, text(3)), (1, text(3) + " more"), (2, text(3)), (2, text(4)), (None, text(1)), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    found = [(r.doc_id or 0, r.text) for r in stage(spark, docs, None).collect()]
+    again = [(r.doc_id or 0, r.text) for r in stage(spark, docs.repartition(3, "text"), None).collect()]
+    third = [t for i, t in found if t.startswith("w3x0")]
+    assert sorted(found) == sorted(again) and len(third) == 1
+    assert sorted(found) == sorted([(1, text(1)), (1, text(2)), (1, third[0]), (2, text(4)), (0, text(1)), (3, "")])
