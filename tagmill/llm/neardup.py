@@ -16,12 +16,12 @@ pairs of its nodes from the top, dropping every pair whose largest possible over
 
 To spare comparisons inside large groups, rounds first compare the classes of each node with one hub, another hub
 in each round, and connect what links. The traversal then takes every pair that is still unconnected. The
-result is exact for components: a pair is left out only if its bound is too small or it is connected already.
+result is exact for components but for the chance named below: a pair is left out only if its bound is too small or it is connected already.
 
 A region that is empty in both sets says nothing. A set with an empty region is therefore cut again with another
-hash, until no region is empty. Where more than 64 regions are needed, the first 64 are used, and empty ones are left
-out: as tokens fall into regions by hash, linked sets agree on each with a chance of 1/e at least (more above the
-threshold), so a pair at the threshold misses all 64 with a chance of 2e-13.
+hash, until no region is empty, 256 times at most. With 64 regions or more this is left out, and empty ones have no node:
+as tokens fall into regions by hash, linked sets agree on each with a chance of 1/e at least (more above the threshold),
+so a pair at the threshold misses all of 64 with a chance of 2e-13, and of more with a smaller one.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows share a class and are each returned; a row with a null id gets a null component and lends no link; an
@@ -123,17 +123,14 @@ def node_keys(tokens: np.ndarray, ranges: Ranges) -> np.ndarray:
         regions = ranges.regions(index)
         if regions == 1:  # only equal sets can link
             continue
-        used = min(regions, SURE_REGIONS)
-        edges = (np.arange(1, min(used + 1, regions), dtype=np.float64) * (2.0**64 / regions)).astype(np.uint64)
+        edges = (np.arange(1, regions, dtype=np.float64) * (2.0**64 / regions)).astype(np.uint64)
         cut = 0
         while True:
             ordered = tokens if not cut else np.sort(mix(tokens + np.uint64(cut)))
-            ends = np.concatenate(([0], np.searchsorted(ordered, edges)))
-            ordered = ordered if used == regions else ordered[: ends[-1]]
-            ends = np.append(ends, len(ordered)) if used == regions else ends
+            ends = np.concatenate(([0], np.searchsorted(ordered, edges), [len(ordered)]))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ordered ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
             filled = ends[1:] > ends[:-1]
-            place = np.arange(used, dtype=np.uint64) + np.uint64((index << 40) + (cut << 32))
+            place = np.arange(regions, dtype=np.uint64) + np.uint64((index << 40) + (cut << 32))
             found.append(mix(mix(sums[ends[1:]] - sums[ends[:-1]]) + mix(place + np.uint64(1)))[filled])
             if filled.all() or regions >= SURE_REGIONS or cut == 255:
                 break

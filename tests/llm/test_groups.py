@@ -194,3 +194,11 @@ def test_the_link_of_a_query_to_itself_is_no_audit():
     units_linked = sum(map(len, vectordup.linked(units, units, options.least)))
     vectordup.asked(graph, units, units, options, np.arange(200))
     assert units_linked == 200 and len(seen) == 200  # nothing to audit: every query is asked once
+
+
+def test_large_sets_use_all_their_regions():
+    tokens = np.sort(np.random.default_rng(3).integers(0, 2**63, 5000, np.int64).astype(np.uint64) * np.uint64(2))
+    ranges = neardup.Ranges(80)
+    own = ranges.of(len(tokens))
+    regions = ranges.regions(own) + ranges.regions(own + 1)
+    assert regions > 1000 and len(neardup.node_keys(tokens, ranges)) > 0.9 * regions
