@@ -12,10 +12,24 @@ from tagmill.operators.sampling import draw_key, take_lowest
 from tagmill.storage import lookup_join, pair_with, repeat_rows, settle, split_join
 
 
+def numbered(labels: DataFrame) -> DataFrame:
+    """Number distinct labels from 0 in sorted order as ``_rank``, without bringing them into one task.
+
+    Ranges of labels are written with their partition; each is numbered on its own and the counts of the ranges before are added.
+    """
+    ranges = labels.repartitionByRange("label").withColumn("_part", F.spark_partition_id())
+    ranges = settle(ranges, "labels")
+    counts = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("label")) - 1
+    ranked = ranges.withColumn("_rank", within).join(before, "_part")
+    return ranked.select("label", (F.col("_rank") + F.col("_before")).alias("_rank"))
+
+
 def fixed_mapping(labels: DataFrame, subset_size: int) -> DataFrame:
     """Labels in sorted order, cut into subsets of equal size."""
-    rank = F.row_number().over(Window.orderBy("label")) - 1
-    ranked = labels.select("label").distinct().withColumn("_rank", rank)
+    ranked = numbered(labels.select("label").distinct())
     return ranked.select(
         F.concat(F.lit("subset_"), F.floor(F.col("_rank") / subset_size).cast("string")).alias("subset_id"),
         F.pmod(F.col("_rank"), F.lit(subset_size)).alias("pos"),

@@ -98,3 +98,13 @@ def test_first_match_wins_seed_before_validated(spark):
     for hot in (1, 10**6):
         found = {r["row_id"]: r["label"] for r in maps.label_by_text(queries, labelled, hot).collect()}
         assert found == {1: "first", 2: "only", 3: None}
+
+
+def test_fixed_mapping_numbers_labels_in_ranges(spark):
+    labels = spark.createDataFrame([(f"c{i * 7 % 300}",) for i in range(600)] + [(None,)], "label string").repartition(5)
+    found = maps.fixed_mapping(labels, 8)
+    wanted = [None, *sorted({f"c{i}" for i in range(300)})]
+    assert {(r.subset_id, r.pos, r.label) for r in found.collect()} == {(f"subset_{i // 8}", i % 8, x) for i, x in enumerate(wanted)}
+    # The one window over all rows is that over the counts of the ranges.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(label" not in plan
