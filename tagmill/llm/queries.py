@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tagmill.llm import langid, licenses, mixing, neardup, packing, quality, secrets, tokenfiles, toxicity, vectordup
+from tagmill.llm import (
+    divergence, interactions, langid, licenses, mixing, neardup, packing, quality, secrets, tokencounts, tokenfiles, toxicity, vectordup,
+)
 from tagmill.llm.registry import query, table
 from tagmill.storage import settle
 
@@ -250,3 +252,83 @@ def op10_token_files(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     manifest = tokenfiles.write_tokens(docs, tokenfiles.Format(public_tokenizers.path("word_bpe_49k.json")))
     return tokenfiles.read_documents(manifest).withColumnRenamed("id", "doc_id")
+
+
+@query(r"""
+WITH texts AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+kept AS (
+    SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM texts) GROUP BY lang, term HAVING count(*) >= 3),
+counts AS (
+    SELECT lang, source, term, count(*)::HUGEINT AS n
+    FROM (SELECT lang, source, unnest(w) AS term FROM texts) JOIN kept USING (lang, term) GROUP BY ALL),
+vocabulary AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+own AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) AS p
+    FROM groups JOIN kept USING (lang) JOIN vocabulary USING (lang)
+    LEFT JOIN totals USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + any_value(v)) AS q
+    FROM counts JOIN vocabulary USING (lang) GROUP BY lang, term),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+listed AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM listed)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op11_source_divergence(spark, sf):
+    return divergence.source_divergence(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+@query()
+def op12_token_counts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tokencounts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+def removed_sql(label="true"):
+    """Documents of a label that are still there before a step and fail its filter."""
+    return f"coalesce(sum(n) FILTER ({label} AND earlier & mask = 0 AND own & mask <> 0), 0)::BIGINT"
+
+
+@query(rf"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '{SPACE}+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts),
+given AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(w) < 100 THEN 1 ELSE 0 END | CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+           | CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+           | CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END | CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask,
+           count(*) AS n
+    FROM split LEFT JOIN given USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a JOIN letters b ON a.x <> b.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+    JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (
+    SELECT filter_order, step, bits[step] AS own, list_sum(bits[1:step])::INTEGER - bits[step] AS earlier
+    FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+counted AS (
+    SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((earlier | own) & mask = 0), 0)::BIGINT AS kept, {removed_sql()} AS removed,
+           coalesce(sum(n) FILTER (own & mask <> 0), 0)::BIGINT AS failing, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+           {removed_sql("good")} AS good_lost, {removed_sql("toxic")} AS toxic_lost
+    FROM cells, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, failing - removed AS redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted""")
+def op13_filter_interactions(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return interactions.filter_interactions(docs, table(spark, sf, "labels"))
