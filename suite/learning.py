@@ -11,10 +11,10 @@ from suite.fixtures import (
 )
 from suite.registry import query
 from suite.relational import verdict_cache, verdict_rows
-from suite.texts import DESCRIBE, chat_sql, filled
+from suite.texts import DESCRIBE, STOP_SQL, chat_sql, filled
 from tagmill import constants as K
 from tagmill.functions import prompts
-from tagmill.operators import balance, cleaning, features, judge, mapping as maps, models, progress
+from tagmill.operators import balance, cleaning, features, judge, linear, mapping as maps, models, progress, sparse
 from tagmill.options import Options
 from tagmill.plans import active, initial, training
 from tagmill.sources import state
@@ -40,18 +40,79 @@ JOIN mapping USING (label) GROUP BY subset_id) SELECT subset_id, label, rows, tr
 def train_logreg(spark, sf):
     """Whether the penalised likelihood is flat at the fitted weights, from data and weights."""
     rows = training_table(spark, sf)
-    fitted, _ = models.fit_subsets(rows, "logistic_regression")
-    weights = models.coefficient_table(spark, fitted)
+    weights, _ = linear.fit_linear(rows)
     scored = settle(models.score_linear(rows, weights, keep=("row_id", "label", "vector"), own=True), "scored")
     each = scored.select("subset_id", F.col("label").alias("true_label"), "vector", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("probabilities").alias("p"))))
     error = F.col("p") - (F.col("true_label") == F.col("label")).cast("double")
     parts_ = each.select("subset_id", "label", error.alias("error"), F.posexplode(F.concat("vector", F.array(F.lit(1.0)))).alias("pos", "x"))
-    slopes = parts_.groupBy("subset_id", "label", "pos").agg(F.avg(F.col("error") * F.col("x")).alias("slope"), F.count(F.lit(1)).alias("rows"))
-    # The intercept stands last and has no penalty.
+    return at_optimum(parts_, weights)
+
+
+def at_optimum(parts_, weights):
+    """Whether the slopes vanish, from ``subset_id, label, error, pos, x`` (the intercept stands last, without a penalty)."""
+    sums = parts_.groupBy("subset_id", "label", "pos").agg(F.sum(F.col("error") * F.col("x")).alias("slope"), F.count(F.lit(1)).alias("n"))
+    rows = sums.groupBy("subset_id", "label").agg(F.max("n").alias("rows"))
     values = weights.select("subset_id", "label", F.posexplode(F.concat("coefficients", F.array(F.lit(0.0)))).alias("pos", "w"))
-    total = F.abs(F.col("slope") + F.col("w") / F.col("rows"))
-    joined = slopes.join(values, ["subset_id", "label", "pos"])
-    return joined.groupBy("subset_id", "label").agg(F.first("rows").alias("rows"), (F.max(total) < 0.01).alias("at_optimum"))
+    joined = values.join(sums, ["subset_id", "label", "pos"], "left").join(rows, ["subset_id", "label"])
+    total = F.abs(F.coalesce("slope", F.lit(0.0)) + F.col("w")) / F.col("rows")
+    return joined.groupBy("subset_id", "label").agg(F.first("rows").alias("rows"), (F.max(total) < 0.001).alias("at_optimum"))
+
+
+# The seed documents by subset, every subset with a vocabulary of its own.
+SUBSET_TERMS = rf"""{SEED}, {MAPPING}, own AS (SELECT subset_id, label, row_id, text FROM seed JOIN mapping USING (label)),
+lists AS (SELECT subset_id, row_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'),
+          lambda w: NOT list_contains([{STOP_SQL}], w)) AS ws FROM own),
+terms AS (SELECT subset_id, row_id, unnest(ws) AS term FROM lists
+          UNION ALL SELECT subset_id, row_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM lists),
+tf AS (SELECT subset_id, row_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+vocab AS (SELECT subset_id, term, count(*) AS df FROM tf GROUP BY subset_id, term
+          QUALIFY row_number() OVER (PARTITION BY subset_id ORDER BY sum(tf) DESC, term) <= 2000),
+idf AS (SELECT subset_id, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM vocab JOIN (SELECT subset_id, count(*) AS n FROM own GROUP BY 1) USING (subset_id)),
+w AS (SELECT subset_id, row_id, tf.term, tf.tf * idf AS w FROM tf JOIN idf USING (subset_id, term))"""
+
+
+def subset_terms(spark, sf):
+    """Seed documents with their subset, the vocabularies, and the features in them."""
+    known = mapping(spark, sf)
+    rows = settle(maps.attach_subset(seed(spark, sf), known), "rows")
+    vocab = sparse.subset_vocabulary(rows, 2_000)
+    return known, vocab, settle(sparse.sparse_features(rows, vocab, ("row_id", "label")), "features")
+
+
+@query(f"""WITH {SUBSET_TERMS} SELECT subset_id, row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 7) AS weight FROM w""")
+def tfidf_by_subset(spark, sf):
+    _, vocab, rows = subset_terms(spark, sf)
+    cells = rows.select("subset_id", "row_id", F.inline(F.arrays_zip(F.col("indices").alias("idx"), F.col("values").alias("weight"))))
+    return cells.join(vocab, ["subset_id", "idx"]).select("subset_id", "row_id", "term", F.round("weight", 7).alias("weight"))
+
+
+@query(f"""WITH {SEED}, {MAPPING}, own AS (SELECT subset_id, label FROM seed JOIN mapping USING (label)),
+sizes AS (SELECT subset_id, count(*) AS rows FROM own GROUP BY subset_id) SELECT DISTINCT subset_id, label, rows, true AS at_optimum FROM own JOIN sizes USING (subset_id)""")
+def train_tfidf(spark, sf):
+    """The joint fit on TF-IDF weights: whether the penalised likelihood is flat at the fitted weights."""
+    known, vocab, given = subset_terms(spark, sf)
+    weights, _ = linear.fit_linear(lookup_join(given, maps.classes_of(known), ["subset_id", "label"]))
+    rows = maps.attach_subset(seed(spark, sf), known)
+    scored = sparse.score_sparse(rows, vocab, weights, ("row_id", "label"), own=True)
+    each = scored.select("row_id", "subset_id", F.col("label").alias("true_label"), F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("probabilities").alias("p"))))
+    each = each.withColumn("error", F.col("p") - (F.col("true_label") == F.col("label")).cast("double"))
+    last = weights.groupBy("subset_id").agg(F.max(F.size("coefficients")).alias("pos"))
+    cells = given.select("row_id", F.inline(F.arrays_zip(F.col("indices").alias("pos"), F.col("values").alias("x"))))
+    ones = lookup_join(given.select("row_id", "subset_id"), last, "subset_id").select("row_id", "pos", F.lit(1.0).alias("x"))
+    return at_optimum(each.join(cells.unionByName(ones), "row_id"), weights)
+
+
+@query(f"""WITH {SEED}, {MAPPING}, own AS (SELECT subset_id, label, count(*) AS n FROM seed JOIN mapping USING (label) GROUP BY ALL),
+classes AS (SELECT * FROM own UNION ALL SELECT subset_id, '__NOISE__', floor(avg(n) * 2)::BIGINT FROM own GROUP BY subset_id),
+split AS (SELECT *, CASE WHEN n < 2 THEN n ELSE (n * 80 + 50) // 100 END AS train FROM classes)
+SELECT subset_id, count(*) AS classes, sum(n)::BIGINT AS rows, sum(train)::BIGINT AS train_rows,
+max(n) FILTER (label = '__NOISE__') AS noise_samples, true AS learned FROM split GROUP BY subset_id""")
+def train_subsets_tfidf(spark, sf):
+    """Training on TF-IDF weights with noise rows and synthetic sparse rows: rows, and whether it beats chance on them."""
+    found = training.train_subsets(seed(spark, sf), mapping(spark, sf), Options(features="tfidf", max_features=2_000))
+    joined = lookup_join(found.log, found.stats, "subset_id", "left")
+    learned = F.col("error").isNull() & (F.col("train_accuracy") > 1 / F.col("classes"))
+    return joined.select("subset_id", F.col("classes").cast("long").alias("classes"), "rows", "train_rows", "noise_samples", learned.alias("learned"))
 
 
 @query(f"""WITH {VECTOR_MAPPING} SELECT subset_id, count(*) AS rows, true AS accurate FROM (SELECT 'c' || label AS label FROM embeddings)
@@ -98,7 +159,7 @@ def training_report(spark, sf):
 count(*) AS training_samples, 'logistic_regression' AS classifier_type
 FROM (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) GROUP BY subset_id""")
 def training_summary(spark, sf):
-    _, log = models.fit_subsets(training_table(spark, sf), "logistic_regression")
+    _, log = linear.fit_linear(training_table(spark, sf))
     return models.training_summary(log, vector_mapping(spark, sf), "logistic_regression")
 
 

@@ -215,8 +215,8 @@ def chat_requests(spark, sf):
 
 # features
 
-STOP_WORDS = tuple("the and of to in is it that was for on are as with his they at be this have from".split())
-STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+STOP_WORDS = K.ENGLISH_STOP_WORDS
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 TERMS = rf"""docs AS (SELECT doc_id AS row_id, text FROM documents),
 lists AS (SELECT row_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'),
           lambda w: NOT list_contains([{STOP_SQL}], w)) AS ws FROM docs),

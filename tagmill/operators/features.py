@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagmill.constants import ENGLISH_STOP_WORDS
 from tagmill.functions.text import strip_space, text_key, tokens, with_pairs, without
 from tagmill.storage import as_lookup, lookup_join, only_needed, settle, split_join
 
 
-def with_terms(rows: DataFrame, stop_words=()) -> DataFrame:
+def with_terms(rows: DataFrame, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Add ``_terms``: words and word pairs of the text. Words get a column of their
     own first, so that they are split once."""
     split = rows.withColumn("_words", without(tokens(F.col("text")), stop_words))
     return split.withColumn("_terms", with_pairs(F.col("_words"))).drop("_words")
 
 
-def term_counts(rows: DataFrame, stop_words=(), keep=()) -> DataFrame:
+def term_counts(rows: DataFrame, stop_words=ENGLISH_STOP_WORDS, keep=()) -> DataFrame:
     """``keep`` columns, ``term`` and ``n`` for every distinct term of every row.
 
     A row's terms are sorted and their runs measured inside the row, so counting
@@ -42,7 +43,7 @@ def term_counts(rows: DataFrame, stop_words=(), keep=()) -> DataFrame:
     return marked.select(*keep, F.inline(runs))
 
 
-def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()) -> DataFrame:
+def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=ENGLISH_STOP_WORDS, by=()) -> DataFrame:
     """Most frequent terms with their number, document frequency and IDF weight.
 
     One pass over the texts; totals are pre-aggregated per task.
@@ -62,7 +63,7 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=(), by=()
     return settle(weighted.withColumn("idf", F.log((F.col("_docs") + 1) / (F.col("df") + 1)) + 1).drop("_docs"), "vocabulary")
 
 
-def tfidf(rows: DataFrame, vocab: DataFrame, stop_words=()) -> DataFrame:
+def tfidf(rows: DataFrame, vocab: DataFrame, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Long form: unit-length TF-IDF weights per row and term.
 
     Terms outside the vocabulary go before the one shuffle, which carries one short
@@ -75,7 +76,7 @@ def tfidf(rows: DataFrame, vocab: DataFrame, stop_words=()) -> DataFrame:
     return raw.select("row_id", "term", "idx", (F.col("_w") / size).alias("weight"))
 
 
-def tfidf_vectors(rows: DataFrame, vocab: DataFrame, stop_words=(), out: str = "features") -> DataFrame:
+def tfidf_vectors(rows: DataFrame, vocab: DataFrame, stop_words=ENGLISH_STOP_WORDS, out: str = "features") -> DataFrame:
     """The same weights as one MLlib vector per row, without a shuffle.
 
     The vocabulary reaches the driver; it has at most ``max_features`` terms.
@@ -90,7 +91,7 @@ def tfidf_vectors(rows: DataFrame, vocab: DataFrame, stop_words=(), out: str = "
 
 def hashed_vectors(rows: DataFrame, dims: int = 64) -> DataFrame:
     """Built-in encoder inside the JVM: hashed words and word pairs, unit length."""
-    split = with_terms(rows)
+    split = with_terms(rows, ())
     counted = HashingTF(numFeatures=dims, inputCol="_terms", outputCol="_tf").transform(split)
     scaled = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
     return scaled.withColumn("embedding", vector_to_array("_unit").cast("array<float>")).drop("_terms", "_tf", "_unit")

@@ -13,6 +13,34 @@ from pyspark.sql import types as T
 from tagmill.storage import as_lookup, lookup_join, settle
 
 BLOCK_ROWS = 4096
+SPARSE_BLOCK_ROWS = 512
+
+
+def content_of(rows: DataFrame) -> list[str]:
+    """The columns of a vector: ``vector``, or ``indices, values`` of a sparse one."""
+    return ["indices", "values"] if "indices" in rows.columns else ["vector"]
+
+
+def _products(queries, corpus):
+    """Cosines of two blocks. Sparse rows are laid out over the places that both blocks use."""
+    import numpy as np
+
+    def unit(rows):
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(length > 0, length, 1.0)
+
+    if "vector" in queries:
+        dense = [np.asarray(side["vector"].to_list(), dtype=np.float64) for side in (queries, corpus)]
+        return unit(dense[0]) @ unit(dense[1]).T
+    places = [np.concatenate([np.empty(0, np.int64), *side["indices"]]).astype(np.int64) for side in (queries, corpus)]
+    used = np.unique(np.concatenate(places))
+    laid = []
+    for side, place in zip((queries, corpus), places):
+        rows = np.zeros((len(side), len(used)))
+        sizes = side["indices"].map(len).to_numpy()
+        rows[np.repeat(np.arange(len(side)), sizes), np.searchsorted(used, place)] = np.concatenate([np.empty(0), *side["values"]])
+        laid.append(unit(rows))
+    return laid[0] @ laid[1].T
 
 
 def _block_best(k: int, on, skip_same: bool, digits: int):
@@ -26,14 +54,9 @@ def _block_best(k: int, on, skip_same: bool, digits: int):
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
 
-        def units(vectors):
-            rows = np.asarray(vectors.to_list(), dtype=np.float64)
-            length = np.linalg.norm(rows, axis=1, keepdims=True)
-            return rows / np.where(length > 0, length, 1.0)
-
         items = corpus["item_id"].to_numpy()
         ids = queries["query_id"].to_numpy()
-        scores = np.round(units(queries["vector"]) @ units(corpus["vector"]).T, digits)
+        scores = np.round(_products(queries, corpus), digits)
         if skip_same:
             scores = np.where(ids[:, None] == items[None, :], -np.inf, scores)
         width = scores.shape[1]
@@ -63,12 +86,7 @@ def _block_similar(on, least, digits: int):
         if queries.empty or corpus.empty:
             return pd.DataFrame(columns=columns)
 
-        def units(vectors):
-            rows = np.asarray(vectors.to_list(), dtype=np.float64)
-            length = np.linalg.norm(rows, axis=1, keepdims=True)
-            return rows / np.where(length > 0, length, 1.0)
-
-        scores = np.round(units(queries["vector"]) @ units(corpus["vector"]).T, digits)
+        scores = np.round(_products(queries, corpus), digits)
         row, col = np.nonzero(scores >= (-np.inf if least is None else least))
         out = pd.DataFrame(
             {"query_id": queries["query_id"].to_numpy()[row], "item_id": corpus["item_id"].to_numpy()[col], "similarity": scores[row, col]}
@@ -98,8 +116,9 @@ def _blocked(queries, corpus, on, block_rows, chosen) -> DataFrame:
         queries, corpus = queries.withColumn("_all", F.lit(0)), corpus.withColumn("_all", F.lit(0))
     key = on or ["_all"]
     # fresh aliases: both sides may come from one table
-    queries = queries.select(*[F.col(c).alias(c) for c in (*key, "query_id", "vector")])
-    corpus = corpus.select(*[F.col(c).alias(c) for c in (*key, "item_id", "vector")])
+    content = content_of(queries)
+    queries = queries.select(*[F.col(c).alias(c) for c in (*key, "query_id", *content)])
+    corpus = corpus.select(*[F.col(c).alias(c) for c in (*key, "item_id", *content)])
 
     def blocks(side, name):
         size = F.ceil(F.count(F.lit(1)) / block_rows)
@@ -110,13 +129,13 @@ def _blocked(queries, corpus, on, block_rows, chosen) -> DataFrame:
         lookup_join(queries, sizes, key)
         .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_nq")))
         .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nc") - 1)))
-        .select(*key, "_q", "_c", "query_id", "vector")
+        .select(*key, "_q", "_c", "query_id", *content)
     )
     right = (
         lookup_join(corpus, sizes, key)
         .withColumn("_c", F.pmod(F.xxhash64("item_id"), F.col("_nc")))
         .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq") - 1)))
-        .select(*key, "_q", "_c", "item_id", "vector")
+        .select(*key, "_q", "_c", "item_id", *content)
     )
     fields = [*queries.select(*key, "query_id").schema, *corpus.select("item_id").schema]
     schema = T.StructType([*fields, T.StructField("similarity", T.DoubleType())])
@@ -134,7 +153,8 @@ def best_per_query(pairs: DataFrame, k: int) -> DataFrame:
 def knn_join(queries, corpus, k: int, on=(), min_similarity=None, skip_same=False, block_rows=BLOCK_ROWS, digits=9):
     """Exact ``k`` nearest corpus rows by cosine, within equal ``on`` values.
 
-    ``queries`` has ``query_id, vector`` and ``corpus`` ``item_id, vector``.
+    ``queries`` has ``query_id, vector`` and ``corpus`` ``item_id, vector``; or both have ``indices, values``, for which
+    ``block_rows`` should be some hundreds, as a block is laid out in full.
     """
     pairs = knn_candidates(queries, corpus, k, on, skip_same, block_rows, digits)
     best = best_per_query(pairs, k)

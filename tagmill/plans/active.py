@@ -69,7 +69,7 @@ def run_iteration(spark, parts: Components, pool, size: int, run_dir, at: int, p
     values = {"batch_size": size, "predictions_made": 0, "informative_samples": 0, "judged": 0, "validated_samples": 0}
     values["validation_rate"] = 0.0
     if size:
-        predictions = settle(drop_noise(score(rows.select("row_id", "vector"), parts.models, parts.weights)), "predictions")
+        predictions = settle(drop_noise(score(rows, parts.models, parts.weights, parts.vocabulary, options)), "predictions")
         chosen = settle(choose(predictions, phase, options.samples_per_iteration), "chosen")
         asked = chosen.join(rows, "row_id")
         cache = state.read_appended(spark, run_dir, "verdicts", judging.CACHE_SCHEMA, at - 1).drop("iteration")
@@ -119,17 +119,21 @@ def refitted(spark, parts: Components, labelled: DataFrame, chosen, options: Opt
     trained = train_subsets(labelled, parts.mapping, options, only=chosen)
     weights = parts.weights
     if weights is not None:
-        kept = weights.where(~F.col("subset_id").isin(list(trained.models)))
+        kept = weights.where(~F.col("subset_id").isin(list(trained.fitted)))
         weights = settle(kept.unionByName(trained.weights), "models")
+    vocabulary = trained.vocabulary
+    if vocabulary is not None and parts.vocabulary is not None:
+        new = F.col("subset_id").isin(list(trained.fitted))
+        vocabulary = settle(parts.vocabulary.where(~new).unionByName(vocabulary.where(new)), "vocabulary")
     models_ = {**parts.models, **trained.models}
-    state.save_models(spark, models_, path, trained.kind, weights)
-    return replace(parts, trained=trained, models=models_, weights=weights, models_path=path)
+    state.save_models(spark, models_, path, trained.kind, weights, vocabulary)
+    return replace(parts, trained=trained, models=models_, weights=weights, models_path=path, vocabulary=vocabulary)
 
 
 def fit_rows(rows: DataFrame, parts: Components) -> DataFrame:
     """Rows per subset and whether the latest training fitted it."""
     now = rows.groupBy("subset_id").agg(F.count(F.lit(1)).alias("rows"))
-    return now.select("subset_id", F.col("subset_id").isin(list(parts.trained.models)).alias("retrained"), "rows")
+    return now.select("subset_id", F.col("subset_id").isin(list(parts.trained.fitted)).alias("retrained"), "rows")
 
 
 def retrain(spark, parts: Components, run_dir: str, at: int, options: Options) -> tuple[Components, int]:
@@ -141,7 +145,7 @@ def retrain(spark, parts: Components, run_dir: str, at: int, options: Options) -
         return parts, 0
     parts = refitted(spark, parts, labelled, chosen, options, f"{run_dir}/models/iteration={at}-{uuid.uuid4().hex}")
     state.append_rows(fit_rows(rows, parts), run_dir, "fits", at)
-    return parts, len(parts.trained.models)
+    return parts, len(parts.trained.fitted)
 
 
 def saved(spark, parts: Components, run_dir: str, at: int) -> None:
@@ -188,7 +192,7 @@ def run_active(
         path = state.load_state(spark, run_dir, at)[1]["models"].first()["path"]
         if path != parts.models_path:
             models_, weights = state.load_models(spark, path)
-            parts = replace(parts, models=models_, weights=weights, models_path=path)
+            parts = replace(parts, models=models_, weights=weights, models_path=path, vocabulary=state.load_vocabulary(spark, path))
     history = state.read_appended(spark, run_dir, "history", HISTORY, at)
     stopped = _stop_reason(history, at, options)
     while stopped is None:

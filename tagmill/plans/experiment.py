@@ -28,10 +28,9 @@ def run_experiments(
         part = splits.where(F.col("per_class") == size).drop("per_class")
         train, rest = part.where("role = 'train'"), part.where("role = 'pool'")
         parts = run_initial(spark, train, f"{run_dir}/size={size}/initial", encoder, judge, options)
-        models, weights = parts.models, parts.weights
         loop = run_active(spark, parts, rest, f"{run_dir}/size={size}/active", encoder, judge, options)
         vectors = _vectors(rest, f"{run_dir}/size={size}/scores", encoder, parts.run_dir, loop.run_dir)
-        predictions = score(vectors, models, weights)
+        predictions = score(vectors, parts.models, parts.weights, parts.vocabulary, options)
         truth = rest.select(F.col("row_id").cast("string").alias("row_id"), F.col("label").alias("true_label"))
         routed = evaluate.route_by_truth(truth, parts.mapping, predictions)
         counts = loop.history.agg(
@@ -46,4 +45,4 @@ def _vectors(rows: DataFrame, run_dir: str, encoder, *known: str) -> DataFrame:
     from tagmill.plans.initial import embed
 
     named = rows.select(F.col("row_id").cast("string").alias("row_id"), "text")
-    return settle(embed(named, run_dir, encoder, "encoder", "0", known), "vectors").select("row_id", "vector")
+    return settle(embed(named, run_dir, encoder, "encoder", "0", known), "vectors").select("row_id", "text", "vector")

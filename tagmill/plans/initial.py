@@ -27,6 +27,7 @@ class Components:
     models: dict
     weights: DataFrame | None
     models_path: str = ""
+    vocabulary: DataFrame | None = None
 
 
 def embed(rows: DataFrame, run_dir: str, encoder, model: str, part: str, known=()) -> DataFrame:
@@ -63,7 +64,7 @@ def run_initial(
         judging.describe_labels(seed, seed, judge, options.description_examples, options.seed), "descriptions"
     )
     models_path = f"{run_dir}/models/iter=0"
-    state.save_models(spark, trained.models, models_path, trained.kind, trained.weights)
+    state.save_models(spark, trained.models, models_path, trained.kind, trained.weights, trained.vocabulary)
     state.save_mapping(mapping, f"{run_dir}/mapping")
     state.save_state(
         run_dir,
@@ -78,7 +79,7 @@ def run_initial(
         label_distribution=trained.distribution,
         seed_stats=stats.seed_stats(seed),
     )
-    return Components(run_dir, labelled, mapping, descriptions, trained, trained.models, trained.weights, models_path)
+    return Components(run_dir, labelled, mapping, descriptions, trained, trained.models, trained.weights, models_path, trained.vocabulary)
 
 
 def load_components(spark: SparkSession, run_dir: str) -> Components:
@@ -86,4 +87,5 @@ def load_components(spark: SparkSession, run_dir: str) -> Components:
     _, tables = state.load_state(spark, run_dir, 0)
     models_path = f"{run_dir}/models/iter=0"
     models, weights = state.load_models(spark, models_path)
-    return Components(run_dir, tables["labelled"], tables["mapping"], tables["descriptions"], None, models, weights, models_path)
+    vocabulary = state.load_vocabulary(spark, models_path)
+    return Components(run_dir, tables["labelled"], tables["mapping"], tables["descriptions"], None, models, weights, models_path, vocabulary)

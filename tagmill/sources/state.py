@@ -112,11 +112,15 @@ def load_cache(spark: SparkSession, path: str, keys, schema=None) -> DataFrame:
     return table.dropDuplicates(list(keys))
 
 
-def save_models(spark: SparkSession, models, path: str, kind: str, weights: DataFrame | None = None) -> DataFrame:
-    """Save the models of all subsets and an index of them.
+def save_models(
+    spark: SparkSession, models, path: str, kind: str, weights: DataFrame | None = None, vocabulary: DataFrame | None = None
+) -> DataFrame:
+    """Save the models of all subsets, the vocabularies that they may have and an index of them.
 
     Linear models are their coefficient table; others use MLlib's own format.
     """
+    if vocabulary is not None:
+        vocabulary.write.parquet(f"{path}/vocabulary")
     if kind == "logistic_regression":
         (coefficient_table(spark, models) if weights is None else weights).write.parquet(f"{path}/coefficients")
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("class_idx", "label"))), lambda x: x["label"])
@@ -132,6 +136,11 @@ def save_models(spark: SparkSession, models, path: str, kind: str, weights: Data
     return spark.read.parquet(f"{path}/index")
 
 
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame | None:
+    """Vocabularies saved with the models, if they have any."""
+    return spark.read.parquet(f"{path}/vocabulary") if exists(spark, f"{path}/vocabulary") else None
+
+
 def load_models(spark: SparkSession, path: str):
     """Saved models: a dictionary by subset, or the coefficient table of linear ones."""
     rows = spark.read.parquet(f"{path}/index").collect()

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tagmill.constants import NOISE_LABEL
-from tagmill.operators import balance, evaluate, features, judge, models, progress
+from tagmill.operators import balance, evaluate, features, judge, linear, models, progress, sparse
 from tagmill.operators.mapping import attach_subset
 from tagmill.options import Options
 from tagmill.plans import active, experiment, initial, training
@@ -137,6 +137,92 @@ def test_training_on_tfidf_features(spark):
     assert models.score_models(wide, fitted, keep=("row_id", "label")).where("label <> predicted_label").isEmpty()
 
 
+def themed(spark, sizes, seed=5):
+    """Texts of classes with words of their own; some have no known word or no text at all."""
+    draw = np.random.default_rng(seed)
+    rows = []
+    for c, n in enumerate(sizes):
+        for _ in range(n):
+            words = [f"word{c}x{draw.integers(6)}" for _ in range(4)] + [f"shared{draw.integers(30)}" for _ in range(5)] + ["the", "and"]
+            rows.append((len(rows), " ".join(draw.permutation(words)), f"c{c}"))
+    rows += [(len(rows), "", "c0"), (len(rows) + 1, None, "c1"), (len(rows) + 2, "the of", "c2")]
+    frame = spark.createDataFrame(rows, "row_id long, text string, label string")
+    mapping = spark.createDataFrame([(f"s{c // 2}", c % 2, f"c{c}") for c in range(len(sizes))], "subset_id string, pos long, label string")
+    return frame, mapping
+
+
+def test_sparse_features_and_scores_equal_the_dense_ones(spark):
+    frame, mapping = themed(spark, (12, 9, 14, 10))
+    rows = attach_subset(frame, mapping)
+    vocab = sparse.subset_vocabulary(rows, 50)
+    sizes = {r["subset_id"]: r["n"] for r in vocab.groupBy("subset_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {"s0": 50, "s1": 50} and vocab.where("term IN ('the', 'and', 'of')").isEmpty()
+    dense = {}
+    for subset in sizes:
+        wide = features.tfidf_vectors(frame.na.fill("", ["text"]), vocab.where(F.col("subset_id") == subset))
+        dense |= {(r["row_id"], subset): r["features"].toArray() for r in wide.collect()}
+    found = {}
+    for size in (1, 10**9):
+        for r in sparse.sparse_features(frame, vocab, ("row_id", "label"), own=False, pass_bytes=size).collect():
+            found[r["row_id"], r["subset_id"]] = np.zeros(50)
+            found[r["row_id"], r["subset_id"]][r["indices"]] = r["values"]
+        assert found.keys() == dense.keys()
+        for key, value in dense.items():
+            assert found[key] == pytest.approx(value, abs=1e-12)
+    given = sparse.sparse_features(rows, vocab, ("row_id", "label"))
+    assert {(r["row_id"], r["subset_id"]) for r in given.collect()} == {(r["row_id"], r["subset_id"]) for r in rows.collect()}
+    weights, log = linear.fit_linear(given.join(mapping, ["subset_id", "label"]).withColumn("class_idx", F.col("pos").cast("int")))
+    assert log.where("error IS NOT NULL").isEmpty()
+    table = {(r["subset_id"], r["label"]): (np.array(r["coefficients"]), r["intercept"]) for r in weights.collect()}
+    for size in (1, 10**9):
+        for r in sparse.score_sparse(frame, vocab, weights, pass_bytes=size).collect():
+            raw = np.array([table[r["subset_id"], c][0] @ dense[r["row_id"], r["subset_id"]][: len(table[r["subset_id"], c][0])] + table[r["subset_id"], c][1] for c in r["labels"]])
+            share = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+            assert r["probabilities"] == pytest.approx(share, abs=1e-9) and r["max_probability"] == pytest.approx(share.max())
+    assert sparse.score_sparse(frame.limit(0), vocab, weights).count() == 0
+
+
+def test_sparse_smote_equals_the_dense_one(spark):
+    frame, mapping = themed(spark, (30, 12, 25, 9))
+    rows = attach_subset(frame.where("text LIKE '%word%'"), mapping)
+    vocab = sparse.subset_vocabulary(rows, 60)
+    given = sparse.sparse_features(rows, vocab, ("row_id", "label"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.coalesce(F.get("values", F.array_position("indices", i).cast("int") - 1), F.lit(0.0)))
+    plain = balance.smote(given.withColumn("vector", F.when(F.lit(True), wide)).drop("indices", "values"))
+    wanted = {(r["subset_id"], r["label"], r["row_id"], r["copy"]): r["vector"] for r in plain.collect()}
+    made = balance.smote(given).collect()
+    assert len(made) == len(wanted) == 34
+    for r in made:
+        line = np.zeros(60)
+        line[r["indices"]] = r["values"]
+        assert line == pytest.approx(wanted[r["subset_id"], r["label"], r["row_id"], r["copy"]], abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["logistic_regression", "random_forest"])
+def test_training_on_tfidf(spark, kind):
+    frame, mapping = themed(spark, (40, 26, 33, 28))
+    options = Options(classifier=kind, features="tfidf", max_features=200, max_depth=8, use_smote=kind == "logistic_regression")
+    found = training.train_subsets(frame, mapping, options)
+    assert found.failed == 0 and found.fitted == ("s0", "s1")
+    assert all(r["train_accuracy"] > 0.7 for r in found.stats.collect())
+    scored = training.score(frame, found.models, found.weights, found.vocabulary, options)
+    routed = evaluate.route_by_score(scored).join(frame, "row_id")
+    assert scored.count() == 2 * frame.count() and routed.where("label = predicted_label").count() > 0.7 * frame.count()
+
+
+def test_both_runs_on_tfidf(spark):
+    options = Options(subset_size=2, batch_size=25, max_iterations=1, retrain_threshold=5, noise_factor=1.0, use_smote=False, features="tfidf", max_features=40)
+    encoder, run_dir, loop_dir = features.word_hash_encoder(16), fresh_path(spark, "run"), fresh_path(spark, "loop")
+    initial.run_initial(spark, corpus(spark, 60), run_dir, encoder, None, options)
+    parts = initial.load_components(spark, run_dir)
+    assert parts.vocabulary.select("subset_id").distinct().count() == 2 and parts.weights.count() == 6
+    found = active.run_active(spark, run_dir, corpus(spark, 50, start=1000).drop("label"), loop_dir, encoder, make_judge(), options)
+    assert found.validated.count() > 0 and found.history.agg(F.max("retrained_classifiers")).first()[0] > 0
+    tables, _ = active.load_final(spark, loop_dir)
+    vocab = state.load_vocabulary(spark, tables["models"].first()["path"])
+    assert vocab.groupBy("subset_id", "idx").count().where("count > 1").isEmpty() and vocab.select("subset_id").distinct().count() == 2
+
+
 def test_vocabulary_per_subset(spark):
     rows = spark.createDataFrame([("a", "xx yy"), ("a", "xx"), ("b", "yy zz zz")], "subset_id string, text string")
     found = features.vocabulary(rows, 1, by=["subset_id"])
