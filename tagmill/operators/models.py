@@ -19,6 +19,8 @@ MODEL_SCHEMA = "subset_id string, class_idx int, label string, intercept double,
 LOG_SCHEMA = "subset_id string, train_samples long, classes int, error string, deepest int"
 # Weights broadcast in one scoring pass; more subsets take more passes.
 PASS_BYTES = 64 * 1024 * 1024
+# Subsets whose MLlib models one scan evaluates.
+GROUP = 32
 
 
 def _estimator(kind: str, rows: int, max_iter: int, seed: int, max_depth: int):
@@ -179,21 +181,28 @@ def score_linear(rows: DataFrame, model_table: DataFrame, pass_bytes: int = PASS
     return scored
 
 
-def score_models(rows: DataFrame, models, keep=("row_id",), own: bool = False) -> DataFrame:
-    """The same output from MLlib models of any kind, one transform of ``features``
-    per subset."""
-    keep = list(keep)
-    scored = None
-    for subset_id, (model, labels) in sorted(models.items()):
-        mine = rows.where(F.col("subset_id") == subset_id) if own else rows
-        names = F.array(*[F.lit(x) for x in labels])
-        found = model.transform(mine.select(*keep, "features")).select(
-            *keep,
-            F.lit(subset_id).alias("subset_id"),
-            names.alias("labels"),
-            vector_to_array("probability").alias("probabilities"),
-        )
-        part = with_scores(found, [*keep, "subset_id"])
+def score_models(rows: DataFrame, models, keep=("row_id",), own: bool = False, group: int = GROUP) -> DataFrame:
+    """The same output from MLlib models of any kind.
+
+    The models of ``group`` subsets stand side by side in one plan, so that a scan of ``features`` serves them all; with
+    ``own`` only the model of a row's own ``subset_id`` is evaluated.
+    """
+    keep, ordered, scored = list(keep), sorted(models.items()), None
+    for start in range(0, len(ordered), group):
+        part = ordered[start : start + group]
+        mine = rows.where(F.col("subset_id").isin([subset_id for subset_id, _ in part])) if own else rows
+        wide = mine.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], *([F.col("subset_id").alias("_own")] if own else []), "features")
+        found = []
+        for at, (subset_id, (model, labels)) in enumerate(part):
+            model = model.copy().setFeaturesCol("features").setPredictionCol("").setRawPredictionCol(f"_r{at}").setProbabilityCol(f"_p{at}")
+            wide = model.transform(wide)
+            one = F.struct(
+                F.lit(subset_id).alias("subset_id"), F.array(*[F.lit(x) for x in labels]).alias("labels"), vector_to_array(f"_p{at}").alias("probabilities")
+            )
+            found.append(F.when(F.col("_own") == subset_id, one) if own else one)
+        kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+        each = wide.select(*kept, F.coalesce(*found).alias("_x")).select(*keep, "_x.*") if own else wide.select(*kept, F.inline(F.array(*found)))
+        part = with_scores(each, [*keep, "subset_id"])
         scored = part if scored is None else scored.unionByName(part)
     if scored is None:
         raise ValueError("no trained classifier")

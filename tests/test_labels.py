@@ -35,6 +35,23 @@ def test_greedy_subsets_equal_the_plain_form(spark, count, size, seed):
     assert all(len(s) <= size for s in wanted)
 
 
+def test_large_taxonomies_are_split_alike(spark):
+    """Equal and zero vectors included: ties fall to the first label, whatever way a taxonomy takes."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for lang, count in (("a", 9), ("b", 5), (None, 3)):
+        some = [rng.normal(size=4).tolist() for _ in range(count)]
+        some[2] = some[1]
+        some[-1] = [0.0] * 4
+        rows += [(lang or "none", f"l{i:02d}", v) for i, v in enumerate(some)]
+    frame = spark.createDataFrame(rows, "lang string, label string, vector array<double>")
+
+    def split(limit):
+        return sorted(map(tuple, labelspace.greedy_subsets(frame, 3, ["lang"], limit).select("lang", "subset_id", "pos", "label").collect()))
+
+    assert split(0) == split(5 * (8 * 4 + 64)) == split(1 << 20) and len(split(0)) == 17
+
+
 def test_greedy_per_taxonomy(spark):
     frame = spark.range(6).select(
         (F.col("id") % 2).alias("lang"), F.col("id").cast("string").alias("label"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector")

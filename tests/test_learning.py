@@ -111,6 +111,17 @@ def test_forest_models_survive_saving(spark, clusters):
         return {(r["row_id"], r["subset_id"]): r["predicted_label"] for r in models.score_models(table, m).collect()}
 
     assert labels(fitted) == labels(loaded)
+    # One scan for all subsets, or one each, gives what MLlib's own transform gives.
+    wanted = {}
+    for subset_id, (model, _) in fitted.items():
+        for r in model.transform(table).select("row_id", "probability").collect():
+            wanted[r["row_id"], subset_id] = r["probability"].toArray()
+    homes = {r["row_id"]: r["subset_id"] for r in table.collect()}
+    for group in (1, 32):
+        found = {(r["row_id"], r["subset_id"]): r["probabilities"] for r in models.score_models(table, loaded, group=group).collect()}
+        assert found.keys() == wanted.keys() and all(np.array_equal(found[k], wanted[k]) for k in wanted)
+        own = {(r["row_id"], r["subset_id"]): r["probabilities"] for r in models.score_models(table, loaded, own=True, group=group).collect()}
+        assert own == {k: p for k, p in found.items() if homes[k[0]] == k[1]}
 
 
 def test_tfidf_vectors_equal_the_long_form(spark):
