@@ -6,22 +6,21 @@ pairs of its nodes from the top, dropping every pair whose largest possible over
 
 * Roots are size ranges that grow by 1 / threshold, so sets that may link lie in the same range or in
   neighbouring ones; other pairs of roots are dropped.
-* Below a root the hash space is cut into one region more than linked sets of that size can have tokens
-  that differ. Linked sets then agree on all tokens of a region at least. A node per region and
-  content holds the classes that agree there; pairs of different nodes are dropped. What is left are
-  pairs inside one node, found by one shuffle by node. Frequent passages do no harm, as a node needs a whole region.
+* Below a root the hash space is cut into a few regions more than linked sets of that size can have tokens
+  that differ. A set that fills more regions than it can have differing tokens agrees with any linked set on all tokens
+  of a filled region at least. A node per region and content holds the classes that agree there; pairs of different nodes
+  are dropped. What is left are pairs inside one node, found by one shuffle by node. Frequent passages do no harm, as a
+  node needs a whole region.
 * Inside a node, classes that links already connect form a child node. Children hold OR-combined token bitmaps and
   size ranges; pairs of children, then of a class and a child, then of two classes are dropped by these bounds, and
   the rest is compared exactly, token set by token set.
 
 To spare comparisons inside large groups, rounds first compare the classes of each node with one hub, another hub
 in each round, and connect what links. The traversal then takes every pair that is still unconnected. The
-result is exact for components but for the chance named below: a pair is left out only if its bound is too small or it is connected already.
+result is exact for components: a pair is left out only if its bound is too small or it is connected already.
 
-A region that is empty in both sets says nothing. A set with an empty region is therefore cut again with another
-hash, until no region is empty, 256 times at most. With 64 regions or more this is left out, and empty ones have no node:
-as tokens fall into regions by hash, linked sets agree on each with a chance of 1/e at least (more above the threshold),
-so a pair at the threshold misses all of 64 with a chance of 2e-13, and of more with a smaller one.
+A set that fills too few regions is cut again with another hash until it fills enough. Of two linked sets the one that is content
+first shares a filled region with the other, which has been cut in the same ways up to there. So no pair rests on chance, at any size.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a text with fewer words than a shingle is one
 shingle; repeated rows share a class and are each returned; a row with a null id gets a null component and lends no link; an
@@ -44,7 +43,6 @@ from tagmill.storage import lookup_join, settle
 BITMAP = 8
 # Words that a worker remembers; all its tasks share them.
 MOST_KEPT = 100_000
-SURE_REGIONS = 64
 ROUNDS = 6
 
 
@@ -99,21 +97,44 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 class Ranges:
-    """Size ranges and how many regions each needs."""
+    """Size ranges, and how many regions each needs."""
 
     def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
+        if not 50 < percent <= 100:
+            raise ValueError("the similarity must be above 50 percent")
+        self.percent, self.starts, self.cuts = percent, [1], {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
             self.starts.append(self.starts[-1] * 100 // self.percent + 1)
         return bisect.bisect_right(self.starts, size) - 1
 
+    def differing(self, size: int, index: int) -> int:
+        """Most tokens in which a set of ``size`` and a linked one differ, neither larger than the range allows."""
+        return min(size * (100 - self.percent) // self.percent, (100 - self.percent) * 2 * (self.starts[index + 1] - 1) // (100 + self.percent))
+
     def regions(self, index: int) -> int:
-        while len(self.starts) < index + 2:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        largest = self.starts[index + 1] - 1
-        return (100 - self.percent) * 2 * largest // (100 + self.percent) + 1
+        """Regions of a range: so many that sets of all its sizes mostly fill more than they can differ in; 1 if only equal sets link."""
+        if index not in self.cuts:
+            while len(self.starts) < index + 2:
+                self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+            largest = self.starts[index + 1] - 1
+            regions = self.differing(largest, index) + 1
+            if regions > 1:
+                # Fewest tokens to spare: the smallest size, or the one from which on the range bounds what can differ.
+                bounded = -(-self.differing(largest, index) * self.percent // (100 - self.percent))
+                sizes = (self.starts[index], min(bounded, largest))
+                while not all(self.filled(n, regions) > self.differing(n, index) for n in sizes) and regions < 2 * largest:
+                    regions += 1 + regions // 32
+            self.cuts[index] = regions
+        return self.cuts[index]
+
+    @staticmethod
+    def filled(size: int, regions: int) -> float:
+        """Regions that a set fills, less two deviations."""
+        one, two = (1 - 1 / regions) ** size, max(1 - 2 / regions, 0.0) ** size
+        spread = max(regions * one + regions * (regions - 1) * two - (regions * one) ** 2, 0.0)
+        return regions * (1 - one) - 2 * spread**0.5
 
 
 def node_keys(tokens: np.ndarray, ranges: Ranges) -> np.ndarray:
@@ -121,20 +142,19 @@ def node_keys(tokens: np.ndarray, ranges: Ranges) -> np.ndarray:
     found, own = [], ranges.of(len(tokens))
     for index in (own, own + 1):
         regions = ranges.regions(index)
-        if regions == 1:  # only equal sets can link
+        if regions == 1:
             continue
+        wanted = ranges.differing(len(tokens), index) + 1
         edges = (np.arange(1, regions, dtype=np.float64) * (2.0**64 / regions)).astype(np.uint64)
-        cut = 0
-        while True:
+        cut, full = 0, 0
+        while full < wanted:
             ordered = tokens if not cut else np.sort(mix(tokens + np.uint64(cut)))
             ends = np.concatenate(([0], np.searchsorted(ordered, edges), [len(ordered)]))
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(ordered ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
             filled = ends[1:] > ends[:-1]
-            place = np.arange(regions, dtype=np.uint64) + np.uint64((index << 40) + (cut << 32))
-            found.append(mix(mix(sums[ends[1:]] - sums[ends[:-1]]) + mix(place + np.uint64(1)))[filled])
-            if filled.all() or regions >= SURE_REGIONS or cut == 255:
-                break
-            cut += 1
+            place = mix(np.arange(1, regions + 1, dtype=np.uint64) + np.uint64(index << 40)) + mix(np.array([cut], np.uint64))
+            found.append(mix(mix(sums[ends[1:]] - sums[ends[:-1]]) + place)[filled])
+            cut, full = cut + 1, int(filled.sum())
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -296,6 +316,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, likeness: Likeness, text
     wanted = shared.select("c").distinct().join(classes, "c").select(F.col("first").alias("_first"))
     texts = docs.select(F.col(ident).alias("_first"), F.col(text).alias("text"))
     tokens = settle(profiles(lookup_join(texts, wanted, "_first", "left_semi"), likeness, "text"), "profiles")
+    if tokens.count() > tokens.select("c").distinct().count():  # rows repeated under one id: one profile per class
+        tokens = settle(tokens.dropDuplicates(["c"]), "profiles")
     links, found = None, None
     for turn in range(ROUNDS):
         pairs = settle(hub_pairs(shared, found, turn), "pairs")
