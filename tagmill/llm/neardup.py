@@ -162,42 +162,26 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def described(docs: DataFrame, likeness: Likeness, text: str) -> DataFrame:
-    """``doc``, the size ``n`` of its set, and its class ``c`` (null for an empty set)."""
+def described(docs: DataFrame, likeness: Likeness, text: str, with_keys: bool = False) -> DataFrame:
+    """``doc``, the size ``n`` of its set, its class ``c`` (null for an empty set) and, on request, the ``keys`` of its tree nodes."""
 
-    @F.arrow_udf("struct<n:bigint,c:bigint>")
+    @F.arrow_udf("struct<n:bigint,c:bigint" + (",keys:array<bigint>>" if with_keys else ">"))
     def describe(raw: pa.Array) -> pa.Array:
-        sizes, classes = [], []
+        ranges, sizes, classes, found = Ranges(likeness.percent), [], [], []
         for value in raw:
             tokens = shingle_set(value.as_py(), likeness.words)
             sizes.append(len(tokens))
             classes.append(class_of(tokens) if len(tokens) else None)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], names=["n", "c"])
+            if with_keys:
+                found.append(node_keys(tokens, ranges) if len(tokens) else tokens)
+        columns = [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())]
+        if with_keys:
+            offsets = np.concatenate(([0], np.cumsum([len(k) for k in found]))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), signed(np.concatenate([np.empty(0, np.uint64), *found]))))
+        return pa.StructArray.from_arrays(columns, names=["n", "c", "keys"][: len(columns)])
 
     rows = packed(docs).withColumn("d", describe(F.col("doc").getField(text).cast("binary")))
-    return rows.select("doc", F.col("d.n").alias("n"), F.col("d.c").alias("c"))
-
-
-def keyed(docs: DataFrame, likeness: Likeness, text: str) -> DataFrame:
-    """``key, c`` for every tree node of every document."""
-
-    def keys(batches):
-        ranges = Ranges(likeness.percent)
-        for batch in batches:
-            found, owners, rows = [], [], 0
-            for value in batch.column(0):
-                tokens = shingle_set(value.as_py(), likeness.words)
-                if len(tokens):
-                    found.append(node_keys(tokens, ranges))
-                    owners.append(np.full(len(found[-1]), class_of(tokens), np.int64))
-                    rows += len(found[-1])
-                if rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["key", "c"])
-                    found, owners, rows = [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(found)), pa.array(np.concatenate(owners))], names=["key", "c"])
-
-    return docs.select(F.col(text).cast("binary").alias("raw")).mapInArrow(keys, "key bigint, c bigint")
+    return rows.select("doc", "d.*")
 
 
 def profiles(docs: DataFrame, likeness: Likeness, text: str) -> DataFrame:
@@ -307,10 +291,11 @@ def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, perce
     return met.select(*pair_of(F.col("x.c"), F.col("y.c"))).distinct()
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str) -> DataFrame | None:
+def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str) -> DataFrame | None:
     """``node, component`` of all classes that link with another; None if there is no link."""
     spread = Window.partitionBy("key")
-    keys = keyed(docs, likeness, text).withColumn("lo", F.min("c").over(spread)).withColumn("hi", F.max("c").over(spread))
+    keys = sets.where("c IS NOT NULL AND id IS NOT NULL").select(F.explode("keys").alias("key"), "c")
+    keys = keys.withColumn("lo", F.min("c").over(spread)).withColumn("hi", F.max("c").over(spread))
     shared = settle(keys.where("lo <> hi").select("key", "c").distinct(), "nodes")
     shared = settle(scored(shared), "nodes")
     wanted = shared.select("c").distinct().join(classes, "c").select(F.col("first").alias("_first"))
@@ -343,15 +328,18 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text
     the class of the row's set and ``component_key`` the key of its group of linked classes (both null for an empty set). Groups of
     unrelated texts have different keys, also where their ids clash.
     """
-    rows = described(docs, likeness, text).withColumn("id", F.col("doc").getField(ident))
+    ident_of = F.col("doc").getField(ident)
+    rows = described(docs, likeness, text, with_keys=True).withColumn("id", ident_of)
     if keep_text:
         # The texts are hashed again at the end, which is cheaper than a copy of them all.
-        sets = settle(rows.select("id", "n", "c"), "sets")
+        sets = settle(rows.select("id", "n", "c", "keys"), "sets")
+        rows = described(docs, likeness, text).withColumn("id", ident_of)
     else:
-        rows = sets = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
+        sets = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
+        rows = sets.drop("keys")
     classes = sets.where("c IS NOT NULL AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = settle(classes, "classes")
-    found = linked_classes(docs.where(F.col(ident).isNotNull()), classes, likeness, text, ident)
+    found = linked_classes(docs.where(F.col(ident).isNotNull()), sets, classes, likeness, text, ident)
     if found is None:
         grouped = classes.withColumn("component", F.col("c")).withColumn("component_id", F.col("first"))
     else:
