@@ -24,6 +24,7 @@ from tagmill.llm.common import packed, unpacked
 from tagmill.llm.samples import bounded
 
 UNKNOWN = "und"
+# Letters and some numbers that are no digits, such as a raised two; among these, letters are told by ``isalpha``.
 LETTER = re.compile(r"[^\W\d_]")
 PAD = b"   "
 # Spreads the bytes of an n-gram; fixed values.
@@ -128,7 +129,7 @@ def fitted(rows: list, settings: Settings) -> Model:
 def predicted(texts: list[str | None], model: Model, settings: Settings) -> list[tuple]:
     """``(language, score, rejected)`` of each text."""
     out = [(UNKNOWN, 0.0, True)] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+    known = [i for i, t in enumerate(texts) if t and any(m[0].isalpha() for m in LETTER.finditer(t))] if model.languages else []
     at = 0
     while at < len(known):
         # About a megabyte at once bounds the memory; a longer text goes alone.

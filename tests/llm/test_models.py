@@ -43,6 +43,13 @@ def test_predictions_do_not_depend_on_neighbours(spark):
     assert [r[0] for r in together[:2]] == ["a", "b"]
 
 
+def test_numbers_are_no_letters():
+    settings = langid.Settings()
+    model = langid.fitted([(lang, *langid.counted(text, settings)) for lang, text in (("a", "aaa bbb"), ("b", "xyz zyx"))] * 5, settings)
+    found = langid.predicted(["² ½ 12", "① Ⅷ 3_4", "", None, "² ª", "½ é"], model, settings)
+    assert [r[0] for r in found[:4]] == ["und"] * 4 and "und" not in [r[0] for r in found[4:]]
+
+
 def labelled():
     words = [f"plain{i}" for i in range(300)]
     rows = []
