@@ -292,7 +292,7 @@ def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, perce
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str) -> DataFrame | None:
-    """``node, component`` of all classes that link with another; None if there is no link."""
+    """``node, component`` of all classes that link with another; None if there is no link. ``sets`` has ``id, c, keys``."""
     spread = Window.partitionBy("key")
     keys = sets.where("c IS NOT NULL AND id IS NOT NULL").select(F.explode("keys").alias("key"), "c")
     keys = keys.withColumn("lo", F.min("c").over(spread)).withColumn("hi", F.max("c").over(spread))
@@ -331,15 +331,15 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text
     ident_of = F.col("doc").getField(ident)
     rows = described(docs, likeness, text, with_keys=True).withColumn("id", ident_of)
     if keep_text:
-        # The texts are hashed again at the end, which is cheaper than a copy of them all.
-        sets = settle(rows.select("id", "n", "c", "keys"), "sets")
-        rows = described(docs, likeness, text).withColumn("id", ident_of)
+        # The texts are hashed again for the keys and at the end, which takes less disk than a copy of either.
+        keyed, rows = rows, described(docs, likeness, text).withColumn("id", ident_of)
+        sets = settle(rows.select("id", "n", "c"), "sets")
     else:
-        sets = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
-        rows = sets.drop("keys")
+        keyed = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
+        rows = sets = keyed.drop("keys")
     classes = sets.where("c IS NOT NULL AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = settle(classes, "classes")
-    found = linked_classes(docs.where(F.col(ident).isNotNull()), sets, classes, likeness, text, ident)
+    found = linked_classes(docs.where(F.col(ident).isNotNull()), keyed, classes, likeness, text, ident)
     if found is None:
         grouped = classes.withColumn("component", F.col("c")).withColumn("component_id", F.col("first"))
     else:
