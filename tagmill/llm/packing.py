@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.tokens import encoder
+from tagmill.llm.tokens import encoder, slices
 from tagmill.storage import lookup_join, settle
 
 
@@ -47,19 +47,21 @@ def pieces(docs: DataFrame, packing: Packing, text="text", ident="doc_id", keep_
         coder = encoder(packing.tokenizer, packing.end_id)
         part, places = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                docs_in = batch.slice(first, 512)
-                rows, found = [], []
-                for row, raw in enumerate(coder.encode(docs_in.column(1).to_pylist())):
-                    for number, (start, length) in enumerate(piece_bounds(len(raw) // 4, packing.length)):
-                        ids = raw[4 * start : 4 * (start + length)]
-                        rows.append((row, number, start, length, zlib.crc32(ids), part, places[length]))
+            for docs_in in slices(batch, 1):
+                flat, edges = coder.ids(docs_in.column(1))
+                raw, rows = memoryview(flat.astype("<u4").tobytes()), []
+                for row, (begin, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    for number, (start, length) in enumerate(piece_bounds(end - begin, packing.length)):
+                        at = 4 * (begin + start)
+                        rows.append((row, number, start, length, zlib.crc32(raw[at : at + 4 * length]), part, places[length]))
                         places[length] += 1
-                        found.append(ids)
                 owner, number, *others = (np.array(c, np.int64) for c in zip(*rows, strict=True))
                 columns = [docs_in.column(0).take(pa.array(owner)), pa.array(number.astype(np.int32)), *map(pa.array, others)]
                 if keep_ids:
-                    columns.append(pa.array(found, pa.binary()))
+                    # Pieces follow one another in the ids of the batch.
+                    bounds = 4 * np.concatenate(([0], np.cumsum(others[1]))).astype(np.int64)
+                    found = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+                    columns.append(found.cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * keep_ids

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.tokens import encoder
+from tagmill.llm.tokens import encoder, slices
 from tagmill.storage import fresh_path, settle
 
 BATCH_SEQUENCES = 256
@@ -96,20 +96,15 @@ def write_tokens(docs: DataFrame, layout: Format, folder: str | None = None, tex
         writer = stream = index = None
         docs_seen = 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                rows = batch.slice(first, 512)
+            for rows in slices(batch, 1):
                 if writer is None:
                     stream, marks = system.open_output_stream(f"{name}.arrow"), system.open_output_stream(f"{name}.index")
                     writer = SequenceWriter(stream, width, layout.length)
                     schema = pa.schema([("id", rows.column(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                     index = ipc.new_file(marks, schema)
-                starts, counts = [], []
-                for raw in coder.encode(rows.column(1).to_pylist()):
-                    ids = np.frombuffer(raw, "<u4")
-                    starts.append(writer.total)
-                    counts.append(len(ids))
-                    writer.add(ids)
-                index.write_batch(pa.RecordBatch.from_arrays([rows.column(0), pa.array(starts), pa.array(counts)], schema=schema))
+                ids, edges = coder.ids(rows.column(1))
+                index.write_batch(pa.RecordBatch.from_arrays([rows.column(0), pa.array(edges[:-1] + writer.total), pa.array(np.diff(edges))], schema=schema))
+                writer.add(ids)
                 docs_seen += rows.num_rows
         if writer is not None:
             writer.close()
