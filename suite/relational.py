@@ -176,10 +176,14 @@ def save_cache(spark, sf):
 
 @query(f"WITH {CACHE} SELECT text_md5, predicted_label FROM cache")
 def load_cache(spark, sf):
-    path = fresh_path(spark, "cache")
-    state.save_cache(verdict_cache(spark, sf), path)
-    state.save_cache(verdict_cache(spark, sf), path)
-    return state.load_cache(spark, path, judge.PAIR).select(*judge.PAIR)
+    """Verdicts added twice, merged, added once more and looked up for all documents."""
+    cache = judge.verdict_cache(fresh_path(spark, "cache"))
+    cache.add(verdict_cache(spark, sf), 1)
+    cache.add(verdict_cache(spark, sf), 2)
+    cache.compact(spark)
+    cache.add(verdict_cache(spark, sf), 3)
+    pairs = judge.keyed(documents(spark, sf)).withColumnRenamed("label", "predicted_label")
+    return cache.found(pairs).select(*judge.PAIR)
 
 
 # projections and filters

@@ -4,6 +4,7 @@ A judge is a callable from a list of prompts to a list of replies. It runs in th
 Python workers, one Arrow batch at a time; a reply may be None for a failed request.
 """
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from tagmill.functions.replies import verdict
 from tagmill.functions.text import strip_space, text_key
 from tagmill.operators.neighbours import knn_join
 from tagmill.operators.sampling import sample_examples
-from tagmill.storage import lookup_join, only_needed, settle, split_join
+from tagmill.sources.cache import Cache
+from tagmill.sources.requests import RequestLog
+from tagmill.storage import fresh_path, lookup_join, only_needed, settle, split_join
 
 PAIR = ["text_md5", "predicted_label"]
 VERDICT = ["is_valid", "confidence", "reply", "error", "n_examples", "description"]
@@ -21,46 +24,55 @@ CACHE_SCHEMA = (
     "text_md5 string, predicted_label string, is_valid boolean, confidence double, reply string, "
     "error string, n_examples int, description string"
 )
-# Short tasks limit what a retry repeats.
+EXAMPLES = "examples array<string>"
 ROWS_PER_TASK = 2_000
+# Requests that a task asks, and logs, at a time: what a lost task may have to ask again.
+ROWS_PER_CHUNK = 200
+
+
+def verdict_cache(path: str, keep_examples: bool = False) -> Cache:
+    """The verdicts under a path, by text and label."""
+    return Cache(path, tuple(PAIR), f"{CACHE_SCHEMA}, {EXAMPLES}" if keep_examples else CACHE_SCHEMA)
 
 
 def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text_md5", text_key(F.col("text")))
 
 
-def cache_split(rows: DataFrame, cache: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def cache_split(rows: DataFrame, cache: DataFrame | Cache, hot_rows: int = 1_000_000, keep_examples: bool = False) -> DataFrame:
     """Rows with their cached verdict, if any, and a ``cached`` flag."""
     pairs = keyed(rows)
-    known = only_needed(cache, pairs, PAIR).dropDuplicates(PAIR).select(*PAIR, *VERDICT, F.lit(True).alias("cached"))
+    known = cache.found(pairs) if isinstance(cache, Cache) else only_needed(cache, pairs, PAIR).dropDuplicates(PAIR)
+    if keep_examples and "examples" not in known.columns:
+        known = known.withColumn("examples", F.array().cast("array<string>"))
+    known = known.select(*PAIR, *VERDICT, *["examples"] * keep_examples, F.lit(True).alias("cached"))
     joined = split_join(pairs, known, PAIR, "left", hot_rows)
     return joined.withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
-def ask(prompts: DataFrame, judge) -> DataFrame:
+def ask(prompts: DataFrame, judge, log: str | None = None, chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add ``reply`` and ``error`` to rows with a ``prompt``.
 
-    When a batch fails all its rows carry the error and no reply. The answers are
-    written before anything reads them, so later work never repeats a request.
+    A task asks ``chunk`` requests at a time and logs the replies before it asks the next ones, so a task that is lost and
+    tried again asks only what it has no reply to. The log is new for each call, unless a folder is given: a later
+    call over the same partitions of prompts goes on there. When a chunk fails all its open rows carry the error and no
+    reply. The answers are written before anything reads them, so later work never repeats a request.
     """
+    log = log or fresh_path(prompts.sparkSession, "requests")
     columns = [c for c in prompts.columns if c != "prompt"]
     schema = prompts.select(*columns).schema.add("reply", "string").add("error", "string")
 
     def run(batches):
+        answers = None
         for batch in batches:
-            if batch.empty:
-                continue
-            out = batch[columns].copy()
-            try:
-                replies = list(judge(batch["prompt"].to_list()))
-                if len(replies) != len(batch):
-                    raise ValueError("judge returned another number of replies")
+            for start in range(0, len(batch), chunk):
+                some = batch.iloc[start : start + chunk]
+                answers = answers or RequestLog(log, TaskContext.get().partitionId())
+                replies, error = answers.answered(some["prompt"].to_list(), judge)
+                out = some[columns].copy()
                 out["reply"] = replies
-                out["error"] = [None if r is not None else "request failed" for r in replies]
-            except Exception as problem:  # noqa: BLE001 - a failing request must not fail the job
-                out["reply"] = None
-                out["error"] = str(problem)
-            yield out
+                out["error"] = [None if r is not None else error or "request failed" for r in replies]
+                yield out
 
     return settle(prompts.mapInPandas(run, schema), "replies")
 
@@ -98,7 +110,10 @@ def validation_prompts(rows: DataFrame, labelled: DataFrame, descriptions: DataF
     return ready.withColumn("prompt", prompt).withColumn("n_examples", F.size("examples"))
 
 
-def judge_batch(rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows: int = 1_000_000, style: str | None = "messages"):
+def judge_batch(
+    rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows: int = 1_000_000, style: str | None = "messages",
+    keep_examples: bool = False, log: str | None = None,
+):
     """Verdicts for ``row_id, text, predicted_label, vector``.
 
     The judge gets whole requests, as JSON in the given ``style``: system prompt, worked
@@ -106,9 +121,11 @@ def judge_batch(rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows
 
     Each (text, label) pair without a cached verdict is asked once, however many rows
     share it. Returns all rows with verdicts and the new cache rows; failed requests
-    are not cached.
+    are not cached. With ``keep_examples`` both also have the ``examples`` that the judge saw; cached verdicts have those
+    they were stored with, none if they were stored without. ``log`` is a folder for replies, see ``ask``.
     """
-    split = settle(cache_split(rows, cache, hot_rows), "split")
+    split = settle(cache_split(rows, cache, hot_rows, keep_examples), "split")
+    kept = ["examples"] * keep_examples
     one = split.where("NOT cached").groupBy(*PAIR).agg(
         F.min_by(F.struct("text", "vector"), "row_id").alias("_row"), F.min("row_id").alias("query_id")
     )
@@ -117,12 +134,11 @@ def judge_batch(rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows
     tasks = max(1, -(-misses.count() // ROWS_PER_TASK))
     if style is not None:
         prompts = prompts.withColumn("prompt", chat_request(VALIDATOR_SYSTEM, F.col("prompt"), style))
-    asked = prompts.select(*PAIR, "n_examples", "description", "prompt")
-    if tasks > 1:
-        asked = asked.repartition(tasks, *PAIR)
-    replies = ask(asked, judge)
-    fresh = replies.withColumn("_v", verdict(F.col("reply"))).select(*PAIR, "_v.*", "reply", "error", "n_examples", "description")
-    base = split.drop(*VERDICT).where("NOT cached")
+    # Partitions by key, so that an attempt finds in the log what an earlier one asked.
+    asked = prompts.select(*PAIR, "n_examples", "description", *kept, "prompt").repartition(tasks, *PAIR)
+    replies = ask(asked, judge, log)
+    fresh = replies.withColumn("_v", verdict(F.col("reply"))).select(*PAIR, "_v.*", "reply", "error", "n_examples", "description", *kept)
+    base = split.drop(*VERDICT, *kept).where("NOT cached")
     answered = split_join(base, fresh, PAIR, "left", hot_rows)
     results = split.where("cached").unionByName(answered)
     return results, fresh.where(F.col("error").isNull())

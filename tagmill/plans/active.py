@@ -72,12 +72,13 @@ def run_iteration(spark, parts: Components, pool, size: int, run_dir, at: int, p
         predictions = settle(drop_noise(score(rows, parts.models, parts.weights, parts.vocabulary, options)), "predictions")
         chosen = settle(choose(predictions, phase, options.samples_per_iteration), "chosen")
         asked = chosen.join(rows, "row_id")
-        cache = state.read_appended(spark, run_dir, "verdicts", judging.CACHE_SCHEMA, at - 1).drop("iteration")
+        cache = judging.verdict_cache(f"{run_dir}/verdicts", options.keep_examples)._replace(before=at)
         verdicts, fresh = judging.judge_batch(
-            asked, cache, parts.labelled, parts.descriptions, judge, options.similar_examples
-        )
+            asked, cache, parts.labelled, parts.descriptions, judge, options.similar_examples,
+            keep_examples=options.keep_examples, log=f"{run_dir}/requests/iteration={at}",
+        )
         verdicts = settle(verdicts, "judged")
-        state.append_rows(fresh, run_dir, "verdicts", at)
+        cache.add(fresh, at)
         log = verdicts.select("row_id", "predicted_label", "is_valid", "confidence", "error", "cached")
         state.append_rows(log, run_dir, "log", at)
         new = accepted(verdicts, options.confidence_threshold).select(
@@ -227,7 +228,7 @@ def final_retrain(spark, parts: Components, run_dir: str, at: int, options: Opti
     chosen = sorted(r["subset_id"] for r in rows.select("subset_id").distinct().collect())
     final = f"{run_dir}/final"
     parts = refitted(spark, parts, labelled, chosen, options, f"{final}/models/iteration={at}-{uuid.uuid4().hex}")
-    verdicts = state.read_appended(spark, run_dir, "verdicts", judging.CACHE_SCHEMA, at)
+    verdicts = judging.verdict_cache(f"{run_dir}/verdicts", options.keep_examples)._replace(before=at + 1).stored(spark).drop("bucket")
     state.save_state(
         final,
         at,

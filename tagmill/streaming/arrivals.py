@@ -37,18 +37,22 @@ def stream_judge(arrivals: DataFrame, judge, prompt, out: str) -> None:
     """Judge arriving ``row_id, text, predicted_label`` once per (text, label).
 
     Pairs answered in an earlier batch come from the cache; within a batch only one
-    row of a pair is asked. ``prompt`` makes the prompt column.
+    row of a pair is asked. A micro-batch opens only the folders of the cache that can hold its pairs; a batch that is repeated
+    does not see its own answers there, but goes on with its log of requests. ``prompt`` makes the prompt column.
     """
+    verdicts = judging.verdict_cache(f"{out}/verdicts")
 
     def handle(batch, batch_id):
-        cache = state.read_appended(batch.sparkSession, out, "verdicts", judging.CACHE_SCHEMA, batch_id - 1).drop("iteration")
+        cache = verdicts._replace(before=batch_id)
         split = settle(judging.cache_split(batch, cache), "split")
         once = split.where("NOT cached").dropDuplicates(judging.PAIR)
-        asked = judging.ask(once.select(*judging.PAIR, prompt(F.col("text"), F.col("predicted_label")).alias("prompt")), judge)
+        prompts = once.select(*judging.PAIR, prompt(F.col("text"), F.col("predicted_label")).alias("prompt"))
+        tasks = max(1, -(-prompts.count() // judging.ROWS_PER_TASK))
+        asked = judging.ask(prompts.repartition(tasks, *judging.PAIR), judge, f"{out}/requests/batch={batch_id}")
         fresh = asked.withColumn("_v", judging.verdict(F.col("reply"))).select(
             *judging.PAIR, "_v.*", "reply", "error", F.lit(0).alias("n_examples"), F.lit("").alias("description")
         )
-        state.append_rows(fresh.where(F.col("error").isNull()), out, "verdicts", batch_id)
+        cache.add(fresh.where(F.col("error").isNull()), batch_id)
         log = split.groupBy("cached").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*judging.PAIR).alias("pairs"))
         state.append_rows(log, out, "batches", batch_id)
 
