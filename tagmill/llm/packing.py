@@ -63,6 +63,8 @@ def pieces(docs: DataFrame, packing: Packing, text="text", ident="doc_id", keep_
                     found = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
                     columns.append(found.cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        # Later tasks of the worker need not hold what this one has freed.
+        pa.default_memory_pool().release_unused()
 
     names = ["id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * keep_ids
     kind = docs.schema[ident].dataType.simpleString()

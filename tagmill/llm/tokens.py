@@ -27,7 +27,8 @@ SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 MARKED = re.compile(r"([ \n]?)([^\W\d_]+)([.,;:!?%&*$#|]*)")
 LONGEST_KEPT = 64
 MOST_KEPT = 500_000
-BATCH_BYTES = 1 << 23
+# Text that is cut at a time: working arrays take some 30 times as much.
+BATCH_BYTES = 1 << 20
 # How byte-level tokenizers write a space.
 SPACE = "\u0120"
 
