@@ -3,7 +3,7 @@
 Each batch writes its own folders by batch id, so a repeated batch replaces itself.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.operators import judge as judging
@@ -57,3 +57,45 @@ def stream_judge(arrivals: DataFrame, judge, prompt, out: str) -> None:
         state.append_rows(log, out, "batches", batch_id)
 
     _run(arrivals, handle, f"{out}/checkpoint")
+
+
+RETRY = "text string, predicted_label string, attempt int"
+
+
+def stream_judge_once(spark: SparkSession, arrivals: DataFrame, judge, prompt, out: str, keep: str = "30 days", attempts: int = 5) -> None:
+    """Judge arriving ``text, predicted_label`` once per pair; the pairs asked before are kept as streaming state.
+
+    The state has digest and label of a pair, no texts, and forgets it when it was not asked for ``keep`` (by arrival, within
+    twice that time); a pair that comes again later is asked again. A micro-batch reads no verdicts: it writes its new ones to
+    ``out/verdicts``, where ``cache_split`` finds them by key. Pairs whose request failed go to ``out/failed``, which later runs of
+    the stream read as further arrivals, until ``attempts`` requests were made. A batch that is repeated goes on with its log of requests.
+
+    Defined cases: rows without text or label are left out; a stream without rows writes nothing. A large state belongs into the RocksDB store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    verdicts = judging.verdict_cache(f"{out}/verdicts")
+    again = spark.readStream.schema(RETRY).option("ignoreMissingFiles", "true").parquet(f"{out}/failed/batch-*")
+    rows = arrivals.select("text", "predicted_label", F.lit(0).alias("attempt")).unionByName(again)
+    pairs = judging.keyed(rows.where("text IS NOT NULL AND predicted_label IS NOT NULL")).withColumn("arrived", F.current_timestamp())
+    # One string that is never null: the schema of the state must not depend on which of the two sources has rows.
+    pairs = pairs.withColumn("pair", F.concat_ws("/", "text_md5", "attempt", "predicted_label"))
+    first = pairs.withWatermark("arrived", keep).dropDuplicatesWithinWatermark(["pair"]).drop("arrived", "pair")
+
+    def handle(batch, batch_id):
+        asked = settle(batch, "unseen")  # the state is read and written once
+        count = asked.count()
+        if not count:
+            return
+        prompts = asked.withColumn("prompt", prompt(F.col("text"), F.col("predicted_label")))
+        dealt = prompts.repartition(-(-count // judging.ROWS_PER_TASK), *judging.PAIR)
+        replies = judging.ask(dealt, judge, f"{out}/requests/batch={batch_id}")
+        fresh = replies.where("error IS NULL").withColumn("_v", judging.verdict(F.col("reply"))).select(
+            *judging.PAIR, "_v.*", "reply", "error", F.lit(0).alias("n_examples"), F.lit("").alias("description")
+        )
+        verdicts.add(fresh, batch_id)
+        failed = replies.where(F.col("error").isNotNull() & (F.col("attempt") + 1 < attempts))
+        path = f"{out}/failed/batch-{batch_id}"
+        if not failed.isEmpty() or state.exists(spark, path):
+            failed.select("text", "predicted_label", (F.col("attempt") + 1).alias("attempt")).write.mode("overwrite").parquet(path)
+
+    _run(first, handle, f"{out}/checkpoint")
