@@ -77,16 +77,20 @@ def ask(prompts: DataFrame, judge, log: str | None = None, chunk: int = ROWS_PER
     return settle(prompts.mapInPandas(run, schema), "replies")
 
 
-def with_examples(rows: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
+def with_examples(rows: DataFrame, labelled: DataFrame, k: int, index=None) -> DataFrame:
     """Attach the texts of the ``k`` nearest labelled rows of the predicted label.
 
     ``rows`` has ``query_id, predicted_label, vector``; ``labelled`` has
-    ``row_id, label, text, vector``.
+    ``row_id, label, text, vector``. With an ``index`` (``VectorIndex``) the labelled rows are read from it, by cell.
     """
-    corpus = labelled.select(F.col("row_id").alias("item_id"), F.col("label").alias("predicted_label"), "vector")
-    near = knn_join(rows.select("query_id", "predicted_label", "vector"), corpus, k, on=["predicted_label"])
-    texts = labelled.select(F.col("row_id").alias("item_id"), F.col("text").alias("_example"))
-    found = split_join(near.select("query_id", "item_id", "rank"), texts, "item_id", "inner")
+    if index is not None:
+        near = index.nearest(rows.select("query_id", F.col("predicted_label").alias("label"), "vector"), k)
+        found = near.select("query_id", "rank", F.col("text").alias("_example"))
+    else:
+        corpus = labelled.select(F.col("row_id").alias("item_id"), F.col("label").alias("predicted_label"), "vector")
+        near = knn_join(rows.select("query_id", "predicted_label", "vector"), corpus, k, on=["predicted_label"])
+        texts = labelled.select(F.col("row_id").alias("item_id"), F.col("text").alias("_example"))
+        found = split_join(near.select("query_id", "item_id", "rank"), texts, "item_id", "inner")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "_example"))), lambda x: x["_example"])
     lists = found.groupBy("query_id").agg(ordered.alias("examples"))
     empty = F.array().cast("array<string>")
@@ -103,16 +107,16 @@ def with_description(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
     )
 
 
-def validation_prompts(rows: DataFrame, labelled: DataFrame, descriptions: DataFrame, k: int) -> DataFrame:
+def validation_prompts(rows: DataFrame, labelled: DataFrame, descriptions: DataFrame, k: int, index=None) -> DataFrame:
     """Rows of ``query_id, text, predicted_label, vector`` with their ``prompt``."""
-    ready = with_description(with_examples(rows, labelled, k), descriptions)
+    ready = with_description(with_examples(rows, labelled, k, index), descriptions)
     prompt = binary_prompt(F.col("text"), F.col("predicted_label"), F.col("description"), F.col("examples"), k)
     return ready.withColumn("prompt", prompt).withColumn("n_examples", F.size("examples"))
 
 
 def judge_batch(
     rows, cache, labelled, descriptions, judge, k: int = 6, hot_rows: int = 1_000_000, style: str | None = "messages",
-    keep_examples: bool = False, log: str | None = None,
+    keep_examples: bool = False, log: str | None = None, index=None,
 ):
     """Verdicts for ``row_id, text, predicted_label, vector``.
 
@@ -122,7 +126,8 @@ def judge_batch(
     Each (text, label) pair without a cached verdict is asked once, however many rows
     share it. Returns all rows with verdicts and the new cache rows; failed requests
     are not cached. With ``keep_examples`` both also have the ``examples`` that the judge saw; cached verdicts have those
-    they were stored with, none if they were stored without. ``log`` is a folder for replies, see ``ask``.
+    they were stored with, none if they were stored without. ``log`` is a folder for replies, see ``ask``;
+    ``index`` a stored index of the labelled rows, see ``with_examples``.
     """
     split = settle(cache_split(rows, cache, hot_rows, keep_examples), "split")
     kept = ["examples"] * keep_examples
@@ -130,7 +135,7 @@ def judge_batch(
         F.min_by(F.struct("text", "vector"), "row_id").alias("_row"), F.min("row_id").alias("query_id")
     )
     misses = settle(one.select("query_id", *PAIR, "_row.text", "_row.vector"), "misses")
-    prompts = validation_prompts(misses, labelled, descriptions, k)
+    prompts = validation_prompts(misses, labelled, descriptions, k, index)
     tasks = max(1, -(-misses.count() // ROWS_PER_TASK))
     if style is not None:
         prompts = prompts.withColumn("prompt", chat_request(VALIDATOR_SYSTEM, F.col("prompt"), style))

@@ -20,6 +20,7 @@ from tagmill.options import Options
 from tagmill.plans.initial import Components, embed, load_components
 from tagmill.plans.training import Trained, score, train_subsets
 from tagmill.sources import state
+from tagmill.sources.vectorindex import VectorIndex
 from tagmill.storage import settle
 
 HISTORY = (
@@ -59,6 +60,16 @@ def all_labelled(parts: Components, validated: DataFrame) -> DataFrame:
     return parts.labelled.select("row_id", "text", "label", "vector").unionByName(grown)
 
 
+def example_index(spark, parts: Components, run_dir: str, options: Options) -> VectorIndex | None:
+    """The stored index of the rows that serve as examples, if options ask for it; written once per loop."""
+    if not options.example_index:
+        return None
+    index = VectorIndex(f"{run_dir}/examples")
+    if not index.complete(spark):
+        index.create(parts.labelled.withColumnRenamed("row_id", "item_id"), options.similar_examples)
+    return index
+
+
 def run_iteration(spark, parts: Components, pool, size: int, run_dir, at: int, phase: str, encoder, judge, options, model, done: int):
     """One iteration over ``size`` pool rows; returns its history values and the components
     to go on with, and writes its tables."""
@@ -76,6 +87,7 @@ def run_iteration(spark, parts: Components, pool, size: int, run_dir, at: int, p
         verdicts, fresh = judging.judge_batch(
             asked, cache, parts.labelled, parts.descriptions, judge, options.similar_examples,
             keep_examples=options.keep_examples, log=f"{run_dir}/requests/iteration={at}",
+            index=example_index(spark, parts, run_dir, options),
         )
         verdicts = settle(verdicts, "judged")
         cache.add(fresh, at)

@@ -368,6 +368,24 @@ def test_both_runs_and_resuming(spark):
     assert summary["total_iterations"] == len(seen)
 
 
+def test_a_loop_with_a_stored_index_judges_like_one_without(spark):
+    options = Options(subset_size=2, max_iter=30, batch_size=30, max_iterations=1, retrain_threshold=1000, noise_factor=1.0, use_smote=False, keep_examples=True)
+    encoder = features.word_hash_encoder(16)
+    run_dir = fresh_path(spark, "run")
+    initial.run_initial(spark, corpus(spark, 60), run_dir, encoder, None, options)
+    pool = corpus(spark, 30, start=1000).drop("label")
+    seen = []
+    for stored in (False, True):
+        loop_dir = fresh_path(spark, "loop")
+        found = active.run_active(spark, run_dir, pool, loop_dir, encoder, make_judge(), replace(options, example_index=stored))
+        verdicts = state.read_appended(spark, loop_dir, "verdicts", f"{judge.CACHE_SCHEMA}, {judge.EXAMPLES}")
+        examples = {(r["text_md5"], r["predicted_label"]): r["examples"] for r in verdicts.collect()}
+        log = sorted((r["row_id"], r["predicted_label"], r["is_valid"], r["confidence"]) for r in found.verdicts.collect())
+        seen.append((log, examples))
+        assert state.exists(spark, f"{loop_dir}/examples/settings/_SUCCESS") == stored
+    assert seen[0] == seen[1] and seen[0][1]
+
+
 def test_one_and_two_iterations_equal_three(spark):
     options = Options(subset_size=2, max_iter=30, batch_size=15, max_iterations=3, retrain_threshold=5, noise_factor=1.0, use_smote=False)
     encoder = features.word_hash_encoder(16)
