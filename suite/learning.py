@@ -14,7 +14,7 @@ from suite.relational import verdict_cache, verdict_rows
 from suite.texts import DESCRIBE, STOP_SQL, chat_sql, filled
 from tagmill import constants as K
 from tagmill.functions import prompts
-from tagmill.operators import balance, cleaning, features, judge, linear, mapping as maps, models, progress, sparse
+from tagmill.operators import balance, cleaning, features, judge, linear, mapping as maps, models, progress, refined, sparse
 from tagmill.options import Options
 from tagmill.plans import active, initial, training
 from tagmill.sources import state
@@ -287,6 +287,18 @@ def smote_vectors(spark, sf):
     return rows.withColumn("value", F.round("value", 9))
 
 
+@query(f"""WITH {VECTOR_MAPPING}, c AS (SELECT subset_id, label, count(*) AS n FROM
+  (SELECT 'c' || label AS label FROM embeddings) JOIN mapping USING (label) GROUP BY ALL)
+SELECT subset_id, label, max(n) OVER (PARTITION BY subset_id) - n AS made, true AS recalled FROM c QUALIFY made > 0""")
+def smote_refined(spark, sf):
+    """Synthetic rows per class, all classes searched by refinement, and whether nine of ten neighbours are as near as the exact ones."""
+    rows = _uneven(spark, sf)
+    made = balance.smote(rows, exact_rows=0).groupBy("subset_id", "label").agg(F.count(F.lit(1)).alias("made"))
+    items = rows.select("subset_id", "label", F.col("row_id").alias("item_id"), "vector")
+    reached = refined.knn_refined(items, 5, ["subset_id", "label"]).agg(F.min("recall").alias("r")).first()["r"]
+    return made.withColumn("recalled", F.lit(reached >= 0.9))
+
+
 # the judge
 
 
@@ -559,3 +571,27 @@ def stream_cache_dedup(spark, sf):
     arrivals.stream_judge(stream, lambda asked: ["True" for _ in asked], prompt, out)
     found = state.read_appended(spark, out, "verdicts", judge.CACHE_SCHEMA)
     return found.agg(F.count(F.lit(1)).alias("asked"), F.count_distinct(*judge.PAIR).alias("pairs"))
+
+
+@query(f"""WITH {DOCS}, valid AS (SELECT DISTINCT md5(text) AS key, label FROM docs WHERE text IS NOT NULL AND label IS NOT NULL)
+SELECT count(*) AS asked, count(*) AS pairs, 0 AS asked_later FROM valid""")
+def stream_state_dedup(spark, sf):
+    """Every pair is asked once with the asked pairs as streaming state; the same rows arriving at a restarted stream ask nothing."""
+    out, path = fresh_path(spark, "stream"), fresh_path(spark, "arrivals")
+    rows = documents(spark, sf).select("row_id", "text", F.col("label").alias("predicted_label"))
+
+    def prompt(text, label):
+        return prompts.binary_prompt(text, label, prompts.default_description(label), F.array().cast("array<string>"), 6)
+
+    def run():
+        rows.repartitionByRange(4, "row_id").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        arrivals.stream_judge_once(spark, stream, lambda asked: ["True" for _ in asked], prompt, out)
+        return settle(state.read_appended(spark, out, "verdicts", judge.CACHE_SCHEMA), "asked")
+
+    before = run()
+    after = run()
+    later = after.count() - before.count()
+    return after.agg(
+        F.count(F.lit(1)).alias("asked"), F.count_distinct(*judge.PAIR).alias("pairs"), F.lit(later).cast("int").alias("asked_later")
+    )
