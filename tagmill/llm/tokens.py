@@ -28,7 +28,7 @@ MARKED = re.compile(r"([ \n]?)([^\W\d_]+)([.,;:!?%&*$#|]*)")
 LONGEST_KEPT = 64
 MOST_KEPT = 500_000
 # Text that is cut at a time: working arrays take some 30 times as much.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 22
 # How byte-level tokenizers write a space.
 SPACE = "\u0120"
 
