@@ -88,11 +88,14 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, i
             room = next((r for r in range(length, capacity + 1) if free[r]), None)
             if room is not None:
                 first, count = free[room].pop()
-                used = min(left, count)
+                # The sequence just filled is the fullest with room left, so it takes as many as fit.
+                each = min(room // length, left)
+                used = min(left // each, count)
                 if used < count:
                     free[room].append((first + used, count - used))
-                free[room - length].append((first, used))
-                place(first, used, capacity - room)
+                free[room - each * length].append((first, used))
+                for slot in range(each):
+                    place(first, used, capacity - room + slot * length)
                 continue
             # Every open sequence is too full: open new ones, each filled with as many as fit.
             each = min(capacity // length, left)
