@@ -296,6 +296,28 @@ def test_judge_asks_each_pair_once_and_uses_the_cache(spark, tmp_path):
     assert again.where("cached").count() == 12 and fresh2.isEmpty() and asked.read_text().count("x") == 4
 
 
+def test_examples_are_shared_within_a_task(spark, monkeypatch):
+    """A text travels once per task that needs it, however many rows have it as an example, and the prompts are not shuffled."""
+    rows = [(i, "t", None if i % 10 == 9 else f"l{i % 3}", [1.0, float(i)]) for i in range(300)] + [(None, "t", "l0", [1.0, 0.0])]
+    asked = spark.createDataFrame(rows, "query_id long, text string, predicted_label string, vector array<double>")
+    known = [(i, f"l{i % 3}", None if i == 6 else f"x{i}", [1.0, i * 10.0]) for i in range(12)] + [(3, "l0", "a twin", [1.0, 30.0])]
+    labelled = spark.createDataFrame(known, "row_id long, label string, text string, vector array<double>")
+    found = {r["query_id"]: r["examples"] for r in judge.with_examples(asked, labelled, 4).collect()}
+    assert len(found) == 301 and found[None] == [] and found[9] == []
+    unit = {(i, text): np.array(v) / np.linalg.norm(v) for i, _, text, v in known}
+    for i, _, label, v in rows[:300]:
+        if label is None:
+            continue
+        own = [(round(float(np.array(v) / np.linalg.norm(v) @ unit[j, text]), 9), j) for j, known_label, text, _ in known if known_label == label]
+        near = sorted(own, key=lambda p: (-p[0], p[1]))[:4]
+        texts = [t for _, j in near for t in sorted((t for n, _, t, _ in known if n == j), key=lambda t: (t is not None, t))]
+        assert found[i] == texts, i
+    none = spark.createDataFrame([], "label string, description string")
+    plan = judge.validation_prompts(asked, labelled, none, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Repartition")  # the texts meet the rows after the last shuffle
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+
+
 def test_failed_requests_are_not_cached(spark):
     def broken(prompts):
         raise RuntimeError("no connection")
