@@ -215,11 +215,13 @@ def chat_requests(spark, sf):
 
 # features
 
-STOP_WORDS = K.ENGLISH_STOP_WORDS
-STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in K.ENGLISH_STOP_WORDS)
+# The two queries over all documents leave out only these words and count every other one.
+STOP_WORDS = tuple("the and of to in is it that was for on are as with his they at be this have from".split())
+FEW_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 TERMS = rf"""docs AS (SELECT doc_id AS row_id, text FROM documents),
 lists AS (SELECT row_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'),
-          lambda w: NOT list_contains([{STOP_SQL}], w)) AS ws FROM docs),
+          lambda w: NOT list_contains([{FEW_STOPS}], w)) AS ws FROM docs),
 terms AS (SELECT row_id, unnest(ws) AS term FROM lists
           UNION ALL SELECT row_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM lists),
 tf AS (SELECT row_id, term, count(*) AS tf FROM terms GROUP BY ALL),

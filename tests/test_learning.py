@@ -124,6 +124,42 @@ def test_forest_models_survive_saving(spark, clusters):
         assert own == {k: p for k, p in found.items() if homes[k[0]] == k[1]}
 
 
+def test_terms_are_counted_alike_in_pieces_of_any_size(spark, monkeypatch):
+    texts = ["the of with because because cats", "cats because", None, "", "x", "Cats because with dogs dogs dogs", "dogs " * 40]
+    rows = spark.createDataFrame([(i, t, "ab"[i % 2] if i else None) for i, t in enumerate(texts * 2)], "row_id long, text string, part string").coalesce(1)
+    wanted = {}
+    for i, text in enumerate(texts * 2):
+        words = [w for w in (text or "").lower().split() if len(w) > 1 and w not in ("the", "of", "with")]
+        for term in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}:
+            n = words.count(term) + [f"{a} {b}" for a, b in zip(words, words[1:])].count(term)
+            old = wanted.get(("ab"[i % 2] if i else None, term), (0, 0))
+            wanted["ab"[i % 2] if i else None, term] = (old[0] + n, old[1] + 1)
+    # the two queries over all documents count such words too, as they did before their stop words grew
+    from suite import texts as queries
+
+    assert "because" not in queries.STOP_WORDS and "'because'" not in queries.FEW_STOPS
+    for size in (3, 10**6):
+        monkeypatch.setattr(features, "WORDS", size)
+        found = features.term_totals(rows, ("the", "of", "with"), ["part"]).collect()
+        assert {(r["part"], r["term"]): (r["tf"], r["df"]) for r in found} == wanted and len(found) == len(wanted)
+        counts = features.term_counts(rows, ["dogs", "dogs dogs", "cats because", "none such"], (), ["row_id"]).where("row_id >= 5")
+        assert {(r["row_id"], r["term"]): r["n"] for r in counts.collect()} == {
+            (5, "dogs"): 3, (5, "dogs dogs"): 2, (5, "cats because"): 1, (6, "dogs"): 40, (6, "dogs dogs"): 39, (8, "cats because"): 1,
+            (12, "dogs"): 3, (12, "dogs dogs"): 2, (12, "cats because"): 1, (13, "dogs"): 40, (13, "dogs dogs"): 39,
+        }
+
+
+def test_a_large_table_arrives_in_more_files(spark, tmp_path, monkeypatch):
+    from suite import learning
+
+    frame = spark.range(1000).withColumnRenamed("id", "row_id")
+    frame.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert learning.arriving_files(table) == 4
+    monkeypatch.setattr(learning, "FILE_BYTES", 500)
+    assert learning.arriving_files(table) > 8 and learning.arriving_files(table) % 2 == 0
+
+
 def test_tfidf_vectors_equal_the_long_form(spark):
     texts = ["red apple red", "green apple pear", "pear pear tree", "", "x"]
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
