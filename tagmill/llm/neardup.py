@@ -40,7 +40,8 @@ from tagmill.llm.common import packed, unpacked
 from tagmill.llm.graph import components
 from tagmill.storage import lookup_join, settle
 
-BITMAP = 8
+# 64-bit words of a bitmap, which is kept once per class; sparse for most sets, so that the bounds are tight.
+BITMAP = 16
 # Words that a worker remembers; all its tasks share them.
 MOST_KEPT = 100_000
 ROUNDS = 6
@@ -220,8 +221,12 @@ def enough(overlap, a_size, b_size, percent):
 
 
 def linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, by their whole token sets."""
-    side = lambda name: tokens.select(F.col("c").alias(name), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"))
+    """The pairs whose sets are similar enough, by their whole token sets. Only sets that the pairs name are shuffled."""
+
+    def side(name):
+        own = tokens.join(pairs.select(F.col(name).alias("c")).distinct(), "c", "left_semi")
+        return own.select(F.col("c").alias(name), F.col("n").alias(f"{name}_n"), F.col("tokens").alias(f"{name}_tokens"))
+
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     fits = enough(F.least("a_n", "b_n"), F.col("a_n"), F.col("b_n"), percent)
     overlap = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -263,32 +268,49 @@ def possible(a, b, percent):
     """Whether two nodes may hold linked classes: the tokens of one that lie outside the
     bits of the other bound the overlap, and so do the sizes."""
     common = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.col(f"{b}.b{i}"))) for i in range(BITMAP)), F.lit(0))
-    inside = lambda x: F.col(f"{x}.most") - F.greatest(F.col(f"{x}.bits") - common, F.lit(0))
-    overlap = F.least(inside(a), inside(b))
-    return enough(overlap, F.greatest(F.col(f"{a}.least"), overlap), F.greatest(F.col(f"{b}.least"), overlap), percent)
+    both = F.col(f"{a}.least") + F.col(f"{b}.least")
+    # The least overlap of linked sets, and by how much the bits in common must exceed it: the long sum stands once.
+    needed = F.ceil(F.greatest(F.col(f"{a}.least") * percent / 100, F.col(f"{b}.least") * percent / 100, both * percent / (100 + percent)))
+    spare = F.greatest(F.col(f"{a}.bits") - F.col(f"{a}.most"), F.col(f"{b}.bits") - F.col(f"{b}.most"))
+    return (F.least(f"{a}.most", f"{b}.most") >= needed) & (common >= needed + spare)
+
+
+def leaves(maps: DataFrame) -> DataFrame:
+    """Classes as the lowest nodes of the tree."""
+    return maps.withColumn("least", F.col("n")).withColumnRenamed("n", "most")
+
+
+def plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes whose bounds leave a link possible; their token sets are not needed for that."""
+    side, x, y = leaves(maps), F.col("x.c") == F.col("p.a"), F.col("y.c") == F.col("p.b")
+    both = pairs.alias("p").join(side.alias("x"), x).join(side.alias("y"), y & possible("x", "y", percent))
+    return both.select("p.a", "p.b")
 
 
 def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a node, are not connected, and may be similar enough."""
+    """All pairs of classes whose groups of linked classes share a node, and that may be similar enough.
+
+    Two groups share many nodes when their texts are alike, but are paired once, and so are their classes.
+    """
     rows = with_components(shared, found)
     spread = Window.partitionBy("key")
     open_ = rows.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
     open_ = settle(open_.where("lo <> hi").select("key", "component", "c"), "open")
-    members = open_.join(maps, "c").withColumnRenamed("n", "least").withColumn("most", F.col("least"))
-    members = settle(members, "members")
+    members = settle(leaves(maps).join(open_.select("c", "component").distinct(), "c"), "members")
     ors = [F.bit_or(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]
     sizes = [F.min("least").alias("least"), F.max("most").alias("most"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("rows")]
-    children = settle(members.groupBy("key", "component").agg(*sizes, *ors), "children")
+    children = settle(members.groupBy("component").agg(*sizes, *ors), "children")
+    nodes = open_.select("key", "component").distinct().join(children, "component")
     # Of two children the smaller one is opened first, so that its classes meet the other as a whole.
     smaller = F.expr("struct(x.rows, x.component) < struct(y.rows, y.component)")
-    top = children.alias("x").join(children.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller & possible("x", "y", percent))
-    top = top.select("x.key", F.col("x.component").alias("p"), F.col("y.component").alias("q"))
-    opened = top.join(members.withColumnRenamed("component", "p"), ["key", "p"]).alias("x")
-    whole = children.withColumnRenamed("component", "q").alias("y")
-    opened = opened.join(whole, (F.col("x.key") == F.col("y.key")) & (F.col("x.q") == F.col("y.q")) & possible("x", "y", percent)).select("x.*").alias("x")
-    other = members.withColumnRenamed("component", "q").alias("y")
-    met = opened.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.q") == F.col("y.q")) & possible("x", "y", percent))
-    return met.select(*pair_of(F.col("x.c"), F.col("y.c"))).distinct()
+    top = nodes.alias("x").join(nodes.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller & possible("x", "y", percent))
+    top = settle(top.select(F.col("x.component").alias("p"), F.col("y.component").alias("q")).distinct(), "top")
+    x, y = F.col("x.component") == F.col("t.p"), F.col("y.component") == F.col("t.q")
+    opened = top.alias("t").join(members.alias("x"), x).join(children.alias("y"), y & possible("x", "y", percent))
+    opened = settle(opened.select("x.c", "t.q"), "opened")
+    x, y = F.col("x.c") == F.col("t.c"), F.col("y.component") == F.col("t.q")
+    met = opened.alias("t").join(members.alias("x"), x).join(members.alias("y"), y & possible("x", "y", percent))
+    return met.select(*pair_of(F.col("x.c"), F.col("y.c")))
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str) -> DataFrame | None:
@@ -303,17 +325,19 @@ def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, likenes
     tokens = settle(profiles(lookup_join(texts, wanted, "_first", "left_semi"), likeness, "text"), "profiles")
     if tokens.count() > tokens.select("c").distinct().count():  # rows repeated under one id: one profile per class
         tokens = settle(tokens.dropDuplicates(["c"]), "profiles")
+    maps = tokens.drop("tokens")
     links, found = None, None
     for turn in range(ROUNDS):
         pairs = settle(hub_pairs(shared, found, turn), "pairs")
-        fresh = settle(linked(pairs, tokens, likeness.percent), "links")
+        likely = settle(plausible(pairs, maps, likeness.percent), "likely")
+        fresh = settle(linked(likely, tokens, likeness.percent), "links")
         tried, gained = pairs.count(), fresh.count()
         if gained:
             links = fresh if links is None else links.union(fresh)
             found = components(links)
         if gained * 20 <= tried:
             break
-    rest = traversed(shared, found, tokens.drop("tokens"), likeness.percent)
+    rest = traversed(shared, found, maps, likeness.percent)
     fresh = settle(linked(settle(rest, "pairs"), tokens, likeness.percent), "links")
     if not fresh.isEmpty():
         links = fresh if links is None else links.union(fresh)

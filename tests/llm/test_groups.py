@@ -80,6 +80,50 @@ def test_traversal_alone_finds_the_same(spark, monkeypatch):
     assert found() == usual and any(a != b for a, b in usual)
 
 
+def test_alike_texts_without_links_meet_once_and_are_not_compared(spark, monkeypatch):
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base[: 15 * k] + [f"own{k}x{i}" for i in range(36)] + base[15 * k + 36 :]) for k in range(16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows, write = {}, neardup.settle
+
+    def settle(df, name="table"):
+        out = write(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    compared, exact = [], neardup.linked
+
+    def linked(pairs, tokens, percent):
+        compared.append(pairs.count())
+        return exact(pairs, tokens, percent)
+
+    monkeypatch.setattr(neardup, "settle", settle)
+    monkeypatch.setattr(neardup, "linked", linked)
+    assert all(r.component_id == r.doc_id for r in neardup.near_duplicates(docs).collect())
+    assert rows["open"][0] > 16  # they share many nodes
+    assert rows["members"] == [16] and sum(compared) == 0
+
+
+def test_bounds_keep_every_linked_pair(spark):
+    draw = random.Random(5)
+    sizes = [(draw.randrange(1, 400), draw.randrange(1, 400), draw.random()) for _ in range(300)]
+    sets = []
+    for left, right, share in sizes:
+        both = {draw.getrandbits(63) for _ in range(int(min(left, right) * (0.7 + 0.3 * share)))}
+        sets += [both | {draw.getrandbits(63) for _ in range(n - len(both))} for n in (left, right)]
+    words = [[0] * neardup.BITMAP for _ in sets]
+    for own, tokens in zip(words, sets):
+        for place in (t % (64 * neardup.BITMAP) for t in tokens):
+            own[place // 64] |= 1 << place % 64
+    signed = [[w - (1 << 64) if w >> 63 else w for w in own] for own in words]
+    maps = [(c, len(t), *signed[c], sum(w.bit_count() for w in words[c])) for c, t in enumerate(sets)]
+    maps = spark.createDataFrame(maps, "c long, n long, " + "".join(f"b{i} long, " for i in range(neardup.BITMAP)) + "bits int")
+    pairs = [(a, a + 1) for a in range(0, len(sets), 2)]
+    got = {(r.a, r.b) for r in neardup.plausible(spark.createDataFrame(pairs, "a long, b long"), maps, 85).collect()}
+    links = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links and links <= got < set(pairs)
+
+
 def test_region_counts_exceed_what_linked_sets_can_differ():
     for percent in (70, 80, 85, 95):
         ranges = neardup.Ranges(percent)
