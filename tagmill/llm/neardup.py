@@ -11,9 +11,9 @@ pairs of its nodes from the top, dropping every pair whose largest possible over
   of a filled region at least. A node per region and content holds the classes that agree there; pairs of different nodes
   are dropped. What is left are pairs inside one node, found by one shuffle by node. Frequent passages do no harm, as a
   node needs a whole region.
-* Inside a node, classes that links already connect form a child node. Children hold OR-combined token bitmaps and
-  size ranges; pairs of children, then of a class and a child, then of two classes are dropped by these bounds, and
-  the rest is compared exactly, token set by token set.
+* Classes that links already connect form a child of their nodes. Children hold OR-combined token bitmaps and
+  size ranges of all their classes; children that share nodes are paired once. Pairs of children, then of a class and a child,
+  then of two classes are dropped by these bounds, and the rest is compared exactly, token set by token set.
 
 To spare comparisons inside large groups, rounds first compare the classes of each node with one hub, another hub
 in each round, and connect what links. The traversal then takes every pair that is still unconnected. The
