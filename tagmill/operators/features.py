@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tagmill.constants import ENGLISH_STOP_WORDS
 from tagmill.functions.text import strip_space, text_key, tokens, with_pairs, without
-from tagmill.storage import as_lookup, lookup_join, only_needed, settle, split_join
+from tagmill.storage import SALTS, as_lookup, estimated_bytes, lookup_join, only_needed, settle, split_join
 
 
 def with_terms(rows: DataFrame, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
@@ -32,6 +32,8 @@ def with_words(rows: DataFrame, keep, stop_words=ENGLISH_STOP_WORDS) -> DataFram
 
 # Words of a batch that are numbered at a time.
 WORDS = 1_000_000
+# Bytes of a table of texts whose terms are ranked in one part.
+RANKED_BYTES = 16 * 1024 * 1024
 
 
 def pieces(batch: pa.RecordBatch):
@@ -138,6 +140,13 @@ def term_counts(rows: DataFrame, terms: list, stop_words=ENGLISH_STOP_WORDS, kee
     return with_words(rows, keep, stop_words).mapInArrow(counts, schema)
 
 
+def best_of_parts(totals: DataFrame, by, order, most: int, parts: int) -> DataFrame:
+    """The first ``most`` terms of each part of a group, by the hash of the term: no task sorts all terms of a group."""
+    dealt = totals.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    return ranked.where(F.col("_rank") <= most).drop("_rank", "_part")
+
+
 def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=ENGLISH_STOP_WORDS, by=()) -> DataFrame:
     """Most frequent terms with their number, document frequency and IDF weight.
 
@@ -147,8 +156,8 @@ def vocabulary(rows: DataFrame, max_features: int = 10_000, stop_words=ENGLISH_S
     totals = term_totals(rows, stop_words, by)
     order = [F.desc("tf"), F.col("term")]
     if by:
-        # The filter stands on the bare rank, so that each task keeps its best terms only before the shuffle.
-        ranked = totals.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        near = best_of_parts(totals, by, order, max_features, max(SALTS, -(-estimated_bytes(rows) // RANKED_BYTES)))
+        ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
         chosen = ranked.where(F.col("_rank") <= max_features).withColumn("idx", F.col("_rank") - 1).drop("_rank")
     else:
         top = totals.orderBy(*order).limit(max_features)

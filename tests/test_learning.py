@@ -12,7 +12,7 @@ from tagmill.operators.mapping import attach_subset
 from tagmill.options import Options
 from tagmill.plans import active, experiment, initial, training
 from tagmill.sources import files, state
-from tagmill.storage import fresh_path
+from tagmill.storage import settle, fresh_path
 from tagmill.streaming import arrivals
 
 
@@ -276,6 +276,22 @@ def test_vocabulary_per_subset(spark):
     assert {(r["subset_id"], r["term"], r["tf"], r["df"]) for r in found.collect()} == {("a", "xx", 2, 2), ("b", "zz", 2, 1)}
 
 
+def test_terms_of_a_group_are_ranked_in_parts(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    lines = [(s, " ".join(f"w{int(x)}" for x in draw.zipf(1.6, 30) if x < 10**6)) for s in "ab" for _ in range(40)]
+    rows = settle(spark.createDataFrame(lines + [("b", None)], "subset_id string, text string"), "rows")
+    totals = features.term_totals(rows, by=["subset_id"]).collect()
+    monkeypatch.setattr(features, "RANKED_BYTES", 100)
+    found = {(r["subset_id"], r["term"]): (r["idx"], r["tf"], r["df"]) for r in features.vocabulary(rows, 50, by=["subset_id"]).collect()}
+    wanted = {}
+    for s in "ab":
+        best = sorted((-r["tf"], r["term"], r["df"]) for r in totals if r["subset_id"] == s)[:50]
+        wanted |= {(s, term): (at, -tf, df) for at, (tf, term, df) in enumerate(best)}
+    assert found == wanted
+    part = features.best_of_parts(spark.createDataFrame(totals), ["subset_id"], [F.desc("tf"), "term"], 5, 7)
+    assert 5 < part.where("subset_id = 'a'").count() <= 35
+
+
 def test_encoder_runs_once_per_new_text(spark, tmp_path):
     calls = tmp_path / "calls"
 
