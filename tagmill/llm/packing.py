@@ -22,14 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.tokens import encoder, slices
+from tagmill.llm.tokens import BATCH_BYTES, encoder, slices
 from tagmill.storage import lookup_join, settle
 
 
 class Packing(NamedTuple):
+    """``cut_bytes``: text that is cut at a time; fewer take less memory and more time."""
+
     tokenizer: str
     length: int = 1024
     end_id: int = 2
+    cut_bytes: int = BATCH_BYTES
 
 
 def piece_bounds(count: int, length: int) -> list[tuple[int, int]]:
@@ -47,7 +50,7 @@ def pieces(docs: DataFrame, packing: Packing, text="text", ident="doc_id", keep_
         coder = encoder(packing.tokenizer, packing.end_id)
         part, places = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for docs_in in slices(batch, 1):
+            for docs_in in slices(batch, 1, packing.cut_bytes):
                 flat, edges = coder.ids(docs_in.column(1))
                 raw, rows = memoryview(flat.astype("<u4").tobytes()), []
                 for row, (begin, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):

@@ -53,13 +53,13 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def slices(batch: pa.RecordBatch, column: int):
+def slices(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES):
     """Parts of a batch with a bounded number of bytes in a string column, or of one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, first = np.cumsum(sizes, dtype=np.int64), 0
     while first < len(ends):
         before = ends[first - 1] if first else 0
-        last = max(int(np.searchsorted(ends, before + BATCH_BYTES, "right")), first + 1)
+        last = max(int(np.searchsorted(ends, before + most, "right")), first + 1)
         yield batch.slice(first, last - first)
         first = last
 

@@ -1,6 +1,7 @@
 """Near duplicates among texts and vectors, components."""
 
 import math
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 
 from tagmill.llm import neardup, vectordup
 from tagmill.llm.graph import components
+from tagmill.storage import SHUFFLE_CLEANUP, work_dir
 
 
 def least_reachable(nodes, links):
@@ -72,6 +74,16 @@ def test_jaccard_components_equal_brute_force(spark, seed, words, percent):
     assert {r.doc_id: r.component_id for r in got} == least_reachable(sets, links)
 
 
+def test_join_takes_its_own_tables_away(spark):
+    folder, usual = work_dir(spark).removeprefix("file:"), spark.conf.get(SHUFFLE_CLEANUP)
+    names = lambda: {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    docs = spark.createDataFrame(list(enumerate(texts_with_copies(4))), "doc_id long, text string")
+    before = set(os.listdir(folder))
+    got = neardup.near_duplicates(docs)
+    assert names() == {"sets", "moved"} and spark.conf.get(SHUFFLE_CLEANUP) == usual
+    assert any(r.doc_id != r.component_id for r in got.collect())
+
+
 def test_traversal_alone_finds_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts_with_copies(4))), "doc_id long, text string")
     found = lambda: sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect())

@@ -62,6 +62,13 @@ def test_packing(spark):
     assert packing.pack(edges.none(spark), layout).count() == 0
 
 
+def test_text_cut_at_a_time_changes_no_piece(spark):
+    layout = packing.Packing(public_tokenizers.path(FILES[0]), length=64)
+    docs = edges.table(spark).coalesce(1)
+    found = [sorted(map(str, packing.pack(docs, layout._replace(cut_bytes=most)).collect())) for most in (1, layout.cut_bytes)]
+    assert found[0] == found[1]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(1, 30), max_size=12))
 def test_best_fit_over_counts_places_every_piece(histogram):
