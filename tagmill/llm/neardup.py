@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tagmill.llm.common import packed, unpacked
 from tagmill.llm.graph import components
-from tagmill.storage import as_lookup, lookup_join, settle, temporary
+from tagmill.storage import as_lookup, lasting, lookup_join, settle, temporary
 
 # 64-bit words of a bitmap, which is kept once per class; sparse for most sets, so that the bounds are tight.
 BITMAP = 16
@@ -290,7 +290,7 @@ def plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return both.select("p.a", "p.b")
 
 
-def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, percent: int, folder: str) -> DataFrame:
+def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes whose groups of linked classes share a node, and that may be similar enough.
 
     Two groups share many nodes when their texts are alike, but are paired once, and so are their classes.
@@ -298,54 +298,53 @@ def traversed(shared: DataFrame, found: DataFrame | None, maps: DataFrame, perce
     rows = with_components(shared, found)
     spread = Window.partitionBy("key")
     open_ = rows.withColumn("lo", F.min("component").over(spread)).withColumn("hi", F.max("component").over(spread))
-    open_ = settle(open_.where("lo <> hi").select("key", "component", "c"), "open", folder)
-    members = settle(leaves(maps).join(open_.select("c", "component").distinct(), "c"), "members", folder)
+    open_ = settle(open_.where("lo <> hi").select("key", "component", "c"), "open")
+    members = settle(leaves(maps).join(open_.select("c", "component").distinct(), "c"), "members")
     ors = [F.bit_or(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]
     sizes = [F.min("least").alias("least"), F.max("most").alias("most"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("rows")]
-    children = settle(members.groupBy("component").agg(*sizes, *ors), "children", folder)
+    children = settle(members.groupBy("component").agg(*sizes, *ors), "children")
     nodes = open_.select("key", "component").distinct().join(children, "component")
     # Of two children the smaller one is opened first, so that its classes meet the other as a whole.
     smaller = F.expr("struct(x.rows, x.component) < struct(y.rows, y.component)")
     top = nodes.alias("x").join(nodes.alias("y"), (F.col("x.key") == F.col("y.key")) & smaller & possible("x", "y", percent))
-    top = settle(top.select(F.col("x.component").alias("p"), F.col("y.component").alias("q")).distinct(), "top", folder)
+    top = settle(top.select(F.col("x.component").alias("p"), F.col("y.component").alias("q")).distinct(), "top")
     x, y = F.col("x.component") == F.col("t.p"), F.col("y.component") == F.col("t.q")
     opened = top.alias("t").join(members.alias("x"), x).join(children.alias("y"), y & possible("x", "y", percent))
-    opened = settle(opened.select("x.c", "t.q"), "opened", folder)
+    opened = settle(opened.select("x.c", "t.q"), "opened")
     x, y = F.col("x.c") == F.col("t.c"), F.col("y.component") == F.col("t.q")
     met = opened.alias("t").join(members.alias("x"), x).join(members.alias("y"), y & possible("x", "y", percent))
     return met.select(*pair_of(F.col("x.c"), F.col("y.c")))
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str, folder: str) -> DataFrame | None:
-    """``node, component`` of all classes that link with another; None if there is no link. ``sets`` has ``id, c, keys``.
-    All its tables lie in ``folder``."""
+def linked_classes(docs: DataFrame, sets: DataFrame, classes: DataFrame, likeness: Likeness, text: str, ident: str) -> DataFrame | None:
+    """``node, component`` of all classes that link with another; None if there is no link. ``sets`` has ``id, c, keys``."""
     spread = Window.partitionBy("key")
     keys = sets.where("c IS NOT NULL AND id IS NOT NULL").select(F.explode("keys").alias("key"), "c")
     keys = keys.withColumn("lo", F.min("c").over(spread)).withColumn("hi", F.max("c").over(spread))
-    shared = settle(keys.where("lo <> hi").select("key", "c").distinct(), "nodes", folder)
-    shared = settle(scored(shared), "nodes", folder)
+    shared = settle(keys.where("lo <> hi").select("key", "c").distinct(), "nodes")
+    shared = settle(scored(shared), "nodes")
     wanted = shared.select("c").distinct().join(classes, "c").select(F.col("first").alias("_first"))
     texts = docs.select(F.col(ident).alias("_first"), F.col(text).alias("text"))
-    tokens = settle(profiles(lookup_join(texts, wanted, "_first", "left_semi"), likeness, "text"), "profiles", folder)
+    tokens = settle(profiles(lookup_join(texts, wanted, "_first", "left_semi"), likeness, "text"), "profiles")
     if tokens.count() > tokens.select("c").distinct().count():  # rows repeated under one id: one profile per class
-        tokens = settle(tokens.dropDuplicates(["c"]), "profiles", folder)
+        tokens = settle(tokens.dropDuplicates(["c"]), "profiles")
     maps = tokens.drop("tokens")
     links, found = None, None
     for turn in range(ROUNDS):
-        pairs = settle(hub_pairs(shared, found, turn), "pairs", folder)
-        likely = settle(plausible(pairs, maps, likeness.percent), "likely", folder)
-        fresh = settle(linked(likely, tokens, likeness.percent), "links", folder)
+        pairs = settle(hub_pairs(shared, found, turn), "pairs")
+        likely = settle(plausible(pairs, maps, likeness.percent), "likely")
+        fresh = settle(linked(likely, tokens, likeness.percent), "links")
         tried, gained = pairs.count(), fresh.count()
         if gained:
             links = fresh if links is None else links.union(fresh)
-            found = components(links, folder)
+            found = components(links)
         if gained * 20 <= tried:
             break
-    rest = settle(traversed(shared, found, maps, likeness.percent, folder), "pairs", folder)
-    fresh = settle(linked(rest, tokens, likeness.percent), "links", folder)
+    rest = settle(traversed(shared, found, maps, likeness.percent), "pairs")
+    fresh = settle(linked(rest, tokens, likeness.percent), "links")
     if not fresh.isEmpty():
         links = fresh if links is None else links.union(fresh)
-        found = components(links, folder)
+        found = components(links)
     return found
 
 
@@ -365,10 +364,10 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text
     else:
         keyed = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
         rows = sets = keyed.drop("keys")
-    with temporary(docs.sparkSession, "join") as folder:
+    with temporary(docs.sparkSession, "join"):
         classes = sets.where("c IS NOT NULL AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-        classes = settle(classes, "classes", folder)
-        found = linked_classes(docs.where(F.col(ident).isNotNull()), keyed, classes, likeness, text, ident, folder)
+        classes = settle(classes, "classes")
+        found = linked_classes(docs.where(F.col(ident).isNotNull()), keyed, classes, likeness, text, ident)
         if found is None:
             grouped = classes.withColumn("component", F.col("c")).withColumn("component_id", F.col("first"))
         else:
@@ -377,7 +376,8 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text
             grouped = joined.join(least, "component")
         # Other documents are their own component.
         needed = "copies > 1 OR component_id <> first" + (" OR component <> c" if keep_class else "")
-        moved = settle(grouped.where(needed).select("c", "component", "component_id"), "moved")
+        with lasting():
+            moved = settle(grouped.where(needed).select("c", "component", "component_id"), "moved")
     out = lookup_join(rows, moved, "c", "left")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     out = out.withColumn("component_id", own).withColumnRenamed("n", "n_shingles")

@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from tagmill import storage
@@ -33,6 +35,28 @@ def test_a_large_lookup_is_not_broadcast(spark, monkeypatch):
     assert "strategy=broadcast" not in plan and joined.count() == 900
 
 
+def test_repeated_rows_of_a_large_lookup_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(storage, "KNOWN_SMALL_BYTES", 0)
+    monkeypatch.setattr(storage, "LOOKUP_ROWS", 3)
+    rows = spark.range(0, 1000, 1, 2).withColumn("n", F.col("id") % 7)
+    lookup = storage.as_lookup(spark.range(500))  # of so few bytes that Catalyst would broadcast all 32 copies
+    for how, n in (("inner", 500), ("left", 1000), ("left_semi", 500), ("left_anti", 500)):
+        joined = storage.lookup_join(rows, lookup, "id", how)
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString(), how
+        assert joined.count() == n
+
+
+def test_tables_of_a_temporary_block_go_and_lasting_ones_stay(spark):
+    with storage.temporary(spark, "block"):
+        gone = storage.settle(spark.range(3))
+        with storage.lasting():
+            kept = storage.settle(spark.range(4))
+        assert gone.count() == 3
+        inside = gone.inputFiles()[0]
+    assert kept.count() == 4 and not os.path.exists(inside.removeprefix("file://"))
+    assert storage.settle(spark.range(5)).count() == 5
+
+
 def test_split_join_keeps_every_row(spark):
     rows = skewed(spark)
     matches = rows.select("key").distinct().where("key <> 'k2'").withColumn("n", F.length("key"))
