@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagmill.llm.common import packed, unpacked
-from tagmill.storage import fresh_path, lookup_join
+from tagmill.storage import cleared_shuffles, fresh_path, lookup_join
 
 LEDGER = "blob binary, rules array<string>, findings array<struct<start:bigint,place:int,kind:string,end:bigint,rule:string>>"
 
@@ -110,7 +110,8 @@ def scan_unseen(versions: DataFrame, ledger: str, rules=RULES, text: str = "text
         seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         left = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))
         pending = blobs.join(seen, "blob", "left").withColumn("rules", left).drop("seen").where(F.size("rules") > 0)
-    found_in(pending, rules).write.mode("append").parquet(ledger)
+    with cleared_shuffles(spark):  # texts move here, and once more where findings are joined to many rows
+        found_in(pending, rules).write.mode("append").parquet(ledger)
 
 
 def scan_secrets(versions: DataFrame, ledger: str | None = None, rules=RULES, text: str = "text") -> DataFrame:
