@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tagmill.llm.common import packed, unpacked
 from tagmill.llm.graph import components
-from tagmill.storage import as_lookup, lasting, lookup_join, settle, temporary
+from tagmill.storage import as_lookup, cleared_shuffles, lasting, lookup_join, settle, temporary
 
 # 64-bit words of a bitmap, which is kept once per class; sparse for most sets, so that the bounds are tight.
 BITMAP = 16
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, likeness: Likeness = Likeness(), text="text
     else:
         keyed = settle(rows.withColumn("doc", F.col("doc").dropFields(text)), "sets")
         rows = sets = keyed.drop("keys")
-    with temporary(docs.sparkSession, "join"):
+    with temporary(docs.sparkSession, "join"), cleared_shuffles(docs.sparkSession):
         classes = sets.where("c IS NOT NULL AND id IS NOT NULL").groupBy("c").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
         classes = settle(classes, "classes")
         found = linked_classes(docs.where(F.col(ident).isNotNull()), keyed, classes, likeness, text, ident)
