@@ -370,6 +370,40 @@ def test_examples_are_shared_within_a_task(spark, monkeypatch):
     assert "Join" not in plan[: plan.index("MapInArrow")]
 
 
+def test_examples_come_in_passes_of_bounded_size(spark, monkeypatch, tmp_path):
+    asked = tmp_path / "asked"
+
+    def answer(prompts):
+        with open(asked, "a") as out:
+            out.write("x\n" * len(prompts))
+        return [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+    rows = spark.createDataFrame(
+        [(i, f"t{i}", f"l{i % 3}", [1.0, float(i)]) for i in range(40)], "row_id long, text string, predicted_label string, vector array<double>"
+    )
+    labelled = spark.createDataFrame([(i, f"l{i % 3}", f"x{i}", [1.0, i * 10.0]) for i in range(12)], "row_id long, label string, text string, vector array<double>")
+    none = spark.createDataFrame([], "label string, description string")
+    replies = lambda: sorted((r.row_id, r.reply) for r in judge.judge_batch(rows, spark.createDataFrame([], judge.CACHE_SCHEMA), labelled, none, answer, 2)[0].collect())
+    whole, ask, passes = replies(), judge.ask, []
+    dealt = judge.dealt_by_label
+    monkeypatch.setattr(judge, "dealt_by_label", lambda rows: dealt(rows, 5))
+    monkeypatch.setattr(judge, "PASS_CELLS", 3)
+    monkeypatch.setattr(judge, "ask", lambda *given: passes.append(1) or ask(*given))
+    assert replies() == whole and len(passes) == 3 and asked.read_text().count("x") == 80
+
+
+def test_tables_of_a_training_go_when_it_ends(spark, clusters):
+    import glob
+
+    from tagmill.storage import work_dir
+
+    left = lambda: {p for name in ("training", "unbalanced", "minority") for p in glob.glob(f"{work_dir(spark)}/{name}-*")}
+    before = left()
+    found = training.train_subsets(*clusters, Options())
+    assert left() == before
+    assert found.weights.count() > 0 and found.log.where("error IS NULL").count() == 2 and found.report.count() > 0
+
+
 def test_failed_requests_are_not_cached(spark):
     def broken(prompts):
         raise RuntimeError("no connection")
